@@ -1,0 +1,37 @@
+"""Connected components of an edge table by hooking and pointer jumping, without leaving the executors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from prismfeed.llm._tables import keep
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """Rows (node, component) for every node of edges (a, b), longs; component: the smallest node reachable.
+
+    Alternates the large-star and small-star steps, which rewrite edges and keep
+    reachability; each step groups by node with minima that are combined in each
+    task and joins them back, so a node of very many edges is no single task's
+    work. The rounds grow with the logarithm of the longest chain.
+    """
+    known = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    for _ in range(rounds):
+        both = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # large star: larger neighbours point to the smallest of the neighbourhood
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.union(least.filter("m < a").select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        # small star: smaller neighbours, and the node itself, point to the smallest of them
+        small_min = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(small_min, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_min.select("a", F.col("m").alias("b"))).distinct()
+        after = keep(small, "cc")
+        mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        settled = mark(known) == mark(after)
+        known = after
+        if settled:
+            break
+    roots = known.groupBy("a").agg(F.min("b").alias("b"))
+    nodes = roots.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.union(roots.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

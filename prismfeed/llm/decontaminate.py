@@ -157,6 +157,16 @@ def _pass(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFram
     return out.withColumnRenamed("id", id_col)
 
 
+def _indexes(items: DataFrame, n: int, k: int, item_id: str, item_text: str, slice_bytes: int) -> Iterator[Index]:
+    """An index for each slice of the items, of about slice_bytes of text."""
+    sized = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"), F.coalesce(F.octet_length(item_text), F.lit(0)).cast("long").alias("b"))
+    slices = (sized.agg(F.sum("b")).first()[0] or 0) // slice_bytes + 1
+    for s in range(slices):
+        part = sized if slices == 1 else sized.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == s)
+        rows = part.select("i", "t").collect()
+        yield build_index([r.i for r in rows], [r.t for r in rows], n, k)
+
+
 def benchmark_hits(
     docs: DataFrame, items: DataFrame, n: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
@@ -169,15 +179,8 @@ def benchmark_hits(
     item without words finds nothing; items with a null id hit words but are not
     listed; equal items are all listed; other columns are not read.
     """
-    sized = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"), F.coalesce(F.octet_length(item_text), F.lit(0)).cast("long").alias("b"))
-    total = sized.agg(F.sum("b")).first()[0] or 0
-    slices = total // slice_bytes + 1
-    parts = []
-    for s in range(slices):
-        part = sized if slices == 1 else sized.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == s)
-        rows = part.select("i", "t").collect()  # at most about slice_bytes
-        parts.append(_pass(docs, build_index([r.i for r in rows], [r.t for r in rows], n, k), id_col, text_col))
-    if slices == 1:
+    parts = [_pass(docs, index, id_col, text_col) for index in _indexes(items, n, k, item_id, item_text, slice_bytes)]
+    if len(parts) == 1:
         return parts[0]
     whole = parts[0]
     for p in parts[1:]:
@@ -193,6 +196,24 @@ def benchmark_hits(
     return merged.select(id_col, "n_words", joined.alias("spans"), "items")
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, k: int = 5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows of docs in which no window of an item occurs, with all their columns; narrow, one pass for each slice of items."""
+    at, schema = docs.columns.index(text_col), docs.schema
+    for index in _indexes(items, n, k, item_id, item_text, slice_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for w in word_tables(b.column(at), ALNUM, lower=True):
+                    hit, _ = search(w, held.value)
+                    clean = np.ones(w.hi - w.lo, bool)
+                    clean[w.owner[hit]] = False
+                    yield b.slice(w.lo, w.hi - w.lo).filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
+
+
 def hit_digest(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts and the digest of the items of each document."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
@@ -202,4 +223,4 @@ def hit_digest(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-__all__ = ["benchmark_hits", "hit_digest", "winnow", "build_index", "search"]
+__all__ = ["benchmark_hits", "drop_contaminated", "hit_digest", "winnow", "build_index", "search"]

@@ -5,28 +5,75 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismfeed.llm._tables import table
+from prismfeed.llm.ann import nearest
 from prismfeed.llm.bpe_count import token_counts
+from prismfeed.llm.class_lm import fit, score_texts
 from prismfeed.llm.decontaminate import benchmark_hits, hit_digest
+from prismfeed.llm.langid import identify, train
+from prismfeed.llm.ngram_join import link_components
 from prismfeed.llm.pieces import encode_texts
 from prismfeed.llm.pii import find_pii, pii_digest
+from prismfeed.llm.substring_dedup import remove_repeats
+from prismfeed.llm.url_filter import judge_urls
 
 #: Parameters of the queries.
 PIECES, WORD_BPE, TOKEN_LIMIT = "piece_bpe_32k.model", "word_bpe_49k.json", 2048
 
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def fold(n: int) -> Column:
+    """crc32 of doc_id as text modulo n; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def training_fold(n: int, held_out: int) -> Column:
+    return fold(n) != held_out
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), digests=True)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), public_tokenizers.path(PIECES)
+    model = train(docs.filter(training_fold(3, 1)), path)
+    judged = identify(docs.select("doc_id", "text"), model, path)
+    return judged.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_texts(docs, fit(docs.filter(training_fold(7, 2))))
+    return scored.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit_digest(benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -36,10 +83,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_sentencepiece": op2_sentencepiece,
-    "op4_token_counts": op4_token_counts,
-    "op9_decontamination": op9_decontamination,
-    "op10_pii": op10_pii,
-}
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_sentencepiece, op3_ngram_jaccard_join, op4_token_counts, op5_language_id,
+        op6_url_filter, op7_class_lm, op8_nearest_neighbours, op9_decontamination, op10_pii,
+    )
+}
 
 ORACLES: dict[str, str] = {}
