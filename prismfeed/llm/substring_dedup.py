@@ -81,7 +81,8 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", tex
     A word goes if a window of n words that covers it also starts in a document
     with a smaller id; windows are judged on the input. A null or empty text has
     no words; rows with a null id lose nothing and take nothing from others; of
-    equal windows in rows of one id none goes; equal rows give equal results.
+    equal windows in rows of one id none goes; equal rows give equal results, and
+    rows of one id are told apart by 32 bits of a hash of their texts.
     Ids are integers. Columns other than id and text are not read.
     """
     spark = docs.sparkSession
@@ -98,11 +99,11 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", tex
                 at = _suspects(w, n, planes)
                 if len(at):
                     own = w.owner[at]
-                    cols = [w.grams(n)[at].view(np.int64), w.grams(n, 1)[at].view(np.int64), ids[w.lo + own], keys[w.lo + own], (at - w.off[own]).astype(np.int32)]
+                    cols = [w.grams(n)[at].view(np.int64), (w.grams(n, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[w.lo + own], keys[w.lo + own], (at - w.off[own]).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "id", "key", "at"])
 
-    keyed = rows.select("id", "text", F.xxhash64("text").alias("key"))
-    found = keyed.filter("id is not null").mapInArrow(windows, "h1 long, h2 long, id long, key long, at int")
+    keyed = rows.select("id", "text", F.shiftright(F.xxhash64("text"), 32).cast("int").alias("key"))
+    found = keyed.filter("id is not null").mapInArrow(windows, "h1 long, h2 int, id long, key int, at int")
     first = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h1", "h2", "first")
     gone = found.join(first, ["h1", "h2"]).filter("id > first").groupBy("id", "key").agg(F.collect_list("at").alias("gone"))
 
@@ -155,7 +156,7 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", tex
                 part = b.slice(w.lo, w.hi - w.lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    left = keyed.select("id", "text", "key").mapInArrow(base, "id long, key long, n_words long, kept string, text string")
+    left = keyed.select("id", "text", "key").mapInArrow(base, "id long, key int, n_words long, kept string, text string")
     whole = left.join(gone, ["id", "key"], "left").select("id", "n_words", "kept", "text", "gone")
     out = whole.mapInArrow(apply, "id long, n_words long, n_removed long, kept string")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digests else "kept"))
