@@ -104,7 +104,8 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", tex
 
     keyed = rows.select("id", "text", F.shiftright(F.xxhash64("text"), 32).cast("int").alias("key"))
     found = keyed.filter("id is not null").mapInArrow(windows, "h1 long, h2 int, id long, key int, at int")
-    first = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h1", "h2", "first")
+    # grouped by one struct: the join then has an exchange of its own on either side, whose skewed partitions can be split
+    first = found.groupBy(F.struct("h1", "h2").alias("h")).agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h.h1", "h.h2", "first")
     gone = found.join(first, ["h1", "h2"]).filter("id > first").groupBy("id", "key").agg(F.collect_list("at").alias("gone"))
 
     sha = lambda s: hashlib.sha256(s).hexdigest()
