@@ -253,12 +253,12 @@ def win_first_per_source(spark, sf):
 
 
 @query(f"""WITH {P.SQL_RECENT}, p AS (SELECT * FROM recent WHERE category IN ('politika', 'son_dakika')), s AS (SELECT cluster_id, arg_min(id, (published_at, id)) AS seed FROM p GROUP BY 1)
-SELECT p.cluster_id, any_value(seed) AS seed, arg_max(id, (published_at, id)) FILTER (id <> seed) AS latest FROM p JOIN s ON s.cluster_id = p.cluster_id GROUP BY 1""")
+SELECT p.cluster_id, any_value(seed) AS seed, CAST(arg_max(id, (published_at, id)) FILTER (id <> seed) AS VARCHAR) AS latest FROM p JOIN s ON s.cluster_id = p.cluster_id GROUP BY 1""")
 def win_seed_latest(spark, sf):
     p = P.recent(spark, sf).filter(F.col("category").isin("politika", "son_dakika"))
     two = p.groupBy("cluster_id").agg(F.min(F.struct("published_at", "id")).alias("a"), F.max(F.struct("published_at", "id")).alias("b"))
     latest = F.col("b.id")
-    return two.select("cluster_id", F.col("a.id").alias("seed"), F.when(latest != F.col("a.id"), latest).alias("latest"))
+    return two.select("cluster_id", F.col("a.id").alias("seed"), F.when(latest != F.col("a.id"), latest).cast("string").alias("latest"))
 
 
 @query(f"WITH {P.SQL_ARRIVALS} SELECT source_id, min(id) AS id FROM arrivals GROUP BY source_id, event_type")
