@@ -25,4 +25,6 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets the cleaner delete the shuffle files of finished steps now, not when the driver's heap fills
+    return kept

@@ -7,9 +7,10 @@ Jaccard similarity t or more share at least ceil(t * size) grams of either, so
   count-min sketch, which never underestimates, tells most such documents before
   any gram is shuffled;
 - of any size - ceil(t * size) + k grams of either, k are shared, for any choice
-  that both make by one global order. Grams are ordered rare first. Rare grams of
-  the prefix are indexed alone; if all that two documents share in their prefixes
-  is frequent, they share k frequent ones, and k-combinations of them are indexed
+  that both make by one global order. Grams are ordered rare first, frequent ones
+  by the number of documents whose prefixes reach them. Rare grams of the prefix
+  are indexed alone; if all that two documents share in their prefixes is
+  frequent, they share k frequent ones, and k-combinations of them are indexed
   instead, with the prefix extended accordingly.
 
 Equal sets are put into one class first and only its smallest document goes on.
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismfeed.llm._components import components
@@ -124,31 +125,53 @@ def _nodes(rows: DataFrame, planes: Planes, p: Params) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, set_key binary, cuts array<int>, grams binary")
 
 
-def _postings(nodes: DataFrame, p: Params, pairs: bool = False) -> DataFrame:
-    """Rows (g, often, id, n): the grams of each prefix that may be shared."""
+def _prefix(p: Params) -> Column:
+    """The length of a prefix that holds as many shared grams as are combined."""
+    return F.col("n") - F.ceil(F.col("n") * p.num / p.den) + p.combined
+
+
+def _alone(nodes: DataFrame, p: Params) -> DataFrame:
+    """Rows (g, often, id, n): the grams of each prefix that may be shared and are not frequent."""
     extra = p.combined - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                gs, often, ids, ns = [], [], [], []
-                for i, n, (rare, mid), blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    g = np.frombuffer(blob, np.uint64)
+                gs, ids, ns = [], [], []
+                for i, n, (rare, mid), blob in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
                     one = n - least_shared(n, p.num, p.den) + 1
-                    alone = g[rare : min(one + extra, mid)] if mid > rare else g[:0]
-                    common = g[max(mid, rare) : one + extra]
-                    if not len(common) and len(alone) and one < mid:
-                        alone = g[rare : max(rare, min(one, mid))]  # no frequent gram in the prefix: single grams suffice
-                    for x, kind in ((alone, False), (common, True)):
-                        gs.append(x)
-                        often.append(np.full(len(x), kind))
-                        ids.append(np.full(len(x), i))
-                        ns.append(np.full(len(x), n))
+                    # without a frequent gram in the extended prefix single grams suffice, and so does the plain one
+                    end = mid if one + extra > mid else one
+                    x = np.frombuffer(blob, np.int64)[rare:end]
+                    gs.append(x)
+                    ids.append(np.full(len(x), i))
+                    ns.append(np.full(len(x), n))
                 if gs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs).view(np.int64)), pa.array(np.concatenate(often)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns))], names=["g", "often", "id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns))], names=["g", "id", "n"])
+
+    rows = nodes.select("id", "n", "cuts", "grams").mapInArrow(run, "g long, id long, n long")
+    return rows.select("g", F.lit(False).alias("often"), "id", "n")
+
+
+def _common(nodes: DataFrame, p: Params) -> DataFrame:
+    """Rows (g, often, id, n): the frequent grams of the prefixes that reach them, ordered by how many such documents hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids, ns, need, mids, blobs = (part.column(k).to_pylist() for k in range(5))
+                gs = [np.frombuffer(blob, np.int64)[mid:] for blob, mid in zip(blobs, mids, strict=True)]
+                size = [len(x) for x in gs]
+                cols = [np.concatenate(gs), *(np.repeat(np.array(c, np.int64), size) for c in (ids, ns, need))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "id", "n", "need"])
 
-    return nodes.select("id", "n", "cuts", "grams").mapInArrow(run, "g long, often boolean, id long, n long")
+    reach = nodes.filter(_prefix(p) > F.col("cuts")[1])
+    rows = reach.select("id", "n", (_prefix(p) - F.col("cuts")[1]).alias("need"), F.col("cuts")[1].alias("mid"), "grams").mapInArrow(run, "g long, id long, n long, need long")
+    held = rows.groupBy("g").agg(F.count("*").alias("held"))
+    place = F.row_number().over(Window.partitionBy("id", "n").orderBy("held", "g"))  # a document's own grams
+    return rows.join(held.filter("held > 1"), "g", "left").withColumn("held", F.coalesce("held", F.lit(1))).withColumn("place", place).filter("place <= need and held > 1").select("g", F.lit(True).alias("often"), "id", "n")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
@@ -194,7 +217,7 @@ def link_components(docs: DataFrame, params: Params | None = None, id_col: str =
     classes = able.groupBy("set_key", "n").agg(F.min("id").alias("rep"))
     members = keep(able.join(classes, ["set_key", "n"]).select("id", "rep").distinct(), "jaccard-members")
     nodes = keep(able.join(members.filter("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "set_key"]), "jaccard-reps")
-    posts = keep(_postings(nodes, p), "jaccard-posts")
+    posts = keep(_alone(nodes, p).union(_common(nodes, p)), "jaccard-posts")
     # rows of one id but different sets are tested on either set; their postings meet under the same id
     edges = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     comp = None
