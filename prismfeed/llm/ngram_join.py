@@ -18,7 +18,9 @@ Candidates are then found in rounds. In the first, each gram's documents are
 compared with one of them only, its pivot; links join components at once. Then
 only grams whose documents are in different components are looked at: a few more
 pivots, at last all pairs of documents of different components under a rare gram
-or a combination of frequent ones. A pair within a component needs no test, as
+or a combination of frequent ones. Documents with many frequent grams in common
+with other components would have too many combinations: they are compared in
+blocks with the documents that share such a gram. A pair within a component needs no test, as
 it can't change the components; every other pair that can link is tested on its
 whole sets. Nothing is capped.
 """
@@ -37,16 +39,19 @@ from pyspark.sql import functions as F
 from prismfeed.llm._components import components
 from prismfeed.llm._sketch import Planes, build, text_bytes, width_for
 from prismfeed.llm._tables import keep
-from prismfeed.llm._words import Words, gram_hashes, word_tables
+from prismfeed.llm._words import Words, gram_hashes, runs, word_tables
 
 #: Words of a gram; links from NUM / DEN on.
 GRAM, NUM, DEN = 5, 75, 100
 #: Grams estimated to be in so many documents are frequent and indexed in combinations of so many.
 FREQUENT, COMBINED = 16, 2
+#: Frequent grams of different components up to which a document is indexed by combinations; documents with more would
+#: make hundreds of combinations each and are compared in blocks of so many documents instead.
+FEW, BLOCK = 12, 512
 #: The sketch has at most 2**28 cells: 32 MB of bits for each of its two levels.
 SKETCH_BITS = 28
 #: Pivots that a gram's documents are compared with before pairs are made.
-PIVOTS = 3
+PIVOTS = 2
 _BYTES_A_WORD = 6.0
 
 
@@ -83,6 +88,8 @@ class Params:
     combined: int = COMBINED
     sketch_bits: int = SKETCH_BITS
     pivots: int = PIVOTS
+    few: int = FEW
+    block: int = BLOCK
 
 
 def _gram_keys(p: Params):
@@ -238,11 +245,13 @@ def link_components(docs: DataFrame, params: Params | None = None, id_col: str =
     live = posts.join(comp, posts.id == comp.node, "left").select("g", "often", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = live.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("g")
     live = live.join(mixed, "g", "left_semi")
-    common = live.filter("often").groupBy("id", "n", "c").agg(F.array_sort(F.collect_set("g")).alias("gs")).filter(F.size("gs") >= p.combined)
-    combos = _combinations(common, p.combined)
+    counted = live.filter("often").withColumn("grams", F.count("*").over(Window.partitionBy("id", "n")))  # a document's own grams
+    few = counted.filter(F.col("grams").between(p.combined, p.few)).groupBy("id", "n", "c").agg(F.array_sort(F.collect_set("g")).alias("gs"))
+    combos = _combinations(few, p.combined)
     mixed = combos.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
     single = live.filter("not often").select(F.struct(F.col("g").alias("x"), F.lit(0).cast("long").alias("y")).alias("key"), "id", "n", "c")
     keyed = keep(single.union(combos.join(mixed, "key", "left_semi").select(F.struct(F.col("key").alias("x"), F.lit(1).cast("long").alias("y")).alias("key"), "id", "n", "c")), "jaccard-keys")
+    linked = keep(linked.union(_blocked_links(counted.withColumn("many", F.col("grams") > p.few), nodes, p)).distinct(), "jaccard-links")
     other = keyed.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
     rest = keyed.join(other, "key").filter("id < id2 and c <> c2").filter(_sized("n", "n2", p)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     linked = keep(linked.union(_links(rest, nodes, p)).distinct(), "jaccard-links")
@@ -251,6 +260,51 @@ def link_components(docs: DataFrame, params: Params | None = None, id_col: str =
     return out
 
 
+def _blocked_links(often: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+    """Links between components under frequent grams that some document holds many of: at least one for each two components that link.
+
+    All documents of such a gram join the group of the gram's pivot, once for
+    each pivot. A group is cut into blocks, large components into blocks of their
+    own, small ones pooled; blocks meet in pairs, except those of one component.
+    """
+    lead = often.groupBy("g").agg(F.min_by("id", F.xxhash64("id")).alias("pivot"), F.max("many").alias("many")).filter("many").select("g", "pivot")
+    rows = keep(often.select("g", "id", "c").join(lead, "g").select("pivot", "id", "c").distinct(), "jaccard-groups")
+    sizes = rows.groupBy("pivot", "c").agg(F.count("*").alias("s"))
+    pooled = sizes.filter(F.col("s") < p.block).groupBy("pivot").agg(F.sum("s").alias("pool"))
+    large = F.col("s") >= p.block
+    part = lambda x, total: F.pmod(F.xxhash64(x), F.ceil(F.col(total) / p.block))
+    own = F.when(large, F.col("c"))
+    placed = rows.join(sizes, ["pivot", "c"]).join(pooled, "pivot", "left").select("pivot", "id", "c", own.alias("own"), F.xxhash64(own, large, F.when(large, part("id", "s")).otherwise(part("c", "pool"))).alias("label"))
+    blocks = placed.select("pivot", "label", "own").distinct()
+    x, y = (blocks.select("pivot", F.col("label").alias(f"l{k}"), F.col("own").alias(f"o{k}")) for k in "xy")
+    meets = keep(x.join(y, "pivot").filter("lx <= ly and not coalesce(ox = oy, false)").select("pivot", "lx", "ly"), "jaccard-blocks")
+    left = placed.join(meets.withColumn("label", F.col("lx")), ["pivot", "label"]).select("pivot", "lx", "ly", F.lit(0).alias("side"), "id", "c")
+    right = placed.join(meets.filter("lx < ly").withColumn("label", F.col("ly")), ["pivot", "label"]).select("pivot", "lx", "ly", F.lit(1).alias("side"), "id", "c")
+    num, den = p.num, p.den
+
+    def run(table: pa.Table) -> pa.Table:
+        side, ids, comps = (table.column(k).to_numpy() for k in ("side", "id", "c"))
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("grams").combine_chunks()]
+        one = np.flatnonzero(side == 0)
+        two = np.flatnonzero(side == 1) if side.any() else one
+        size = np.array([len(z) for z in sets])
+        grams, owner = np.concatenate([sets[k] for k in one]), np.repeat(np.arange(len(one)), size[one])
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], owner[order]
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for k in two.tolist():
+            lo, hi = np.searchsorted(grams, sets[k]), np.searchsorted(grams, sets[k], "right")
+            same = np.bincount(owner[np.repeat(lo, hi - lo) + runs(hi - lo)], minlength=len(one))
+            ok = (den * same >= num * (size[one] + size[k] - same)) & (comps[one] != comps[k])
+            for j in one[np.flatnonzero(ok)].tolist():
+                key = (min(comps[j], comps[k]), max(comps[j], comps[k]))
+                found.setdefault(key, (int(min(ids[j], ids[k])), int(max(ids[j], ids[k]))))
+        pairs = [*found.values()]
+        return pa.table({"a": pa.array([v[0] for v in pairs], pa.int64()), "b": pa.array([v[1] for v in pairs], pa.int64())})
+
+    return left.union(right).join(nodes.select("id", "grams"), "id").groupBy("pivot", "lx", "ly").applyInArrow(run, "a long, b long")
+
+
 def _combinations(common: DataFrame, k: int) -> DataFrame:
     """Rows (key, id, n, c): a hash of each k-combination of the grams of each row."""
     if k != 2:

@@ -103,7 +103,7 @@ def brute_components(rows, n=5, num=75, den=100):
     return sorted((i, len(s), find(i)) for i, s in sets.items()), links
 
 
-@pytest.mark.parametrize("params", [Params(), Params(frequent=2, pivots=1), Params(frequent=3, pivots=1, sketch_bits=16)])
+@pytest.mark.parametrize("params", [Params(), Params(frequent=2, pivots=1), Params(frequent=3, pivots=1, sketch_bits=16, few=40), Params(frequent=2, pivots=1, few=1, block=3)])
 def test_join_against_brute_force(spark, params):
     rng = np.random.default_rng(3)
     rows = documents() + [x for x in odd_documents() if x[0] is not None]
