@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,8 +113,8 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", tex
     blank = b" "
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents without a suspect window are done; the others take their text along."""
-        planes = held.value
+        """Documents without a suspect window are done; the others take their text along, packed."""
+        planes, packer = held.value, zstandard.ZstdCompressor(level=3)
         for b in batches:
             for w in word_tables(b.column(1)):
                 at = _suspects(w, n, planes)
@@ -125,17 +126,19 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", tex
                 for d in range(w.hi - w.lo):
                     if some[d]:
                         kept.append(None)
-                        texts.append(b.column(1)[w.lo + d].as_py())
+                        texts.append(packer.compress(b.column(1)[w.lo + d].as_buffer()))
                     else:
                         words = blank.join([data[s:e] for s, e in zip(start[off[d] : off[d + 1]], end[off[d] : off[d + 1]], strict=True)])
                         kept.append(sha(words) if digests else words.decode())
                         texts.append(None)
                 part = b.slice(w.lo, w.hi - w.lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(w.counts, pa.int64()), pa.array(kept, pa.string()), pa.array(texts, pa.string())], names=["id", "key", "n_words", "kept", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(w.counts, pa.int64()), pa.array(kept, pa.string()), pa.array(texts, pa.binary())], names=["id", "key", "n_words", "kept", "text"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for b in batches:
-            for w in word_tables(b.column(3)):
+            texts = [unpacker.decompress(t) if t else t for t in b.column(3).to_pylist()]
+            for w in word_tables(pa.array(texts, pa.large_binary()).cast(pa.large_string())):
                 kept, removed = b.column(2).slice(w.lo, w.hi - w.lo).to_pylist(), []
                 lists = b.column(4).slice(w.lo, w.hi - w.lo)
                 data = None
@@ -157,7 +160,7 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", tex
                 part = b.slice(w.lo, w.hi - w.lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    left = keyed.select("id", "text", "key").mapInArrow(base, "id long, key int, n_words long, kept string, text string")
+    left = keyed.select("id", "text", "key").mapInArrow(base, "id long, key int, n_words long, kept string, text binary")
     whole = left.join(gone, ["id", "key"], "left").select("id", "n_words", "kept", "text", "gone")
     out = whole.mapInArrow(apply, "id long, n_words long, n_removed long, kept string")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_sha256" if digests else "kept"))
