@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 _BLOCK_BITS = 16
 _BLOCK = 1 << _BLOCK_BITS
 #: Cells that a task gathers before it merges them.
-_GATHER = 1 << 22
+_GATHER = 1 << 20
 
 
 def width_for(keys: float, per_key: float, most_bits: int, least_bits: int = 18) -> int:
