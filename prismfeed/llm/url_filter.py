@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismfeed.llm._tables import keep
+
 #: Levels of the tree; deeper segments are one wildcard. Children from which a branch's segments are variable.
 LEVELS, MANY = 4, 32
 #: Standard errors within which a branch is merged with its siblings, weight of the parent's rate, block rate of rejection.
@@ -70,7 +72,7 @@ def templates(counts: DataFrame, levels: int = LEVELS, many: int = MANY, similar
         step = F.when(F.col("seg") == "", F.lit(None)).when((F.col("children") >= many) & ~apart, F.lit(ANY)).when(known, F.lit(ALIKE)).otherwise(F.col("seg"))
         named = near.select("host", "template", "seg", step.alias("step"))
         tree = tree.join(named, ["host", "template", "seg"]).withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.array("step"))))
-        tree = tree.drop("seg", "step")
+        tree = keep(tree.drop("seg", "step"), "url-tree")  # a row for each host and shape; else every level would plan all before it several times
     rest = F.when(F.size("shape") > levels, F.concat("template", F.array(F.lit(DEEPER)))).otherwise(F.col("template"))
     return tree.withColumn("template", rest)
 
@@ -89,7 +91,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     rule, verdict = fitting_rule(rules)
     judged = parsed.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("ruled"), shape(F.col("path")).alias("shape"))
     labelled, blocked = F.count("ruled"), F.count_if(F.col("ruled") == "block")
-    counts = judged.groupBy("host", "shape").agg(F.count("*").alias("pages"), labelled.alias("labelled"), blocked.alias("blocked"))
+    counts = keep(judged.groupBy("host", "shape").agg(F.count("*").alias("pages"), labelled.alias("labelled"), blocked.alias("blocked")), "url-counts")
     tree = templates(counts)
     smooth = lambda b, n, towards: (F.col(b) + weight * F.col(towards)) / (F.col(n) + weight)
     hosts = counts.groupBy("host").agg(F.sum("labelled").alias("hn"), F.sum("blocked").alias("hb")).withColumn("even", F.lit(0.5)).select("host", smooth("hb", "hn", "even").alias("host_rate"))
