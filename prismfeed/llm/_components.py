@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prismfeed.llm._tables import keep
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for every node of edges (a, b), longs; component: the smallest node reachable.
 
     Alternates the large-star and small-star steps, which rewrite edges and keep
@@ -17,7 +17,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     work. The rounds grow with the logarithm of the longest chain.
     """
     known = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    for _ in range(rounds):
+    settled = False
+    while not settled:
         both = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: larger neighbours point to the smallest of the neighbourhood
@@ -30,8 +31,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         settled = mark(known) == mark(after)
         known = after
-        if settled:
-            break
     roots = known.groupBy("a").agg(F.min("b").alias("b"))
     nodes = roots.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(roots.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
