@@ -95,25 +95,39 @@ def best_match(scored: DataFrame, threshold: float = scalar.MATCH) -> DataFrame:
 
 
 def assign_greedily(articles: DataFrame, scored: DataFrame) -> DataFrame:
-    """(id, cluster_id): articles in order of time join the cluster of their best earlier match that lacks their source, or found one.
+    """(id, cluster_id): articles in order of time join the first cluster that holds their fingerprint, else that of their best
+    earlier match, if it lacks their source, or found one.
 
     The order-dependent decisions need one pass over a batch: of each article only
-    its links at the floor or above, scored beforehand in parallel, come to the
-    task that decides for its component's batch (column `batch`).
+    its fingerprint, looked up with no entity or time condition, and its links at
+    the floor or above, scored beforehand in parallel, come to the task that
+    decides for its component's batch (column `batch`); equal fingerprints belong
+    in one batch.
     """
     links = scored.filter(F.col("s.score") >= FLOOR).select(F.greatest("a", "b").alias("id"), F.struct(F.col("s.score").alias("score"), F.least("a", "b").alias("to")).alias("l")).groupBy("id").agg(F.array_sort(F.collect_list("l")).alias("links"))
-    rows = articles.select("batch", "id", "slug", "published_at").join(links, "id", "left")
+    strict = F.col("strict") if "strict" in articles.columns else F.lit(None).cast("string")
+    rows = articles.select("batch", "id", "slug", strict.alias("strict"), "published_at").join(links, "id", "left")
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         cluster: dict[int, int] = {}
         held: dict[int, set] = {}
+        order: dict[str, list[int]] = {}  # clusters of each fingerprint
+        seen: set[tuple] = set()
+        passed: dict[tuple, int] = {}  # how many of them hold a source already; a cluster never loses one
         for r in batch.sort_values(["published_at", "id"]).itertuples(index=False):
-            found = None
+            known, at = order.get(r.strict, []), passed.get((r.strict, r.slug), 0)
+            while at < len(known) and r.slug in held[known[at]]:
+                at += 1
+            passed[r.strict, r.slug] = at
+            found = known[at] if at < len(known) else None
             options = sorted(([x["score"], x["to"]] for x in r.links), key=lambda x: (-x[0], x[1])) if r.links is not None else []
-            if options and options[0][0] >= scalar.MATCH:
+            if found is None and options and options[0][0] >= scalar.MATCH:
                 found = next((cluster[to] for _, to in options if to in cluster and r.slug not in held[cluster[to]]), None)
             cluster[r.id] = r.id if found is None else found
             held.setdefault(cluster[r.id], set()).add(r.slug)
+            if isinstance(r.strict, str) and (r.strict, cluster[r.id]) not in seen:
+                seen.add((r.strict, cluster[r.id]))
+                order.setdefault(r.strict, []).append(cluster[r.id])
         return pd.DataFrame({"id": [*cluster], "cluster_id": [*cluster.values()]})
 
     return rows.groupBy("batch").applyInPandas(run, "id long, cluster_id long")

@@ -123,3 +123,11 @@ def test_greedy_assignment_keeps_one_article_of_a_source(spark):
     a = spark.createDataFrame([(1, 0, "a", 0), (2, 0, "b", 1), (3, 0, "a", 2)], "id long, batch int, slug string, m int").withColumn("published_at", F.timestamp_seconds("m"))
     s = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (1, 3, 0.7)], "a long, b long, score double").select("a", "b", F.struct("score").alias("s"))
     assert sorted(map(tuple, clustering.assign_greedily(a, s).collect())) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_greedy_assignment_joins_equal_fingerprints_without_links(spark):
+    far = 400 * 3600  # beyond the time window
+    rows = [(1, 0, "a", "x", 0), (2, 0, "b", "x", far), (3, 0, "a", "x", far + 1), (4, 0, "b", "x", far + 2), (5, 0, "b", None, 3), (6, 0, "c", None, 4), (7, 0, "c", "y", 5), (8, 0, "d", "x", far + 3)]
+    a = spark.createDataFrame(rows, "id long, batch int, slug string, strict string, m int").withColumn("published_at", F.timestamp_seconds("m"))
+    none = spark.createDataFrame([], "a long, b long, score double").select("a", "b", F.struct("score").alias("s"))
+    assert sorted(map(tuple, clustering.assign_greedily(a, none).collect())) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7), (8, 1)]
