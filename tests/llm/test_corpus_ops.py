@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from prismfeed.llm import queries as Q
 from prismfeed.llm.ann import nearest
-from prismfeed.llm.class_lm import exchange, fit, score_texts
+from prismfeed.llm.class_lm import best_classes, exchange, fit, score_texts
 from prismfeed.llm.ngram_join import Params, link_components
 from prismfeed.llm.substring_dedup import remove_repeats
 from prismfeed.llm.url_filter import judge_urls
@@ -170,6 +170,52 @@ def test_exchange_finds_planted_classes():
     assert len({*zip(of.tolist(), found.tolist(), strict=True)}) == 4
 
 
+def test_insertion_gain_is_the_likelihood():
+    rng = np.random.default_rng(1)
+    n, classes = 40, 4
+    big = rng.poisson(0.6, (n, n))
+    of = np.concatenate([rng.integers(0, classes, 25), np.full(1, classes), np.full(n - 26, classes + 1)])
+
+    def table(of):
+        one = np.eye(classes + 2)[of]
+        return one.T @ big @ one
+
+    def likelihood(of):
+        t = table(of)
+        xlogx = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        return xlogx(t) - xlogx(t.sum(axis=0)) - xlogx(t.sum(axis=1))
+
+    one = np.eye(classes + 2)[of]
+    new = np.arange(26, n)
+    own = big[new, new]
+    out, into = big[new] @ one, big[:, new].T @ one
+    out[:, -1] -= own
+    into[:, -1] -= own
+    got = best_classes(table(of), into, out, own, classes)
+    for w, k in zip(new, got, strict=True):
+        assert k == np.argmax([likelihood(np.where(np.arange(n) == w, c, of)) for c in range(classes)])
+
+
+def test_rare_words_are_clustered(spark):
+    rng = np.random.default_rng(2)
+    frequent, rare = [[f"f{k}_{i}" for i in range(5)] for k in range(3)], [[f"r{k}_{i}" for i in range(60)] for k in range(3)]
+    rows = []
+    for i in range(6000):  # a word of kind k is followed by one of kind k + 1
+        k = int(rng.integers(0, 3))
+        rows.append((i, " ".join(str(rng.choice((rare if rng.random() < 0.3 else frequent)[(k + j) % 3])) for j in range(7))))
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), clustered=16, classes=3)
+    of = {w: set() for w in range(3)}
+    hashes = {int(h): int(k) for h, k in zip(model.head, model.head_class, strict=True)}
+    from prismfeed.llm._words import word_tables
+
+    import pyarrow as pa
+
+    for k in range(3):
+        for w in word_tables(pa.array([" ".join(rare[k])]), lower=True):
+            of[k] |= {hashes[int(h)] for h in w.hashes()}
+    assert all(len(x) == 1 for x in of.values()) and len({*map(tuple, of.values())}) == 3
+
+
 def test_language_id_held_out(spark):
     lang = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
     got = Q.op5_language_id(spark, SF).collect()
