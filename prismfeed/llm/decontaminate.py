@@ -129,42 +129,57 @@ def search(w, index: Index) -> tuple[np.ndarray, dict[int, set[int]]]:
     return np.cumsum(hit)[:-1] > 0, items
 
 
-def _pass(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
+def _covered(spans: pa.ListArray, off: np.ndarray) -> np.ndarray:
+    """Whether each word is in one of the spans of its text."""
+    out = np.zeros(int(off[-1]) + 1, np.int64)
+    start, end = (x.to_numpy(zero_copy_only=False) for x in spans.flatten().flatten())
+    first = np.repeat(off[:-1], spans.value_lengths().to_numpy(zero_copy_only=False))
+    np.add.at(out, first + start, 1)
+    np.add.at(out, first + end, -1)
+    return np.cumsum(out)[:-1] > 0
+
+
+def _pass(docs: DataFrame, index: Index, last: bool) -> DataFrame:
+    """docs (id, text), after the first pass with n_words, spans and items as well, to which those of index are added; the last pass leaves the text out."""
     held = docs.sparkSession.sparkContext.broadcast(index)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, first = docs.schema["id"].dataType.simpleString(), len(docs.columns) == 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for b in batches:
             for w in word_tables(b.column(1), ALNUM, lower=True):
                 hit, items = search(w, index)
+                if not first:
+                    hit |= _covered(b.column("spans").slice(w.lo, w.hi - w.lo), w.off)
+                before = [()] * (w.hi - w.lo) if first else b.column("items").slice(w.lo, w.hi - w.lo).to_pylist()
                 ids = b.column(0).slice(w.lo, w.hi - w.lo)
                 spans: list[list] = [[] for _ in range(w.hi - w.lo)]
                 if hit.any():
                     where = np.flatnonzero(hit)
                     new = np.ones(len(where), bool)
                     new[1:] = (np.diff(where) > 1) | (w.owner[where[1:]] != w.owner[where[:-1]])
-                    first = where[new]
-                    last = where[np.append(np.flatnonzero(new)[1:] - 1, len(where) - 1)] + 1
-                    for s, e in zip(first.tolist(), last.tolist(), strict=True):
+                    begin = where[new]
+                    stop = where[np.append(np.flatnonzero(new)[1:] - 1, len(where) - 1)] + 1
+                    for s, e in zip(begin.tolist(), stop.tolist(), strict=True):
                         d = int(w.owner[s])
                         spans[d].append({"start": s - int(w.off[d]), "end": e - int(w.off[d])})
-                names = [sorted({index.names[i] for i in items.get(d, ())} - {None}) for d in range(w.hi - w.lo)]
+                names = [sorted({*before[d], *(index.names[i] for i in items.get(d, ()))} - {None}) for d in range(w.hi - w.lo)]
                 kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(w.counts, pa.int64()), pa.array(spans, kinds), pa.array(names, pa.list_(pa.string()))], names=["id", "n_words", "spans", "items"])
+                text = {} if last else {"text": b.column(1).slice(w.lo, w.hi - w.lo)}
+                yield pa.RecordBatch.from_pydict({"id": ids, **text, "n_words": pa.array(w.counts, pa.int64()), "spans": pa.array(spans, kinds), "items": pa.array(names, pa.list_(pa.string()))})
 
-    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
-    return out.withColumnRenamed("id", id_col)
+    text = "" if last else "text string, "
+    return docs.mapInArrow(run, f"id {kind}, {text}n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
-def _indexes(items: DataFrame, n: int, k: int, item_id: str, item_text: str, slice_bytes: int) -> Iterator[Index]:
-    """An index for each slice of the items, of about slice_bytes of text."""
+def _indexes(items: DataFrame, n: int, k: int, item_id: str, item_text: str, slice_bytes: int) -> Iterator[tuple[Index, bool]]:
+    """An index for each slice of the items, of about slice_bytes of text, and whether it is the last."""
     sized = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"), F.coalesce(F.octet_length(item_text), F.lit(0)).cast("long").alias("b"))
     slices = (sized.agg(F.sum("b")).first()[0] or 0) // slice_bytes + 1
     for s in range(slices):
         part = sized if slices == 1 else sized.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == s)
         rows = part.select("i", "t").collect()
-        yield build_index([r.i for r in rows], [r.t for r in rows], n, k)
+        yield build_index([r.i for r in rows], [r.t for r in rows], n, k), s == slices - 1
 
 
 def benchmark_hits(
@@ -173,33 +188,22 @@ def benchmark_hits(
     """Rows (id, n_words, spans, items) for every document: the word spans that benchmark windows cover, and those items.
 
     The items are read to the driver in slices of bounded bytes and each slice
-    is broadcast for one pass over the documents; one slice, the usual case,
-    needs no shuffle. With more slices the passes are put together by a key of
-    the row, so ids must then be unique. Null or empty texts have no words; an
+    is broadcast for one pass over the documents. The passes are chained, each
+    adds its hits to those that come with the row, so that nothing is shuffled
+    and repeated and null ids are kept. Null or empty texts have no words; an
     item without words finds nothing; items with a null id hit words but are not
     listed; equal items are all listed; other columns are not read.
     """
-    parts = [_pass(docs, index, id_col, text_col) for index in _indexes(items, n, k, item_id, item_text, slice_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    merged = whole.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    joined = F.aggregate(
-        "s",
-        empty,
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))
-        .otherwise(F.concat(acc, F.array(x))),
-    )
-    return merged.select(id_col, "n_words", joined.alias("spans"), "items")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    for index, last in _indexes(items, n, k, item_id, item_text, slice_bytes):
+        found = _pass(found, index, last)
+    return found.withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, k: int = 5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows of docs in which no window of an item occurs, with all their columns; narrow, one pass for each slice of items."""
     at, schema = docs.columns.index(text_col), docs.schema
-    for index in _indexes(items, n, k, item_id, item_text, slice_bytes):
+    for index, _ in _indexes(items, n, k, item_id, item_text, slice_bytes):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

@@ -93,6 +93,16 @@ def test_decontamination_against_brute_force(spark, slice_bytes):
     assert got == sorted((i, *brute_hits(t, known)) for i, t in rows)
 
 
+@pytest.mark.parametrize("slice_bytes", [32 << 20, 400])
+def test_decontamination_keeps_rows_of_null_and_repeated_ids(spark, slice_bytes):
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(30))) for i in range(12)]
+    both = " ".join(items[0][1].split()[:15] + items[1][1].split()[:12])
+    rows = [(None, items[3][1]), (None, "clean text"), (None, None), (1, both), (1, "another clean text"), (1, both), (2, " ".join(t for _, t in items)), (3, "x " + " ".join(items[5][1].split()[2:12]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r[0], *r[1:]) for r in hit_digest(benchmark_hits(df, spark.createDataFrame(items, "item_id long, text string"), slice_bytes=slice_bytes)).collect()]
+    assert sorted(map(str, got)) == sorted(str((i, *brute_hits(t, items))) for i, t in rows)
+
+
 def brute_pii(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
