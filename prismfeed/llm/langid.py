@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-#: Bounds of the labelled sample: rows per language, and the most frequent words of it that are fitted.
-TRAIN_ROWS, TRAIN_WORDS = 500, 60_000
+#: Bound of the labelled sample: rows per language. All words of it are fitted.
+TRAIN_ROWS = 500
+#: Words whose arcs are laid out together in fitting.
+FIT_WORDS = 4096
 #: Longer letter runs are scored in stretches of so many letters.
 WORD_CHARS = 32
 #: Words remembered per Python worker.
@@ -97,18 +99,20 @@ class Lattice:
         prob = np.full((self.size, n_lang), 1.0 / self.size)
         if not len(words):
             return prob
-        arcs = self.arcs(words)
-        w, b, e, p, lengths = arcs
+        parts = [(self.arcs(words[at : at + FIT_WORDS]), counts[at : at + FIT_WORDS]) for at in range(0, len(words), FIT_WORDS)]
         for _ in range(rounds):
             prob[0] = _UNKNOWN
-            by_arc = prob[p]
-            alpha = self.forward(arcs, by_arc)
-            back = lengths[w]
-            mirrored = (w, back - e, back - b, p, lengths)
-            beta = self.forward(mirrored, by_arc)  # beta[word, letters left]
-            total = alpha[np.arange(len(lengths)), lengths]
-            share = alpha[w, b] * by_arc * beta[w, back - e] / np.maximum(total[w], 1e-300) * counts[w]
-            expected = np.stack([np.bincount(p, share[:, k], self.size) for k in range(n_lang)], axis=1)
+            expected = np.zeros((self.size, n_lang))
+            for arcs, n in parts:
+                w, b, e, p, lengths = arcs
+                by_arc = prob[p]
+                alpha = self.forward(arcs, by_arc)
+                back = lengths[w]
+                mirrored = (w, back - e, back - b, p, lengths)
+                beta = self.forward(mirrored, by_arc)  # beta[word, letters left]
+                total = alpha[np.arange(len(lengths)), lengths]
+                share = alpha[w, b] * by_arc * beta[w, back - e] / np.maximum(total[w], 1e-300) * n[w]
+                expected += np.stack([np.bincount(p, share[:, k], self.size) for k in range(n_lang)], axis=1)
             mixture = expected.sum(axis=1, keepdims=True) + 0.01
             mixture /= mixture.sum()
             prob = (expected + pull * mixture) / (expected.sum(axis=0, keepdims=True) + pull)
@@ -167,7 +171,7 @@ _TOGETHER = 256
 
 
 def train(labelled: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their piece probabilities, from at most about TRAIN_ROWS rows of each and TRAIN_WORDS words."""
+    """Languages, sorted, and their piece probabilities, from at most about TRAIN_ROWS rows of each and all their words."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     langs = sorted(sizes)
@@ -185,11 +189,11 @@ def train(labelled: DataFrame, vocabulary: str, lang_col: str = "lang", text_col
         yield pa.RecordBatch.from_pydict({"l": [k[0] for k in found], "w": [k[1] for k in found], "n": [*found.values()]}, pa.schema([("l", pa.string()), ("w", pa.string()), ("n", pa.int64())]))
 
     counted = picked.mapInArrow(run, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
-    best = counted.orderBy(F.desc("n"), "w", "l").limit(TRAIN_WORDS).collect()
-    words = sorted({r.w for r in best})
+    found = counted.collect()  # words of the sample: bounded by rows, not by the corpus
+    words = sorted({r.w for r in found})
     spot, column = {x: i for i, x in enumerate(words)}, {x: i for i, x in enumerate(langs)}
     counts = np.zeros((len(words), len(langs)))
-    for r in best:
+    for r in found:
         counts[spot[r.w], column[r.l]] = r.n
     return langs, lattice.fit(words, counts)
 

@@ -236,6 +236,18 @@ def test_language_id_odd_rows(spark):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_all_words_of_the_sample_are_fitted(spark, monkeypatch):
+    from prismfeed.llm import langid
+
+    fitted = []
+    monkeypatch.setattr(langid.Lattice, "fit", lambda self, words, counts: fitted.extend(words))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[i // 26**k % 26] for k in range(4))
+    rows = [(i, " ".join(word(200 * i + k) for k in range(200)), "aa") for i in range(320)] + [(1000, "кошка у реки", "ru")]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), Q.public_tokenizers.path(Q.PIECES))
+    assert len(fitted) == 64_003 and {"кошка", "у", "реки"} <= {*fitted}
+
+
 def test_neighbours_against_brute_force(spark):
     t = pq.read_table(f"{SF}/embeddings.parquet").to_pandas()
     x, ids = np.stack(t.embedding).astype(np.float64), t.vec_id.to_numpy()
