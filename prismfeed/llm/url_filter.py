@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from prismfeed.llm._tables import keep
 
-#: Levels of the tree; deeper segments are one wildcard. Children from which a branch's segments are variable.
+#: Least levels of the tree, which has as many as the deepest labelled path; deeper segments are one wildcard. Children from which a branch's segments are variable.
 LEVELS, MANY = 4, 32
 #: Standard errors within which a branch is merged with its siblings, weight of the parent's rate, block rate of rejection.
 SIMILAR, WEIGHT, REJECT = 1.96, 20.0, 0.75
@@ -44,14 +44,18 @@ def fitting_rule(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def shape(path: Column) -> Column:
-    """Segments of a path, variable ones by their looks alone as wildcards (with their extension), cut to LEVELS."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+def segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def shape(path: Column, levels: int = LEVELS) -> Column:
+    """Segments of a path, variable ones by their looks alone as wildcards (with their extension), cut to levels."""
+    parts = segments(path)
     plain = F.transform(
         parts,
         lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z]{1,5})?$") | s.rlike(r"^[0-9a-f-]{16,}$") | (F.length(s) > 32), F.concat(F.lit(ANY), F.regexp_extract(s, r"^[0-9]+(\.[A-Za-z]{1,5})$", 1))).otherwise(s),
     )
-    return F.when(F.size(plain) > LEVELS, F.concat(F.slice(plain, 1, LEVELS), F.array(F.lit(DEEPER)))).otherwise(plain)
+    return F.when(F.size(plain) > levels, F.concat(F.slice(plain, 1, levels), F.array(F.lit(DEEPER)))).otherwise(plain)
 
 
 def templates(counts: DataFrame, levels: int = LEVELS, many: int = MANY, similar: float = SIMILAR) -> DataFrame:
@@ -89,10 +93,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     host, path = url_parts(F.col("url"))
     parsed = parsed.select(id_col, host.alias("host"), path.alias("path"))
     rule, verdict = fitting_rule(rules)
-    judged = parsed.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("ruled"), shape(F.col("path")).alias("shape"))
+    ruled = parsed.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+    levels = max(LEVELS, ruled.filter("ruled is not null").agg(F.max(F.size(segments(F.col("path"))))).first()[0] or 0)
+    judged = ruled.withColumn("shape", shape(F.col("path"), levels))
     labelled, blocked = F.count("ruled"), F.count_if(F.col("ruled") == "block")
     counts = keep(judged.groupBy("host", "shape").agg(F.count("*").alias("pages"), labelled.alias("labelled"), blocked.alias("blocked")), "url-counts")
-    tree = templates(counts)
+    tree = templates(counts, levels)
     smooth = lambda b, n, towards: (F.col(b) + weight * F.col(towards)) / (F.col(n) + weight)
     hosts = counts.groupBy("host").agg(F.sum("labelled").alias("hn"), F.sum("blocked").alias("hb")).withColumn("even", F.lit(0.5)).select("host", smooth("hb", "hn", "even").alias("host_rate"))
     rates = tree.groupBy("host", "template").agg(F.sum("labelled").alias("tn"), F.sum("blocked").alias("tb")).join(hosts, "host").select("host", "template", smooth("tb", "tn", "host_rate").alias("block_rate"))

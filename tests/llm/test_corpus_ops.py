@@ -297,3 +297,11 @@ def test_urls(spark):
     assert all(got[9_200_000 + i].verdict == "block" for i in range(30))  # a host of blocked templates
     assert got[9_000_000].verdict == "allow"
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), Q.URL_RULES).count() == 0
+
+
+def test_url_tree_follows_the_deepest_labelled_path(spark):
+    rows = [(1000 * k + i, f"http://deep.com/a/b/c/d/{end}/{i}") for k, end in enumerate(("good", "bad")) for i in range(300)]
+    rules = [("block", "deep.com", "/a/b/c/d/bad/1"), ("allow", "deep.com", "/a/b/c/d/good/1")]
+    got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got[1002].rule is None and got[1002].verdict == "block" and got[2].rule is None and got[2].verdict == "allow"
+    assert got[1002].template != got[2].template
