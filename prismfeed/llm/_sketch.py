@@ -10,7 +10,7 @@ alone, which is bounded, so it may be broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 _BLOCK_BITS = 16
 _BLOCK = 1 << _BLOCK_BITS
 #: Cells that a task gathers before it merges them.
-_GATHER = 1 << 20
+_GATHER = 1 << 19
 
 
 def width_for(keys: float, per_key: float, most_bits: int, least_bits: int = 18) -> int:
@@ -52,10 +52,10 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndar
 class Planes:
     """Merged bit planes of a sketch: for each level, whether a cell reached it."""
 
-    def __init__(self, width: int, depth: int, levels: tuple[int, ...], blocks: dict[int, list[bytes]]):
+    def __init__(self, width: int, depth: int, levels: tuple[int, ...], blocks: Iterable[tuple[int, list[bytes]]]):
         self.width, self.depth, self.levels = width, depth, levels
         self.bits = np.zeros((len(levels), depth * width // 8), np.uint8)
-        for block, planes in blocks.items():
+        for block, planes in blocks:
             for k, plane in enumerate(planes):
                 self.bits[k, block * _BLOCK // 8 : (block + 1) * _BLOCK // 8] = np.frombuffer(plane, np.uint8)
 
@@ -126,8 +126,7 @@ def build(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.
 
     parts = df.mapInArrow(run, "block long, cells binary, counts binary")
     blocks = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block long, planes array<binary>")
-    found = {r.block: [bytes(p) for p in r.planes] for r in blocks.toLocalIterator()}  # depth * width / 8 bytes a level
-    return Planes(width, depth, levels, found)
+    return Planes(width, depth, levels, blocks.toLocalIterator())  # depth * width / 8 bytes a level
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:

@@ -13,18 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset and the master is local (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="prismfeed-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+def keep(df: DataFrame, label: str, free: bool = True) -> DataFrame:
+    """Write a DataFrame to the shared folder and read it again: lineage ends there, and a lost executor loses nothing.
+
+    free: let the driver's cleaner delete the shuffle files of finished steps now, not when its heap fills.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets the cleaner delete the shuffle files of finished steps now, not when the driver's heap fills
+    if free:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return kept

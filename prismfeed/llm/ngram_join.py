@@ -1,27 +1,30 @@
 """Exact Jaccard self-join of word n-gram sets with token-combination prefixes.
 
 A document's set is its distinct word 5-grams (as 64-bit hashes). Two sets with
-Jaccard similarity t or more share at least ceil(t * size) grams of either, so
+Jaccard similarity t or more share at least ceil(t / (1 + t) * (size + size'))
+grams, and no fewer than ceil(t * size) of either. So
 
 - a document with fewer grams that occur elsewhere links with nothing; a merged
   count-min sketch, which never underestimates, tells most such documents before
-  any gram is shuffled;
-- of any size - ceil(t * size) + k grams of either, k are shared, for any choice
-  that both make by one global order. Grams are ordered rare first, frequent ones
-  by the number of documents whose prefixes reach them. Rare grams of the prefix
-  are indexed alone; if all that two documents share in their prefixes is
-  frequent, they share k frequent ones, and k-combinations of them are indexed
-  instead, with the prefix extended accordingly.
-
-Equal sets are put into one class first and only its smallest document goes on.
-Candidates are then found in rounds. In the first, each gram's documents are
-compared with one of them only, its pivot; links join components at once. Then
-only grams whose documents are in different components are looked at: a few more
-pivots, at last all pairs of documents of different components under a rare gram
-or a combination of frequent ones. Documents with many frequent grams in common
-with other components would have too many combinations: they are compared in
-blocks with the documents that share such a gram. A pair within a component needs no test, as
-it can't change the components; every other pair that can link is tested on its
+  any gram is shuffled. Equal sets are one class, of which the smallest document
+  goes on; a second sketch, of these representatives alone, thins them again and
+  gives each gram a level, by which all sets are ordered rare first;
+- the first shared gram of two sets, in that order, lies in either's prefix. If
+  it is rare (few representatives hold it) the two meet under it alone;
+- otherwise all they share is frequent. Frequent grams are dealt to m classes by
+  hash; of the first m + 1 shared ones two are of one class, so the two sets meet
+  under a combination of two frequent grams of one class, with the prefix
+  extended by m. m grows with the sets, so that combinations are in proportion
+  to grams. Sets too small to share m + 1 grams meet under single grams.
+
+Each posting carries the greatest overlap that is still possible if it is the
+first one shared, so most that share a passage but can't link never meet.
+
+Candidates are found in rounds: the postings of a key are compared with a few of
+them, its pivots, more in each round; links join components, and keys whose
+documents are in one component are left out. At last all remaining pairs of
+different components are made. A pair within a component needs no test, as it
+can't change the components; every other pair that can link is tested on its
 whole sets. Nothing is capped.
 """
 
@@ -33,25 +36,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismfeed.llm._components import components
 from prismfeed.llm._sketch import Planes, build, text_bytes, width_for
 from prismfeed.llm._tables import keep
-from prismfeed.llm._words import Words, gram_hashes, runs, word_tables
+from prismfeed.llm._words import Words, gram_hashes, mix64, word_tables
+from prismfeed.operators.graph import components, downward, hooked, labels
 
 #: Words of a gram; links from NUM / DEN on.
 GRAM, NUM, DEN = 5, 75, 100
-#: Grams estimated to be in so many documents are frequent and indexed in combinations of so many.
-FREQUENT, COMBINED = 16, 2
-#: Frequent grams of different components up to which a document is indexed by combinations; documents with more would
-#: make hundreds of combinations each and are compared in blocks of so many documents instead.
-FEW, BLOCK = 12, 512
-#: The sketch has at most 2**28 cells: 32 MB of bits for each of its two levels.
-SKETCH_BITS = 28
-#: Pivots that a gram's documents are compared with before pairs are made.
-PIVOTS = 2
+#: Grams estimated to be in so many representatives are frequent and indexed in combinations of two. One of LEVELS.
+FREQUENT = 64
+#: Counts that part the levels by which grams are ordered.
+LEVELS = (2, 4, 16, 64, 256, 1024)
+#: Sets of about s grams have s / SPREAD classes of frequent grams.
+SPREAD = 16
+#: The sketches have at most 2**28 and 2**26 cells: 32 MB of bits, and 8 MB for each level.
+SKETCH_BITS, FINE_BITS = 28, 26
+#: Pivots of a key in each round.
+PIVOTS = (1, 4, 16)
 _BYTES_A_WORD = 6.0
 
 
@@ -85,14 +89,14 @@ class Params:
     num: int = NUM
     den: int = DEN
     frequent: int = FREQUENT
-    combined: int = COMBINED
+    levels: tuple[int, ...] = LEVELS
+    spread: int = SPREAD
     sketch_bits: int = SKETCH_BITS
-    pivots: int = PIVOTS
-    few: int = FEW
-    block: int = BLOCK
+    fine_bits: int = FINE_BITS
+    pivots: tuple[int, ...] = PIVOTS
 
 
-def _gram_keys(p: Params):
+def _text_keys(p: Params):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             for w in word_tables(b.column(0), lower=True):
@@ -101,8 +105,14 @@ def _gram_keys(p: Params):
     return keys
 
 
+def _blob_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for b in batches:
+        for blob in b.column(0):
+            yield np.frombuffer(blob.as_buffer(), np.uint64)
+
+
 def _nodes(rows: DataFrame, planes: Planes, p: Params) -> DataFrame:
-    """Rows (id, n, set_key, grams) of all documents; grams (a blob, rare first) only of those that may link."""
+    """Rows (id, n, set_key, grams) of all documents; grams (a blob of those that occur elsewhere, sorted) only of those that may link."""
     held = rows.sparkSession.sparkContext.broadcast(planes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,75 +120,89 @@ def _nodes(rows: DataFrame, planes: Planes, p: Params) -> DataFrame:
         for b in batches:
             for w in word_tables(b.column(1), lower=True):
                 g, off = gram_sets(w, p.gram)
-                seen, often = planes.reached(g, 0), planes.reached(g, 1)
+                seen = planes.reached(g, 0)
                 sizes = np.diff(off)
                 shared = np.add.reduceat(np.append(seen, 0).astype(np.int64), np.minimum(off[:-1], len(g))) * (sizes > 0)
-                blobs, cuts, keys = [], [], []
-                for d in range(w.hi - w.lo):
-                    part = slice(off[d], off[d + 1])
-                    if not sizes[d] or shared[d] < least_shared(int(sizes[d]), p.num, p.den):
-                        blobs.append(None)
-                        cuts.append(None)
-                        keys.append(None)
-                        continue
-                    one, yes, many = g[part], seen[part], often[part]
-                    keys.append(hashlib.sha256(one.tobytes()).digest()[:16])
-                    groups = [one[~yes], one[yes & ~many], one[many]]  # each sorted
-                    blobs.append(np.concatenate(groups).tobytes())
-                    cuts.append([len(groups[0]), len(groups[0]) + len(groups[1])])
+                blobs, keys = [None] * (w.hi - w.lo), [None] * (w.hi - w.lo)
+                for d in np.flatnonzero((sizes > 0) & (shared >= least_shared(sizes, p.num, p.den))).tolist():
+                    one = g[off[d] : off[d + 1]]
+                    keys[d] = hashlib.sha256(one.tobytes()).digest()[:16]
+                    blobs[d] = one[seen[off[d] : off[d + 1]]].tobytes()
                 ids = b.column(0).slice(w.lo, w.hi - w.lo)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(cuts, pa.list_(pa.int32())), pa.array(blobs, pa.binary())], names=["id", "n", "set_key", "cuts", "grams"])
-
-    return rows.mapInArrow(run, "id long, n long, set_key binary, cuts array<int>, grams binary")
-
-
-def _prefix(p: Params) -> Column:
-    """The length of a prefix that holds as many shared grams as are combined."""
-    return F.col("n") - F.ceil(F.col("n") * p.num / p.den) + p.combined
-
-
-def _alone(nodes: DataFrame, p: Params) -> DataFrame:
-    """Rows (g, often, id, n): the grams of each prefix that may be shared and are not frequent."""
-    extra = p.combined - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                gs, ids, ns = [], [], []
-                for i, n, (rare, mid), blob in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                    one = n - least_shared(n, p.num, p.den) + 1
-                    # without a frequent gram in the extended prefix single grams suffice, and so does the plain one
-                    end = mid if one + extra > mid else one
-                    x = np.frombuffer(blob, np.int64)[rare:end]
-                    gs.append(x)
-                    ids.append(np.full(len(x), i))
-                    ns.append(np.full(len(x), n))
-                if gs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gs)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns))], names=["g", "id", "n"])
-
-    rows = nodes.select("id", "n", "cuts", "grams").mapInArrow(run, "g long, id long, n long")
-    return rows.select("g", F.lit(False).alias("often"), "id", "n")
-
-
-def _common(nodes: DataFrame, p: Params) -> DataFrame:
-    """Rows (g, often, id, n): the frequent grams of the prefixes that reach them, ordered by how many such documents hold them."""
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["id", "n", "set_key", "grams"])
+
+    return rows.mapInArrow(run, "id long, n long, set_key binary, grams binary")
+
+
+def postings(g: np.ndarray, level: np.ndarray, n: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set of n grams and the overlap still possible if the key is the first shared. g: its grams that occur elsewhere, level: of each."""
+    least, often = least_shared(n, p.num, p.den), p.levels.index(p.frequent) + 1
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if (level > 0).sum() < least:
+        return none
+    order = np.lexsort((g, level))
+    g, level = g[order], level[order]
+    room = len(g) - np.arange(len(g))  # grams from each on; those that occur nowhere else come before all of these
+    rare = (level > 0) & (level < often) & (room >= least)
+    keys, rooms = [g[rare]], [room[rare]]
+    some = np.flatnonzero(level >= often)
+    if len(some):
+        f, left, alone = g[some], room[some], False
+        for bits in range(int(least).bit_length(), int(n).bit_length() + 1):  # of the smaller set's size
+            m = max(1, (1 << (bits - 1)) // p.spread)
+            alone = alone or least < m + 1
+            group = (mix64(f ^ np.uint64(0xA5A5A5A5)) % np.uint64(m)).astype(np.int64)
+            first = np.zeros(len(f), np.int64)
+            first[np.unique(group, return_index=True)[1]] = 1
+            # before this gram at most one of each class is shared
+            most = left + np.cumsum(first) - first
+            order = np.argsort(group, kind="stable")
+            order = order[most[order] >= least]
+            group = group[order]
+            for step in range(1, len(order)):
+                same = np.flatnonzero(group[step:] == group[:-step])
+                if not len(same):
+                    break
+                x, y = order[same], order[same + step]
+                keys.append(mix64(mix64(f[x] + np.uint64(bits)) + f[y]))
+                rooms.append(most[y])
+        if alone:
+            keys.append(f[left >= least])
+            rooms.append(left[left >= least])
+    return np.concatenate(keys), np.concatenate(rooms)
+
+
+def _posts(nodes: DataFrame, planes: Planes, p: Params) -> DataFrame:
+    """Rows (key, id, n, room) of the representatives."""
+    held = nodes.sparkSession.sparkContext.broadcast(planes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = held.value
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids, ns, need, mids, blobs = (part.column(k).to_pylist() for k in range(5))
-                gs = [np.frombuffer(blob, np.int64)[mid:] for blob, mid in zip(blobs, mids, strict=True)]
-                size = [len(x) for x in gs]
-                cols = [np.concatenate(gs), *(np.repeat(np.array(c, np.int64), size) for c in (ids, ns, need))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "id", "n", "need"])
-
-    reach = nodes.filter(_prefix(p) > F.col("cuts")[1])
-    rows = reach.select("id", "n", (_prefix(p) - F.col("cuts")[1]).alias("need"), F.col("cuts")[1].alias("mid"), "grams").mapInArrow(run, "g long, id long, n long, need long")
-    held = rows.groupBy("g").agg(F.count("*").alias("held"))
-    place = F.row_number().over(Window.partitionBy("id", "n").orderBy("held", "g"))  # a document's own grams
-    return rows.join(held.filter("held > 1"), "g", "left").withColumn("held", F.coalesce("held", F.lit(1))).withColumn("place", place).filter("place <= need and held > 1").select("g", F.lit(True).alias("often"), "id", "n")
+            ids, ns, keys, rooms, sizes, total = b.column(0).to_numpy(), b.column(1).to_numpy(), [], [], [], 0
+
+            def made(upto: int) -> pa.RecordBatch:
+                lo = upto - len(sizes)
+                cols = [np.concatenate(keys).view(np.int64), np.repeat(ids[lo:upto], sizes), np.repeat(ns[lo:upto], sizes).astype(np.int32), np.concatenate(rooms).astype(np.int32)]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "id", "n", "room"])
+
+            for d, blob in enumerate(b.column(2)):
+                g = np.frombuffer(blob.as_buffer(), np.uint64)
+                level = np.zeros(len(g), np.int64)
+                for k in range(len(p.levels)):
+                    level += planes.reached(g, k)
+                k, r = postings(g, level, int(ns[d]), p)
+                keys.append(k)
+                rooms.append(r)
+                sizes.append(len(k))
+                total += len(k)
+                if total > 1 << 16:
+                    yield made(d + 1)
+                    keys, rooms, sizes, total = [], [], [], 0
+            if sizes:
+                yield made(b.num_rows)
+
+    return nodes.select("id", "n", "grams").mapInArrow(run, "key long, id long, n int, room int")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
@@ -188,126 +212,92 @@ def _links(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
         for b in batches:
             a, c = b.column(0), b.column(1)
             ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = np.sort(np.concatenate([s, t]))
+            for size, x, y in zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
+                both = np.sort(np.concatenate([np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y)]))
                 same = int((both[1:] == both[:-1]).sum())
-                ok.append(p.den * same >= p.num * (len(s) + len(t) - same))
+                ok.append(p.den * same >= p.num * (size - same))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask)], names=["a", "b"])
 
-    side = lambda k: nodes.select(F.col("id").alias(k), F.col("grams").alias(f"g{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    side = lambda k: nodes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.expr("na + nb").alias("n"), "ga", "gb").mapInArrow(run, "a long, b long")
+
+
+def _may_link(n: Column, room: Column, n2: Column, room2: Column, p: Params) -> Column:
+    """Whether sets of such sizes, whose first shared key leaves so much room, can link."""
+    return (F.least(n, n2) * p.den >= F.greatest(n, n2) * p.num) & (F.least(room, room2) * (p.num + p.den) >= (n + n2) * p.num)
+
 
+def _placed(posts: DataFrame, comp: DataFrame) -> DataFrame:
+    """posts (key, id, n, room) with the component c of each."""
+    return posts.join(comp, posts.id == comp.node, "left").select("key", "id", "n", "room", F.coalesce("component", "id").alias("c"))
 
-def _sized(x: str, y: str, p: Params) -> Column:
-    """Whether sets of such sizes can link at all."""
-    return F.least(x, y) * p.den >= F.greatest(x, y) * p.num
+
+def _pivot_round(live: DataFrame, turn: int, pivots: int) -> DataFrame:
+    """The rows of live (key, id, n, room, c) whose key joins different components, with the key's pivots."""
+    spot = F.xxhash64("id", F.lit(turn)) if turn == 0 else F.xxhash64("id", "key", F.lit(turn))  # at first keys choose alike, then each for itself
+    slots = live.withColumn("spot", spot).groupBy(F.struct("key").alias("k"), F.pmod("spot", F.lit(pivots)).alias("slot"))
+    some = slots.agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("id", "n", "room", "c"), "spot").alias("pivot"))
+    # grouped by a struct: the join has an exchange of its own on either side, whose skewed partitions can be split
+    mixed = some.groupBy("k").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("pivot").alias("pivots")).filter("low < high")
+    return live.join(mixed.select("k.key", "pivots"), "key")
+
+
+def _all_pairs(live: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) of different components that meet under a key and may link; one of the two is outside the key's largest component."""
+    sizes = live.groupBy(F.struct("key").alias("k"), "c").agg(F.count("*").alias("s"))
+    mixed = sizes.groupBy("k").agg(F.max_by("c", F.struct("s", "c")).alias("home"), F.count("*").alias("cs")).filter("cs > 1")
+    rows = keep(live.join(mixed.select("k.key", "home"), "key").withColumn("out", F.col("c") != F.col("home")).drop("home"), "jaccard-mixed")
+    # the smaller of two sets must have room for one as large as itself
+    small = rows.filter(F.col("room") * (p.num + p.den) >= F.col("n") * (2 * p.num))
+    large = rows.select("key", *(F.col(x).alias(f"{x}2") for x in ("id", "n", "room", "c", "out")))
+    meets = (F.col("c") != F.col("c2")) & (F.struct("n", "id") < F.struct("n2", "id2")) & _may_link(*map(F.col, ("n", "room", "n2", "room2")), p)
+    pairs = small.filter("out").join(large, "key").filter(meets).unionByName(small.filter("not out").join(large.filter("out2"), "key").filter(meets))
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def link_components(docs: DataFrame, params: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id) for every document: its set's size and the smallest id reachable by links.
 
     Documents with fewer words than a gram have their whole sequence as one
-    gram; a null or empty text has none, size 0, and is its own component. Rows
-    with a null id keep their size, have a null component and link with nothing;
-    rows of one id are one document to the links. Ids are integers. Columns other
-    than id and text are not read.
+    gram; a null or empty text has none, size 0, and is its own component. A
+    very long text is one set like any other. Rows with a null id keep their
+    size, have a null component and link with nothing; rows of one id are one
+    document to the links; an empty table gives an empty result. Ids are
+    integers. Columns other than id and text are not read.
     """
     p = params or Params()
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    width = width_for(text_bytes(rows) / _BYTES_A_WORD, 1.6, p.sketch_bits)
-    planes = build(rows.filter("id is not null").select("text"), _gram_keys(p), width, 1, (2, p.frequent))
+    planes = build(rows.filter("id is not null").select("text"), _text_keys(p), width_for(text_bytes(rows) / _BYTES_A_WORD, 1.6, p.sketch_bits), 1, (2,))
     every = keep(_nodes(rows, planes, p), "jaccard-nodes")
     able = every.filter("grams is not null and id is not null")
-    classes = able.groupBy("set_key", "n").agg(F.min("id").alias("rep"))
-    members = keep(able.join(classes, ["set_key", "n"]).select("id", "rep").distinct(), "jaccard-members")
-    nodes = keep(able.join(members.filter("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "set_key"]), "jaccard-reps")
-    posts = keep(_alone(nodes, p).union(_common(nodes, p)), "jaccard-posts")
-    # rows of one id but different sets are tested on either set; their postings meet under the same id
-    edges = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    comp = None
-    linked = edges
-    tested = None
-    live = posts.select("g", "often", "id", "n", F.col("id").alias("c"))
-    for turn in range(p.pivots):
-        if comp is not None:
-            live = posts.join(comp, posts.id == comp.node, "left").select("g", "often", "id", "n", F.coalesce("component", "id").alias("c"))
-        mixed = live.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", F.lit(turn))).alias("pivot")).filter("low < high")
-        pairs = live.join(mixed, "g").filter("c <> pivot.c").filter(_sized("n", "pivot.n", p)).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "jaccard-pairs")
+    classes = able.groupBy(F.struct("set_key", "n").alias("k")).agg(F.min("id").alias("rep"))
+    members = keep(able.select("id", "set_key", "n").join(classes.select("k.set_key", "k.n", "rep"), ["set_key", "n"]).select("id", "rep").distinct(), "jaccard-members")
+    # of rows of one id with different sets each set is one node of that id; their postings meet under the same id
+    nodes = able.join(members.filter("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "set_key"]).select("id", "n", "grams")
+    nodes = keep(nodes, "jaccard-reps")
+    grams = nodes.agg(F.sum(F.octet_length("grams").cast("long"))).first()[0] or 0
+    fine = build(nodes.select("grams"), _blob_keys, width_for(grams / 8, 4, p.fine_bits), 1, p.levels)
+    posts = keep(_posts(nodes, fine, p), "jaccard-posts")
+    # ids with several sets tie the classes of these
+    linked = keep(members.groupBy("id").agg(F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1).select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).filter("a <> b"), "jaccard-links")
+    live, tested = posts.withColumn("c", F.col("id")), None
+    for turn, pivots in enumerate(p.pivots):
+        met = keep(_pivot_round(live, turn, pivots), "jaccard-round")
+        near = F.filter("pivots", lambda x: (x["c"] != F.col("c")) & _may_link(F.col("n"), F.col("room"), x["n"], x["room"], p))
+        pairs = met.select("id", F.explode(near).alias("x")).select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
+        pairs = keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        linked = keep(linked.union(_links(pairs, nodes, p)).distinct(), "jaccard-links")
-        comp = keep(components(linked), "jaccard-components")
-    live = posts.join(comp, posts.id == comp.node, "left").select("g", "often", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = live.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("g")
-    live = live.join(mixed, "g", "left_semi")
-    counted = live.filter("often").withColumn("grams", F.count("*").over(Window.partitionBy("id", "n")))  # a document's own grams
-    few = counted.filter(F.col("grams").between(p.combined, p.few)).groupBy("id", "n", "c").agg(F.array_sort(F.collect_set("g")).alias("gs"))
-    combos = _combinations(few, p.combined)
-    mixed = combos.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-    single = live.filter("not often").select(F.struct(F.col("g").alias("x"), F.lit(0).cast("long").alias("y")).alias("key"), "id", "n", "c")
-    keyed = keep(single.union(combos.join(mixed, "key", "left_semi").select(F.struct(F.col("key").alias("x"), F.lit(1).cast("long").alias("y")).alias("key"), "id", "n", "c")), "jaccard-keys")
-    linked = keep(linked.union(_blocked_links(counted.withColumn("many", F.col("grams") > p.few), nodes, p)).distinct(), "jaccard-links")
-    other = keyed.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    rest = keyed.join(other, "key").filter("id < id2 and c <> c2").filter(_sized("n", "n2", p)).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    linked = keep(linked.union(_links(rest, nodes, p)).distinct(), "jaccard-links")
-    comp = components(linked)
-    out = every.select("id", "n").join(comp, F.col("id") == F.col("node"), "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
-    return out
-
-
-def _blocked_links(often: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
-    """Links between components under frequent grams that some document holds many of: at least one for each two components that link.
-
-    All documents of such a gram join the group of the gram's pivot, once for
-    each pivot. A group is cut into blocks, large components into blocks of their
-    own, small ones pooled; blocks meet in pairs, except those of one component.
-    """
-    lead = often.groupBy("g").agg(F.min_by("id", F.xxhash64("id")).alias("pivot"), F.max("many").alias("many")).filter("many").select("g", "pivot")
-    rows = keep(often.select("g", "id", "c").join(lead, "g").select("pivot", "id", "c").distinct(), "jaccard-groups")
-    sizes = rows.groupBy("pivot", "c").agg(F.count("*").alias("s"))
-    pooled = sizes.filter(F.col("s") < p.block).groupBy("pivot").agg(F.sum("s").alias("pool"))
-    large = F.col("s") >= p.block
-    part = lambda x, total: F.pmod(F.xxhash64(x), F.ceil(F.col(total) / p.block))
-    own = F.when(large, F.col("c"))
-    placed = rows.join(sizes, ["pivot", "c"]).join(pooled, "pivot", "left").select("pivot", "id", "c", own.alias("own"), F.xxhash64(own, large, F.when(large, part("id", "s")).otherwise(part("c", "pool"))).alias("label"))
-    blocks = placed.select("pivot", "label", "own").distinct()
-    x, y = (blocks.select("pivot", F.col("label").alias(f"l{k}"), F.col("own").alias(f"o{k}")) for k in "xy")
-    meets = keep(x.join(y, "pivot").filter("lx <= ly and not coalesce(ox = oy, false)").select("pivot", "lx", "ly"), "jaccard-blocks")
-    left = placed.join(meets.withColumn("label", F.col("lx")), ["pivot", "label"]).select("pivot", "lx", "ly", F.lit(0).alias("side"), "id", "c")
-    right = placed.join(meets.filter("lx < ly").withColumn("label", F.col("ly")), ["pivot", "label"]).select("pivot", "lx", "ly", F.lit(1).alias("side"), "id", "c")
-    num, den = p.num, p.den
-
-    def run(table: pa.Table) -> pa.Table:
-        side, ids, comps = (table.column(k).to_numpy() for k in ("side", "id", "c"))
-        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("grams").combine_chunks()]
-        one = np.flatnonzero(side == 0)
-        two = np.flatnonzero(side == 1) if side.any() else one
-        size = np.array([len(z) for z in sets])
-        grams, owner = np.concatenate([sets[k] for k in one]), np.repeat(np.arange(len(one)), size[one])
-        order = np.argsort(grams, kind="stable")
-        grams, owner = grams[order], owner[order]
-        found: dict[tuple[int, int], tuple[int, int]] = {}
-        for k in two.tolist():
-            lo, hi = np.searchsorted(grams, sets[k]), np.searchsorted(grams, sets[k], "right")
-            same = np.bincount(owner[np.repeat(lo, hi - lo) + runs(hi - lo)], minlength=len(one))
-            ok = (den * same >= num * (size[one] + size[k] - same)) & (comps[one] != comps[k])
-            for j in one[np.flatnonzero(ok)].tolist():
-                key = (min(comps[j], comps[k]), max(comps[j], comps[k]))
-                found.setdefault(key, (int(min(ids[j], ids[k])), int(max(ids[j], ids[k]))))
-        pairs = [*found.values()]
-        return pa.table({"a": pa.array([v[0] for v in pairs], pa.int64()), "b": pa.array([v[1] for v in pairs], pa.int64())})
-
-    return left.union(right).join(nodes.select("id", "grams"), "id").groupBy("pivot", "lx", "ly").applyInArrow(run, "a long, b long")
-
-
-def _combinations(common: DataFrame, k: int) -> DataFrame:
-    """Rows (key, id, n, c): a hash of each k-combination of the grams of each row."""
-    if k != 2:
-        raise ValueError("combinations of two grams are built in")
-    keys = F.flatten(F.transform("gs", lambda x, i: F.transform(F.slice("gs", i + 2, F.size("gs")), lambda y: F.xxhash64(x, y))))
-    return common.select(F.explode(keys).alias("key"), "id", "n", "c")
+        # labels need not be final here: they only spare tests
+        linked = hooked(downward(linked.union(_links(pairs, nodes, p))))
+        live = _placed(met.select("key", "id", "n", "room"), labels(linked))
+    rest = _all_pairs(live, p)
+    rest = keep(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+    comp = components(linked.union(_links(rest, nodes, p)))
+    # a class has one row for each id; the component of a large class meets its rows in a join that can be split
+    named = members.groupBy(F.struct("id").alias("k")).agg(F.min("rep").alias("rep")).select("k.id", "rep")
+    placed = named.join(comp.groupBy(F.struct("node").alias("k")).agg(F.min("component").alias("component")).select(F.col("k.node").alias("rep"), "component"), "rep", "left")
+    placed = placed.select("id", F.coalesce("component", "rep").alias("component"))
+    out = every.select("id", "n").join(placed, "id", "left")
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
