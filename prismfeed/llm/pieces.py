@@ -4,9 +4,10 @@ Encoding keeps an agenda of adjacent symbol pairs ordered by score, the leftmost
 first among equals, and joins the best pair until none forms a piece; symbols
 outside the vocabulary fall back to byte pieces. No piece of such a model holds
 a blank sign after another sign, nor a sign that is no piece itself, so texts
-fall into segments that never merge across their borders; segments are
-remembered per Python worker within a bound. Every segment first met in an
-Arrow batch is checked against the sentencepiece library.
+fall into segments that never merge across their borders. The distinct segments
+of a part of an Arrow batch are looked up or encoded once; they are remembered
+per Python worker within a bound. Every segment that is encoded is checked
+against the sentencepiece library, whose ids stand should the two differ.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Segments remembered per Python worker, and the longest one remembered.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: Segments up to so many signs have a list for an agenda; segments checked together.
+SHORT, _GROUP = 32, 16
+NONE = float("-inf")
 BLANK = "▁"
 
 
@@ -40,13 +44,38 @@ class PieceCodec:
         self.byte_id = {b: i for i, b in self.byte_of.items()}
         if any(BLANK in p.lstrip(BLANK) for p in self.ids) or any("\n" in p for p in self.ids) or len(self.byte_id) < 256:
             raise ValueError("pieces that cross blanks or lines, or no byte pieces: this model can't be cut into segments")
-        if sp.encode("a b") != sp.encode(BLANK + "a" + BLANK + "b")[1:] and sp.encode("a") != [self.ids[BLANK + "a"]]:
-            raise ValueError("a normaliser other than identity with a dummy prefix")
         self.cut = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
-        self.cache: dict[str, tuple[str, str]] = {}
+        self.names = [str(i) for i in range(size)]
+        self.plain = {i: self.pieces[i].replace(BLANK, " ") for i in range(size) if i not in self.byte_of}
+        self.cache: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
+        if sp.encode("a b") != sp.encode("a" + BLANK + "b") or sp.encode("a b") != [i for s in self.cut.findall(f"{BLANK}a{BLANK}b") for i in self.segment(s)] or sp.encode("\t a  ") != self.encode("\t a  "):
+            raise ValueError("a normaliser other than identity with a dummy prefix")
 
     def segment(self, text: str) -> list[int]:
         """The ids of a segment, by the agenda."""
+        symbols = self.merged_short(text) if len(text) <= SHORT else self.merged(text)
+        try:
+            return [self.ids[s] for s in symbols]
+        except KeyError:
+            return [i for s in symbols for i in ([self.ids[s]] if s in self.ids else [self.byte_id[b] for b in s.encode()])]
+
+    def merged_short(self, text: str) -> list[str]:
+        """The agenda of a short segment is a list with the score of each adjacent pair."""
+        symbols, score = [*text], self.score
+        agenda = [score.get(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        while agenda and (best := max(agenda)) > NONE:
+            i = agenda.index(best)  # the leftmost of equals
+            symbols[i : i + 2] = [joined := symbols[i] + symbols[i + 1]]
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = score.get(joined + symbols[i + 1], NONE)
+            if i:
+                agenda[i - 1] = score.get(symbols[i - 1] + joined, NONE)
+        return symbols
+
+    def merged(self, text: str) -> list[str]:
+        """The agenda of a long segment is a heap over linked symbols; pairs whose symbols have changed since are passed over."""
         symbols, n, score = [*text], len(text), self.score
         before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
         agenda = [(-s, i, 2) for i in range(n - 1) if (s := score.get(symbols[i] + symbols[i + 1])) is not None]
@@ -67,11 +96,7 @@ class PieceCodec:
             k = before[i]
             if k >= 0 and (s := score.get(joined := symbols[k] + symbols[i])) is not None:
                 heappush(agenda, (-s, k, len(joined)))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                out += [self.ids[s]] if s in self.ids else [self.byte_id[b] for b in s.encode()]
-        return out
+        return [s for s in symbols if s]
 
     def segments(self, text: str) -> list[str]:
         return self.cut.findall(BLANK + text.replace(" ", BLANK)) if text else []
@@ -81,6 +106,10 @@ class PieceCodec:
 
     def join(self, ids: list[int]) -> str:
         """The text of ids before the dummy prefix goes; runs of byte pieces are read as UTF-8."""
+        try:
+            return "".join([self.plain[i] for i in ids])
+        except KeyError:
+            pass
         out, pending = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -89,7 +118,7 @@ class PieceCodec:
             if pending:
                 out.append(pending.decode(errors="replace"))
                 pending.clear()
-            out.append(self.pieces[i].replace(BLANK, " "))
+            out.append(self.plain[i])
         if pending:
             out.append(pending.decode(errors="replace"))
         return "".join(out)
@@ -98,37 +127,50 @@ class PieceCodec:
         return self.join(ids).removeprefix(" ")
 
     def verify(self, fresh: dict[str, list[int]]) -> None:
-        """Hold segments against the library; a line feed before each keeps the dummy prefix apart."""
-        names = [*fresh]
-        lead = [self.ids[BLANK], self.byte_id[0x0A]]
-        for name, ids in zip(names, self.library.encode(["\n" + s for s in names], num_threads=1), strict=True):
-            if ids != lead + fresh[name]:
-                raise AssertionError(f"the agenda and the sentencepiece library differ on {name[:80]!r}")
-
-    def coded(self, texts: list[str]) -> Iterator[tuple[list[str], list[str]]]:
-        """For each text of a batch the comma-joined ids and the decoded texts of its segments."""
-        fresh: dict[str, list[int]] = {}
-        batch = [self.segments(t) for t in texts]
-        rare: dict[str, tuple[str, str]] = {}
+        """Hold segments against the library; where they differ, its ids stand.
+
+        Some segments are encoded together; a line feed before each keeps them, and the dummy prefix, apart.
+        """
+        blank, feed, names = self.ids[BLANK], self.byte_id[0x0A], [*fresh]
+        groups = [names[at : at + _GROUP] for at in range(0, len(names), _GROUP)]
+        for group, ids in zip(groups, self.library.encode(["\n" + "\n".join(g) for g in groups], num_threads=1), strict=True):
+            want = [blank]
+            for name in group:
+                want.append(feed)
+                want += fresh[name]
+            if ids != want:
+                for name in group:
+                    fresh[name] = self.library.encode("\n" + name)[2:]
+
+    def learn(self, segments: set[str]) -> dict[str, str]:
+        """The comma-joined ids of each of these distinct segments; those not met before are encoded, decoded and checked."""
         cache = self.cache
-        for parts in batch:
-            for s in parts:
-                if s not in cache and s not in rare:
-                    ids = self.segment(s)
-                    fresh[s] = ids
-                    back = self.join(ids)
-                    entry = ",".join(map(str, ids)), back
-                    if len(s) <= CACHE_CHARS and len(cache) < CACHE_ENTRIES:
-                        cache[s] = entry
-                    else:
-                        rare[s] = entry
-                        if len(rare) > 50_000 or len(s) > 1_000_000:
-                            self.verify(fresh)
-                            fresh.clear()
+        known = {s: x for s in segments if (x := cache.get(s)) is not None}
+        if len(known) == len(segments):
+            return known
+        fresh = {s: self.segment(s) for s in segments - known.keys()}
         self.verify(fresh)
+        room = CACHE_ENTRIES - len(cache)
+        for s, ids in fresh.items():
+            known[s] = joined = ",".join([self.names[i] for i in ids])
+            if (back := self.join(ids)) != s.replace(BLANK, " "):
+                self.odd[s] = back
+            elif room > 0 and len(s) <= CACHE_CHARS:
+                cache[s] = joined
+                room -= 1
+        return known
+
+    def coded(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """For each text of a batch its comma-joined ids and what they decode to."""
+        batch = [self.segments(t) for t in texts]
+        self.odd.clear()
+        known = self.learn(set().union(*batch))
         for parts in batch:
-            found = [cache.get(s) or rare[s] for s in parts]
-            yield [x[0] for x in found], [x[1] for x in found]
+            if self.odd and not self.odd.keys().isdisjoint(parts):
+                back = "".join([self.odd.get(s) or s.replace(BLANK, " ") for s in parts])
+            else:
+                back = "".join(parts).replace(BLANK, " ")
+            yield ",".join(map(known.__getitem__, parts)), back.removeprefix(" ")
 
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -147,8 +189,9 @@ def encode_texts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     """Rows (id, n_tokens, ids, decoded) for every row of df, or with `digests` (id, n_tokens, ids_sha256, decoded_sha256).
 
     Narrow, with no shuffle. A null or empty text has no ids and decodes to the
-    empty text; repeated rows are coded each; an empty table gives an empty
-    result; columns other than id and text are not read.
+    empty text; a very long text is coded like any other; rows of repeated or
+    null ids are coded each; an empty table gives an empty result; columns other
+    than id and text are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -159,8 +202,7 @@ def encode_texts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
             for at in range(0, whole.num_rows, _TOGETHER):
                 b = whole.slice(at, _TOGETHER)
                 counts, left, right = [], [], []
-                for ids, texts in code.coded([t or "" for t in b.column(1).to_pylist()]):
-                    joined, text = ",".join(ids), "".join(texts).removeprefix(" ")
+                for joined, text in code.coded([t or "" for t in b.column(1).to_pylist()]):
                     counts.append(joined.count(",") + 1 if joined else 0)
                     left.append(sha(joined) if digests else [*map(int, joined.split(","))] if joined else [])
                     right.append(sha(text) if digests else text)
