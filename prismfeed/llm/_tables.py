@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,3 +37,12 @@ def keep(df: DataFrame, label: str, free: bool = True) -> DataFrame:
     if free:
         df.sparkSession.sparkContext._jvm.System.gc()
     return kept
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow for tables whose columns may have any names, dots and all: inside, they are c0, c1, ... in order, going in and coming out."""
+    inner = StructType.fromJson(schema.jsonValue())
+    for i, field in enumerate(inner.fields):
+        field.name = f"c{i}"
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, StructType(inner.fields)).toDF(*schema.names)

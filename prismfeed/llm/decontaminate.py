@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismfeed.llm._tables import map_rows
 from prismfeed.llm._words import ALNUM, gram_hashes, runs, word_tables
 
 #: Bytes of benchmark text that one pass over the documents looks for. More items are searched in several passes.
@@ -192,7 +193,8 @@ def benchmark_hits(
     adds its hits to those that come with the row, so that nothing is shuffled
     and repeated and null ids are kept. Null or empty texts have no words; an
     item without words finds nothing; items with a null id hit words but are not
-    listed; equal items are all listed; other columns are not read.
+    listed; equal items are all listed; a very long text is searched whole; an
+    empty table gives an empty result; other columns are not read.
     """
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     for index, last in _indexes(items, n, k, item_id, item_text, slice_bytes):
@@ -214,7 +216,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, k: int = 5
                     clean[w.owner[hit]] = False
                     yield b.slice(w.lo, w.hi - w.lo).filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = map_rows(docs, run, schema)
     return docs
 
 
