@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
-Base kinds are email, ip, card (Luhn) and phone; IBANs (mod-97) and national
-numbers that only their context tells from other digits come on top. Every
+Base kinds are email, ip, card (Luhn) and phone. On top come IBANs (mod-97),
+which stand if they are written as usual or have context, and national numbers,
+which only their context tells from other digits. Every
 pattern is scanned once from left to right in linear time, long runs included.
 """
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismfeed.llm._tables import map_rows
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 #: A span of the added kinds stands from this score on; the context reaches so many code points to either side.
@@ -26,6 +29,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: How IBANs are written: in one, or in groups of four.
+_GROUPED = re.compile(r"[A-Z0-9]{15,34}|[A-Z0-9]{4}(?: [A-Z0-9]{4})+(?: [A-Z0-9]{1,3})?")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGITS = re.compile(r"[0-9]")
 #: Words near a span that speak for its kind.
@@ -92,15 +97,21 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", *m.span()
 
 
+_CONTEXT = {k: re.compile(rf"(?<![a-z])(?:{'|'.join(words)})s?(?![a-z])") for k, words in CONTEXT.items()}
+
+
 def near(text: str, kind: str, start: int, end: int) -> bool:
-    around = f"{text[max(0, start - REACH) : start]} {text[end : end + REACH]}".lower()
-    return any(w in around for w in CONTEXT[kind])
+    """Whether a context word of the kind, as a word of its own, stands near the span."""
+    around = f"{text[max(0, start - REACH) : start]} | {text[end : end + REACH]}".lower()
+    return _CONTEXT[kind].search(around) is not None
 
 
 def added_spans(text: str) -> Iterator[Span]:
     for m in _IBAN.finditer(text):
         if mod97(m[0].replace(" ", "")):
-            yield Span("iban", *m.span(), 0.7 + 0.3 * near(text, "iban", *m.span()))
+            score = 0.4 + 0.25 * bool(_GROUPED.fullmatch(m[0])) + 0.3 * near(text, "iban", *m.span())
+            if score >= ACCEPT:
+                yield Span("iban", *m.span(), score)
     if "-" in text:
         for m in _SSN.finditer(text):
             area, group, serial = m[0].split("-")
@@ -137,9 +148,9 @@ _TOGETHER = 512
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, spans: array of (kind, start, end, score)) for every row of df; offsets in code points, the end exclusive.
 
-    Narrow, with no shuffle. A null or empty text has no spans; repeated rows
-    are searched each; an empty table gives an empty result; columns other than
-    id and text are not read.
+    Narrow, with no shuffle. A null or empty text has no spans; a very long one is
+    searched whole; rows of repeated or null ids are searched each; an empty table
+    gives an empty result; columns other than id and text are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -167,7 +178,7 @@ def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
                 cols[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_rows(df, run, schema)
 
 
 def pii_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
