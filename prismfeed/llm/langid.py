@@ -10,7 +10,9 @@ and backward passes run over positions, not words.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from prismfeed.llm._tables import map_rows
+
 #: Bound of the labelled sample: rows per language. All words of it are fitted.
 TRAIN_ROWS = 500
 #: Words whose arcs are laid out together in fitting.
@@ -28,9 +32,11 @@ FIT_WORDS = 4096
 #: Longer letter runs are scored in stretches of so many letters.
 WORD_CHARS = 32
 #: Words remembered per Python worker.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 UNDETERMINED = "und"
-_WORD = re.compile(rf"[^\W\d_]{{1,{WORD_CHARS}}}")
+#: Signs that count as word characters to `re` without being letters (category L): digits and numbers of all scripts.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_WORD = re.compile(rf"[^\W_{_NUMBERS}]{{1,{WORD_CHARS}}}")
 _UNKNOWN = 1e-7
 
 
@@ -171,7 +177,11 @@ _TOGETHER = 256
 
 
 def train(labelled: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their piece probabilities, from at most about TRAIN_ROWS rows of each and all their words."""
+    """Languages, sorted, and their piece probabilities, from at most about TRAIN_ROWS rows of each and all their words.
+
+    Rows without text or language teach nothing, nor do texts without a letter;
+    repeated rows count each; without any row there is no language.
+    """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     langs = sorted(sizes)
@@ -198,17 +208,21 @@ def train(labelled: DataFrame, vocabulary: str, lang_col: str = "lang", text_col
     return langs, lattice.fit(words, counts)
 
 
-def identify(df: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """df with lang_pred and score (the posterior of the language under equal priors), from its text alone.
 
     Narrow, with no shuffle. `und` with score 0 where the text is null or has no
-    letter, or nothing was learned; ties go to the first language by name;
-    repeated rows are judged each; other columns stay as they are.
+    letter, or nothing was learned; ties go to the first language by name; a very
+    long text is judged by all its words; rows of repeated or null ids are judged
+    each; an empty table gives an empty result; other columns stay as they are.
+    Columns of df that bear the names of the new ones need other names for these.
     """
+    if {lang_name, score_name} & {*df.columns}:
+        raise ValueError(f"df has a column {lang_name} or {score_name}: name the new ones otherwise")
     langs, prob = model
     held = df.sparkSession.sparkContext.broadcast(prob)
-    at, key = df.columns.index(text_col), (vocabulary, float(prob.sum()), prob.shape)
-    names = [*df.columns, "lang_pred", "score"]
+    at, key = df.columns.index(text_col), (vocabulary, prob.shape, hashlib.sha256(np.ascontiguousarray(prob).tobytes()).digest())
+    names = [f"c{i}" for i in range(len(df.columns) + 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SCORERS:
@@ -229,5 +243,5 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str
                         score.append(float(1 / np.exp(total - total[k]).sum()))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=names)
 
-    out = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return df.mapInArrow(run, out)
+    out = StructType([*df.schema.fields, StructField(lang_name, StringType()), StructField(score_name, DoubleType())])
+    return map_rows(df, run, out)
