@@ -124,8 +124,9 @@ def counter(path: str) -> MergeCounter:
 def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_bytes, n_tokens) for every row of df; narrow, with no shuffle.
 
-    A null text counts as empty (0 bytes, 0 tokens); repeated rows are counted
-    each; an empty table gives an empty result; other columns are not read.
+    A null text counts as empty (0 bytes, 0 tokens); a very long one is counted
+    whole; rows of repeated or null ids are counted each; an empty table gives an
+    empty result; other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
 

@@ -4,7 +4,7 @@ Every window of n words has an anchor: the smallest hash of its n/2-grams, so
 equal windows have equal anchors. Tasks sketch how many documents hold each
 anchor; the merged sketch overestimates how many hold each window. The second
 pass hands on only windows estimated to be in two documents or more and groups
-them exactly, by 128-bit hashes: no repeated window is lost, and a sketch that
+them exactly, by 96-bit hashes: no repeated window is lost, and a sketch that
 is too full for its bound only lets more windows through.
 
 The windows of hot passages are many rows of one hash. They are grouped by an
@@ -84,7 +84,8 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, id_col: str = "doc_id", tex
     no words; rows with a null id lose nothing and take nothing from others; of
     equal windows in rows of one id none goes; equal rows give equal results, and
     rows of one id are told apart by 32 bits of a hash of their texts.
-    Ids are integers. Columns other than id and text are not read.
+    A very long text is cut into windows whole; an empty table gives an empty
+    result. Ids are integers. Columns other than id and text are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -103,7 +103,7 @@ def brute_components(rows, n=5, num=75, den=100):
     return sorted((i, len(s), find(i)) for i, s in sets.items()), links
 
 
-@pytest.mark.parametrize("params", [Params(), Params(frequent=2, pivots=1), Params(frequent=3, pivots=1, sketch_bits=16, few=40), Params(frequent=2, pivots=1, few=1, block=3)])
+@pytest.mark.parametrize("params", [Params(), Params(frequent=2, pivots=(1,)), Params(frequent=4, pivots=(), sketch_bits=18, spread=4), Params(frequent=4, pivots=(2,), spread=2, fine_bits=18)])
 def test_join_against_brute_force(spark, params):
     rng = np.random.default_rng(3)
     rows = documents() + [x for x in odd_documents() if x[0] is not None]
@@ -153,6 +153,23 @@ def test_lm_against_brute_force(spark):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(counts[x] > 0 for x in tokens), n)
         assert math.isclose(r.base_score, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens), rel_tol=1e-9)
+    # the score, token by token, from the model's tables and the counts
+    head = {int(h): k for k, h in enumerate(model.head)}
+    size = np.bincount(model.head_class, model.head_count, len(model.log_step))
+    import pyarrow as pa
+
+    from prismfeed.llm._words import word_tables
+
+    words = sorted({x for _, t in rows for x in WORD.findall(lower(t))})
+    hashes = dict(zip(words, [int(h) for w in word_tables(pa.array([" ".join(words)])) for h in w.hashes()], strict=True))
+    for i, t in rows[::7] + rows[-3:]:
+        before, total = model.end_class, 0.0
+        for x in [*WORD.findall(lower(t)), None]:
+            k = head.get(0 if x is None else hashes[x])
+            c = model.rest_class if k is None else int(model.head_class[k])
+            total += model.log_step[before, c] + (math.log10((counts[x] + 1) / model.rest_size) if k is None else math.log10(model.head_count[k] / size[c]))
+            before = c
+        assert math.isclose(got[i].score, total, rel_tol=1e-9), i
     tokens = sum(got[i].n_tokens for i in held)
     base, score = (sum(got[i][k] for i in held) / tokens for k in ("base_score", "score"))
     assert score > base, (base, score)
@@ -224,6 +241,44 @@ def test_language_id_held_out(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_forward_sums_all_segmentations():
+    from prismfeed.llm.langid import Lattice
+
+    lattice = Lattice(Q.public_tokenizers.path(Q.PIECES))
+    rng = np.random.default_rng(4)
+    prob = rng.random((lattice.size, 3)) / 1000
+    words = ["a", "the", "straße", "ünüversite", "кошка", "日本語", "zzqqxx", "\U00010400a", "unbelievable"]
+
+    def brute(s):
+        if not s:
+            return np.ones(3)
+        total, alone = np.zeros(3), False
+        for j in range(1, len(s) + 1):
+            if s[:j] in lattice.piece:
+                total = total + prob[lattice.piece[s[:j]]] * brute(s[j:])
+                alone = alone or j == 1
+        return total if alone else total + prob[0] * brute(s[1:])
+
+    arcs = lattice.arcs(words)
+    alpha = lattice.forward(arcs, prob[arcs[3]])
+    for k, w in enumerate(words):
+        assert np.allclose(alpha[k, arcs[4][k]], brute("▁" + w), rtol=1e-12), w
+
+
+def test_fitting_raises_the_likelihood():
+    from prismfeed.llm.langid import Lattice
+
+    lattice = Lattice(Q.public_tokenizers.path(Q.PIECES))
+    words, counts = ["the", "house", "haus", "das", "und", "and"], np.array([[9, 0], [4, 0], [0, 4], [0, 9], [0, 7], [7, 0]], float)
+    arcs = lattice.arcs(words)
+
+    def likelihood(rounds):
+        alpha = lattice.forward(arcs, lattice.fit(words, counts, rounds, pull=0.5)[arcs[3]])
+        return (counts * np.log(alpha[np.arange(len(words)), arcs[4]])).sum()
+
+    assert likelihood(1) < likelihood(2) < likelihood(4)
+
+
 def test_language_id_odd_rows(spark):
     from prismfeed.llm.langid import identify, train
 
@@ -248,18 +303,21 @@ def test_all_words_of_the_sample_are_fitted(spark, monkeypatch):
     assert len(fitted) == 64_003 and {"кошка", "у", "реки"} <= {*fitted}
 
 
-def test_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("fill", [None, 4])
+def test_neighbours_against_brute_force(spark, fill):
+    """With production parameters, and with buckets so small that a second rotation is concatenated."""
     t = pq.read_table(f"{SF}/embeddings.parquet").to_pandas()
     x, ids = np.stack(t.embedding).astype(np.float64), t.vec_id.to_numpy()
     got = defaultdict(list)
-    for r in sorted(Q.op8_nearest_neighbours(spark, SF).collect(), key=lambda r: (r.query_id, r[1])):
+    df = Q.op8_nearest_neighbours(spark, SF) if fill is None else nearest(spark.read.parquet(f"{SF}/embeddings.parquet"), F.col("vec_id") % 20 == 0, fill=fill)
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r[1])):
         got[r.query_id].append((r[1], r.vec_id, r.score))
     hit = total = 0
     for q in ids[ids % 20 == 0]:
         s = (x * x[ids == q]).sum(axis=1)
         s[ids == q] = -np.inf
         want = ids[np.lexsort((ids, -s))[:20]]
-        assert [g[0] for g in got[q]] == [*range(1, len(got[q]) + 1)]
+        assert [g[0] for g in got[q]] == [*range(1, min(20, len(ids) - 1) + 1)]
         assert all(math.isclose(g[2], s[ids == g[1]][0], rel_tol=1e-12) for g in got[q])
         hit += len({*want} & {g[1] for g in got[q]})
         total += 20
@@ -274,6 +332,17 @@ def test_neighbours_of_odd_vectors(spark):
     assert nearest(df.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_buckets_grow_with_the_rows():
+    from prismfeed.llm.ann import buckets, nearest_buckets, second_axes
+
+    assert [second_axes(n, 64) for n in (0, 50_000, 100_000, 1_000_000, 10**9)] == [1, 1, 2, 16, 128]
+    x = np.random.default_rng(0).normal(size=(50, 64))
+    for second in (1, 2, 16, 128):
+        near = nearest_buckets(x, 0, second, 128 * second)
+        assert (near[:, 0] == buckets(x, 0, second)).all() and all(len({*row}) == 128 * second for row in near.tolist())
+        assert (nearest_buckets(x, 0, second, 5) == near[:, :5]).all()
+
+
 def brute_url(url):
     at = (url or "").find("://")
     rest = url[at + 3 :] if at >= 0 else ""
@@ -299,6 +368,90 @@ def test_urls(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), Q.URL_RULES).count() == 0
 
 
+def brute_templates(counts):
+    """The template of each (host, shape) of counts {(host, shape): (labelled, blocked)}."""
+    at, level = {k: () for k in counts}, 0
+
+    def open_():
+        n, b, deep = Counter(), Counter(), Counter()
+        for (h, s), (x, y) in counts.items():
+            k = h, at[h, s]
+            n[k], b[k], deep[k] = n[k] + x, b[k] + y, max(deep[k], len(s))
+        return any(0 < b[k] < n[k] and deep[k] > level for k in n)
+
+    while level < 4 or open_():
+        level += 1
+        child = defaultdict(lambda: [0, 0])
+        for (h, s), (x, y) in counts.items():
+            c = child[h, at[h, s], s[level - 1] if len(s) >= level else ""]
+            c[0] += x
+            c[1] += y
+        all_ = defaultdict(lambda: [0, 0, 0])
+        for (h, t, seg), (x, y) in child.items():
+            a = all_[h, t]
+            a[0], a[1], a[2] = a[0] + x, a[1] + y, a[2] + (seg != "")
+        after = {}
+        for (h, s), t in at.items():
+            seg = s[level - 1] if len(s) >= level else ""
+            (n, b), (an, ab, children) = child[h, t, seg], all_[h, t]
+            apart = known = False
+            if n and an > n:
+                p = ab / an
+                apart = abs(b / n - (ab - b) / (an - n)) > 1.96 * math.sqrt(p * (1 - p) * (1 / n + 1 / (an - n)))
+                known = not apart
+            after[h, s] = t if seg == "" else (*t, "*" if children >= 32 and not apart else "~" if known else seg)
+        at = after
+    return {k: (*t, "**") if len(k[1]) > level else t for k, t in at.items()}
+
+
+def test_url_method_against_brute_force(spark):
+    rows = [(r["page_id"], r["url"]) for r in pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["page_id", "url"]).to_pylist()]
+    rows += [(9_000_000 + i, f"http://bad.com/de/{i}/{'x' if i % 3 else 'y'}") for i in range(200)] + [(9_100_000 + i, f"http://bad.com/en/k{i}/a/b/c/d/e") for i in range(40)]
+    shape = lambda p: tuple("*" + (re.match(r"^[0-9]+(\.[A-Za-z]{1,5})$", s) or ["", ""])[1] if re.match(r"^[0-9]+(\.[A-Za-z]{1,5})?$", s) or re.match(r"^[0-9a-f-]{16,}$", s) or len(s) > 32 else s for s in p.split("/") if s)
+    parsed = {i: brute_url(u) for i, u in rows}
+    counts, paths = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for host, path, rule, verdict in parsed.values():
+        for c in (counts[host, shape(path)], paths["", shape(path)]):
+            c[0] += rule is not None
+            c[1] += verdict == "block"
+    own, over = brute_templates(counts), brute_templates(paths)
+    base = (sum(b for _, b in counts.values()) + 4) / (sum(n for n, _ in counts.values()) + 8)
+
+    def rates(of):
+        sums = defaultdict(lambda: [0, 0])
+        for k, (n, b) in of:
+            sums[k][0] += n
+            sums[k][1] += b
+        return sums
+
+    by_host, by_path, by_own = rates((h, c) for (h, _), c in counts.items()), rates((over["", s], c) for (_, s), c in paths.items()), rates(((h, own[h, s]), c) for (h, s), c in counts.items())
+    smooth = lambda c, to: (c[1] + 8 * to) / (c[0] + 8)
+    logit = lambda p: math.log(p / (1 - p))
+    got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), Q.URL_RULES).collect()}
+    decided = Counter()
+    for i, _ in rows:
+        host, path, rule, verdict = parsed[i]
+        t = own[host, shape(path)]
+        odds = logit(smooth(by_host[host], base)) + logit(smooth(by_path[over["", shape(path)]], base)) - logit(base)
+        rate = smooth(by_own[host, t], 1 / (1 + math.exp(-odds)))
+        assert got[i].template == "/" + "/".join(t) and math.isclose(got[i].block_rate, rate, rel_tol=1e-9), (host, path)
+        assert got[i].verdict == (verdict or ("block" if rate > 0.6 else "allow"))
+        decided[rule is None, got[i].verdict] += 1
+    assert min(decided[True, "block"], decided[True, "allow"]) > 100
+
+
+def test_url_method_tells_held_out_labels_apart(spark):
+    """Rules of one host taken away: its pages are judged by the paths of the others, better than by one rate for all."""
+    rows = [(r["page_id"], r["url"]) for r in pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["page_id", "url"]).to_pylist()]
+    host = Counter(brute_url(u)[0] for _, u in rows if brute_url(u)[0].endswith("org")).most_common(1)[0][0]
+    true = {i: brute_url(u)[3] for i, u in rows if brute_url(u)[0] == host}
+    hidden = [(i, u.replace(host, "unknown.net", 1) if i in true else u) for i, u in rows]
+    got = {r.page_id: r for r in judge_urls(spark.createDataFrame(hidden, "page_id long, url string"), Q.URL_RULES).collect()}
+    assert all(got[i].rule is None for i in true)
+    right = sum(got[i].verdict == v for i, v in true.items()) / len(true)
+    assert right > max(Counter(true.values()).values()) / len(true) and right > 0.8, right
+
+
 def test_url_tree_follows_the_deepest_labelled_path(spark):
     rows = [(1000 * k + i, f"http://deep.com/a/b/c/d/{end}/{i}") for k, end in enumerate(("good", "bad")) for i in range(300)]
     rules = [("block", "deep.com", "/a/b/c/d/bad/1"), ("allow", "deep.com", "/a/b/c/d/good/1")]

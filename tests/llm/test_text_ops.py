@@ -141,3 +141,20 @@ def test_pii_redaction_keeps_rows_and_columns(spark):
     got = sorted(redact_pii(df).collect())
     assert [tuple(r) for r in got] == [(1, "write to [EMAIL] now", "a"), (2, None, "b"), (3, "plain", None)]
     assert [x.kind for x in find_spans("ssn 123-45-6789")] == ["ssn"] and not find_spans("no. 123-45-6789")
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("DE89 3704 0044 0532 0130 00", ["iban"]), ("DE89370400440532013000", ["iban"]), ("DE8 9", []), ("DE89 3704 0044 0532 0130 01", []),  # a wrong checksum
+        ("ref DE893704 00440532 013000 x", []), ("my iban: DE893704 00440532 013000 x", ["iban"]), ("embank DE893704 00440532 013000", []),  # written oddly: only with context
+        ("ssn 123-45-6789", ["ssn"]), ("tax ids 123-45-6789", ["ssn"]), ("lessness 123-45-6789", []), ("ssn 000-45-6789", []), ("ssn 123-45-6789 " + "x" * 41, ["ssn"]), ("ssn" + " x" * 30 + " 123-45-6789", []),
+    ],
+)
+def test_context_decides_where_checksums_do_not(text, kinds):
+    assert [x.kind for x in find_spans(text) if x.kind in ("iban", "ssn")] == kinds
+
+
+def test_context_moves_scores_by_whole_words():
+    score = lambda t: find_spans(t)[0].score
+    assert score("call +49 30 1234567") > score("recall +49 30 1234567") and score("the ip 10.1.2.3") > score("the trip 10.1.2.3")
