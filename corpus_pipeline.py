@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismfeed.llm._tables import keep, table
@@ -18,19 +18,32 @@ from prismfeed.llm.queries import PIECES, training_fold
 LEAST_SCORE = 0.5
 
 
+def _exactly(names: list[str]) -> list[Column]:
+    """Columns by their very names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name like `name` that docs lacks."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language that stands out, go."""
     path = public_tokenizers.path(PIECES)
     model = train(docs.filter(training_fold(3, 1)), path)
-    judged = identify(docs, model, path)
-    sure = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
-    return judged.filter(sure).select(*docs.columns)
+    lang, score = _free("lang_pred", docs), _free("score", docs)
+    judged = identify(docs, model, path, lang_name=lang, score_name=score)
+    sure = (F.col(lang) != UNDETERMINED) & (F.col(score) >= LEAST_SCORE)
+    return judged.filter(sure).select(*_exactly(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents joined by links the one of smallest id stays; rows of a null id stay."""
+    """Of each group of documents joined by links the one of smallest id stays; rows of one id are one document, rows of a null id stay."""
     gone = link_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*_exactly(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
