@@ -34,15 +34,17 @@ WORD_CHARS = 32
 #: Words remembered per Python worker.
 CACHE_WORDS = 300_000
 UNDETERMINED = "und"
-#: Signs that count as word characters to `re` without being letters (category L): digits and numbers of all scripts.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_WORD = re.compile(rf"[^\W_{_NUMBERS}]{{1,{WORD_CHARS}}}")
+_RUN = re.compile(rf"[^\W\d_]{{1,{WORD_CHARS}}}")
+#: Signs that count as word characters to `re` without being letters (category L): numbers of all scripts, such as ½ and Ⅷ.
+_NUMBER = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()) + "]")
 _UNKNOWN = 1e-7
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased letter runs."""
-    return _WORD.findall(text.lower())
+    """Lower-cased letter runs, long ones in stretches."""
+    text = text.lower()
+    found = _RUN.findall(text)
+    return found if all(map(str.isalpha, found)) else _RUN.findall(_NUMBER.sub(" ", text))
 
 
 class Lattice:
