@@ -158,11 +158,6 @@ def truncate(x: Column, most: int) -> Column:
     return F.when(F.length(x) > most, F.concat(F.rtrim(F.left(x, F.lit(most - 1))), F.lit("…"))).otherwise(x)
 
 
-def truncate_card(x: Column) -> Column:
-    """Card titles: beyond 110 characters 107 and an ellipsis."""
-    return F.when(F.length(x) > 110, F.concat(F.left(x, F.lit(107)), F.lit("…"))).otherwise(x)
-
-
 def strip_quotes(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, "^[\"'“‘]|[\"'”’]$", ""))
 

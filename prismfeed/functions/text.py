@@ -25,6 +25,7 @@ SUFFIXES = (
 SHINGLE, SLOTS, PRIME = 4, 64, 2147483647
 EMPTY_SLOT = 0xFFFFFFFF
 
+# Entity words, words that are none, English phrases with their entities, and the signs that part words.
 #: Entity words: parties, institutions, cities, countries, people, sports, religion, finance, minorities, English bridges and their targets.
 ENTITY_WORDS = (
     "akp", "chp", "mhp", "iyi", "deva", "gelecek", "saadet", "tip", "dem", "hdp", "ysp", "yrp", "bbp", "vatan",
@@ -51,6 +52,13 @@ ENTITY_BRIDGE = {
 ENTITY_BREAKS = r"[\s.,;:!?()\[\]{}\"'`’‘“”«»\-–—/\\|…]+"
 
 
+#: Shingle hashes that a task remembers.
+_KNOWN = 1 << 19
+_NO_ENTITY_LETTER = r"[^a-z0-9\s.,;:!?()\[\]{}\"'`’‘“”«»\-–—/\\|…]"
+_LISTED = tuple(w for w in dict.fromkeys(ENTITY_WORDS) if len(w) >= 3 and w not in ENTITY_STOP_WORDS)
+_GAP = r"\s+"
+
+
 def fold(text: Column) -> Column:
     """ASCII letters for Turkish ones, then lower case; folding comes first, as lower('İ') has two characters."""
     return F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
@@ -81,7 +89,7 @@ def joined_text(title: Column, description: Column) -> Column:
 
 def shingle_set(normalized: Column, n: int = SHINGLE) -> Column:
     """Distinct character n-grams of a normalised text; a shorter one is its own only shingle, an empty one has none."""
-    every = F.transform(F.sequence(F.lit(1), F.length(normalized) - (n - 1)), lambda i: F.substr(normalized, i, F.lit(n)))
+    every = F.regexp_extract_all(normalized, F.lit(f"(?=([\\s\\S]{{{n}}}))"), F.lit(1))  # one look-ahead at each position: linear in the text
     return F.when(normalized == "", F.array().cast("array<string>")).when(F.length(normalized) < n, F.array(normalized)).otherwise(F.array_distinct(every))
 
 
@@ -106,23 +114,47 @@ def minhash_coefficients(slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def minhash_signature(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The minimum of each slot over the base hashes of a shingle set; all slots empty for an empty set."""
-    a, b = minhash_coefficients()
-    for column in hashes:
-        out = []
-        for h in column:
-            if h is None or not len(h):
-                out.append([EMPTY_SLOT] * SLOTS)
-            else:
-                x = np.fmod(np.asarray(h, np.float64), PRIME)
-                out.append(np.fmod(np.outer(x, a) + b, PRIME).min(axis=0).astype(np.int64).tolist())
-        yield pd.Series(out)
+def shingle_codes(normalized: str, n: int = SHINGLE) -> np.ndarray:
+    """The distinct n-grams (n up to 8) of an ASCII text as numbers of their bytes."""
+    raw = np.frombuffer(normalized.encode("ascii"), np.uint8).astype(np.uint64)
+    size = len(raw) - n + 1
+    return np.unique(sum(raw[i : i + size] << np.uint64(8 * (n - 1 - i)) for i in range(n)))
 
 
-def minhash(normalized: Column) -> Column:
-    return minhash_signature(F.transform(shingle_set(normalized), base_hash32))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def minhash(normalized: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The minimum of each slot over the base hashes of a normalised text's shingles; all slots empty for an empty text, null for null.
+
+    A shingle's hash is remembered within a bound.
+    """
+    a, b = minhash_coefficients()
+    known: dict[int, int] = {}
+
+    def hashes(text: str) -> np.ndarray:
+        if len(text) < SHINGLE:
+            return np.array([_hash32(text)], np.float64)
+        codes = shingle_codes(text).tolist()
+        if len(known) > _KNOWN:
+            known.clear()
+        for c in codes:
+            if c not in known:
+                known[c] = int.from_bytes(hashlib.sha256(c.to_bytes(SHINGLE, "big")).digest()[:4], "big")
+        return np.array([known[c] for c in codes], np.float64)
+
+    def signature(text: str | None) -> np.ndarray | None:
+        if text is None:
+            return None
+        if not text:
+            return np.full(SLOTS, EMPTY_SLOT)
+        x = np.fmod(hashes(text), PRIME)
+        least = np.full(SLOTS, np.inf)
+        for lo in range(0, len(x), 4096):
+            y = x[lo : lo + 4096, None] * a + b
+            least = np.minimum(least, np.fmod(y, PRIME).min(axis=0))
+        return least.astype(np.int64)
+
+    for column in normalized:
+        yield pd.Series([signature(t) for t in column], dtype=object)
 
 
 def signature_jaccard(a: Column, b: Column) -> Column:
@@ -141,12 +173,14 @@ def normalize_token(raw: Column) -> Column:
 def extract_entities(text: Column) -> Column:
     """Distinct entities, sorted: listed words, years 1950-2099, percentages and bridged English phrases."""
     t = F.coalesce(text, F.lit(""))
-    listed = F.array(*map(F.lit, ENTITY_WORDS))
-    words = F.filter(F.transform(F.split(t, ENTITY_BREAKS), normalize_token), lambda w: w.isNotNull() & F.array_contains(listed, w))
+    parted = F.split(F.regexp_replace(fold(t), _NO_ENTITY_LETTER, ""), ENTITY_BREAKS)
+    words = F.filter(parted, lambda w: w.isin(*_LISTED))
     edge, stop = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
     years = F.regexp_extract_all(t, F.lit(f"{edge}(19[5-9][0-9]|20[0-9][0-9]){stop}"), F.lit(1))
     percent = F.regexp_extract_all(t, F.lit(f"{edge}([0-9]{{1,3}})\\s*%"), F.lit(1))
     worded = F.regexp_extract_all(t, F.lit(f"(?i)(?:y[üÜ]zde|yuzde)\\s*([0-9]{{1,3}}){stop}"), F.lit(1))
     shares = F.transform(F.concat(percent, worded), lambda n: F.concat(F.lit("pct"), n))
-    bridged = F.array_compact(F.array(*[F.when(t.rlike(rf"(?i)(?<![A-Za-z0-9]){en.replace(' ', r'\s+')}(?![A-Za-z0-9])"), F.lit(tr)) for en, tr in ENTITY_BRIDGE.items()]))
+    phrases = F.regexp_extract_all(t, F.lit(rf"(?i)(?<![A-Za-z0-9])({'|'.join(ENTITY_BRIDGE).replace(' ', _GAP)})(?![A-Za-z0-9])"), F.lit(1))
+    bridge = F.create_map(*[F.lit(x) for pair in ENTITY_BRIDGE.items() for x in pair])
+    bridged = F.transform(phrases, lambda w: F.element_at(bridge, F.lower(F.regexp_replace(w, r"\s+", " "))))
     return F.array_sort(F.array_distinct(F.concat(words, years, shares, bridged)))

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismfeed.functions import scalar, text
+from prismfeed.operators.graph import components
 
-#: Entities that a candidate shares, candidates of an article, share of the match score from which fallbacks are taken.
-SHARED, CANDIDATES, FLOOR = 2, 20, 0.9 * scalar.MATCH
+# Entities that a candidate shares, candidates of an article, clusters looked at, share of the match score from which fallbacks are taken.
+SHARED, CANDIDATES, CONTEXT, FLOOR = 2, 20, 60, 0.9 * scalar.MATCH
 
 
 def features(articles: DataFrame) -> DataFrame:
@@ -50,22 +51,39 @@ def cosines(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(dots, ["a", "b"], "left").select("a", "b", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
-def entity_pairs(left: DataFrame, right: DataFrame, least: int = SHARED) -> DataFrame:
-    """(a, b, shared) of articles with `least` common entities. Entities are a fixed list, years and percentages; one that a
-    large part of all articles mentions makes its rows once per article, and pairs only within the time band of the callers' inputs."""
-    ea = left.select(F.col("id").alias("a"), "band", F.explode("entities").alias("e"))
-    eb = right.select(F.col("id").alias("b"), "band", F.explode("entities").alias("e"))
-    return ea.join(eb, ["band", "e"]).filter("a < b").groupBy("a", "b").agg(F.countDistinct("e").alias("shared")).filter(F.col("shared") >= least)
+def entity_pairs(articles: DataFrame, least: int = SHARED, hours: int = scalar.WINDOW_HOURS) -> DataFrame:
+    """(a, b, shared) of articles published within `hours` of each other with `least` common entities.
+
+    Articles meet in time bands, and by an entity that counts only there, so what
+    a hot entity makes grows with the articles of three bands and not of all time.
+    """
+    at = F.unix_micros("published_at")
+    width = hours * 3_600_000_000
+    listed = articles.select("id", at.alias("at"), F.floor(at / width).alias("band"), F.explode("entities").alias("e"))
+    ea = listed.select(F.col("id").alias("a"), F.col("at").alias("ta"), "band", "e")
+    eb = listed.select(F.col("id").alias("b"), F.col("at").alias("tb"), F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), "e")
+    near = ea.join(eb, ["band", "e"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= width))
+    return near.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+
+
+def fingerprint_pairs(articles: DataFrame) -> DataFrame:
+    """(a, b) of each article b and the first holder a of its fingerprint, at any distance in time; no group is expanded into all pairs."""
+    held = articles.filter("strict is not null").select("id", "strict")
+    first = held.groupBy(F.struct("strict").alias("k")).agg(F.min("id").alias("a")).select("k.strict", "a")
+    return held.join(first, "strict").filter("id > a").select("a", F.col("id").alias("b"))
 
 
-def banded(df: DataFrame, hours: int = scalar.WINDOW_HOURS, both: bool = False) -> DataFrame:
-    """Rows with a time band of `hours`; with `both` also in the neighbouring bands, so that pairs within the window meet."""
-    band = F.floor(F.unix_micros("published_at") / (hours * 3.6e9))
-    return df.withColumn("band", F.explode(F.array(band - 1, band, band + 1))) if both else df.withColumn("band", band)
+def recent_clusters(members: DataFrame, now: Column, n: int = CONTEXT, hours: int = scalar.WINDOW_HOURS) -> DataFrame:
+    """The members of the newest n clusters with a member of the last `hours`; members: (cluster_id, id, published_at, ...)."""
+    newest = members.groupBy("cluster_id").agg(F.max("published_at").alias("updated_at")).filter(scalar.hours_between(now, F.col("updated_at")) <= hours)
+    return members.join(F.broadcast(newest.orderBy(F.desc("updated_at"), "cluster_id").limit(n).select("cluster_id")), "cluster_id")  # n rows
 
 
 def candidates(articles: DataFrame, members: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """(id, cluster_id, shared, strict_hit): clusters that share a fingerprint or enough entities with a member, the best n for each article."""
+    """(id, cluster_id, weight, place): clusters that share a fingerprint or enough entities with a member, the best n for each article.
+
+    members are those of a bounded number of clusters, as recent_clusters gives them.
+    """
     fp = articles.filter("strict is not null").select("id", "strict").join(members.select("cluster_id", "strict").distinct(), "strict").select("id", "cluster_id").distinct().withColumn("weight", F.lit(1 << 30))
     ea = articles.select("id", F.explode("entities").alias("e"))
     ec = members.select("cluster_id", F.explode("entities").alias("e")).distinct()
@@ -95,42 +113,72 @@ def best_match(scored: DataFrame, threshold: float = scalar.MATCH) -> DataFrame:
 
 
 def assign_greedily(articles: DataFrame, scored: DataFrame) -> DataFrame:
-    """(id, cluster_id): articles in order of time join the first cluster that holds their fingerprint, else that of their best
-    earlier match, if it lacks their source, or found one.
-
-    The order-dependent decisions need one pass over a batch: of each article only
-    its fingerprint, looked up with no entity or time condition, and its links at
-    the floor or above, scored beforehand in parallel, come to the task that
-    decides for its component's batch (column `batch`); equal fingerprints belong
-    in one batch.
+    """(id, cluster_id): articles in order of time join a cluster or found one.
+
+    An article joins the first cluster that holds its fingerprint and lacks its
+    source, at any distance in time. Else the clusters whose first member (seed)
+    lies within the window are scored by the better of their seed and their latest
+    member; if the best reaches the match score, the article joins the first, in
+    order of score, that lacks its source, down to the floor. Else it founds one.
+
+    Only links at the floor or above and equal fingerprints can tie an article to
+    a cluster, so each connected component of these is decided by itself, in order
+    of time: of its articles one task holds the fingerprint and the links.
     """
-    links = scored.filter(F.col("s.score") >= FLOOR).select(F.greatest("a", "b").alias("id"), F.struct(F.col("s.score").alias("score"), F.least("a", "b").alias("to")).alias("l")).groupBy("id").agg(F.array_sort(F.collect_list("l")).alias("links"))
+    links = scored.filter(F.col("s.score") >= FLOOR).select("a", "b", F.col("s.score").alias("score"))
+    ties = links.select("a", "b")
+    if "strict" in articles.columns:
+        ties = ties.union(fingerprint_pairs(articles))
+    comp = components(ties)
     strict = F.col("strict") if "strict" in articles.columns else F.lit(None).cast("string")
-    rows = articles.select("batch", "id", "slug", strict.alias("strict"), "published_at").join(links, "id", "left")
+    both = links.select(F.col("a").alias("id"), F.struct(F.col("b").alias("to"), "score").alias("l")).union(links.select(F.col("b").alias("id"), F.struct(F.col("a").alias("to"), "score").alias("l")))
+    rows = articles.select("id", "slug", strict.alias("strict"), "published_at").join(comp, F.col("id") == F.col("node"), "left")
+    alone = rows.filter("component is null").select("id", F.col("id").alias("cluster_id"))
+    tied = rows.filter("component is not null").select("component", "id", "slug", "strict", F.unix_micros("published_at").alias("at")).join(both.groupBy("id").agg(F.collect_list("l").alias("links")), "id", "left")
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        cluster: dict[int, int] = {}
-        held: dict[int, set] = {}
-        order: dict[str, list[int]] = {}  # clusters of each fingerprint
-        seen: set[tuple] = set()
-        passed: dict[tuple, int] = {}  # how many of them hold a source already; a cluster never loses one
-        for r in batch.sort_values(["published_at", "id"]).itertuples(index=False):
-            known, at = order.get(r.strict, []), passed.get((r.strict, r.slug), 0)
-            while at < len(known) and r.slug in held[known[at]]:
-                at += 1
-            passed[r.strict, r.slug] = at
-            found = known[at] if at < len(known) else None
-            options = sorted(([x["score"], x["to"]] for x in r.links), key=lambda x: (-x[0], x[1])) if r.links is not None else []
-            if found is None and options and options[0][0] >= scalar.MATCH:
-                found = next((cluster[to] for _, to in options if to in cluster and r.slug not in held[cluster[to]]), None)
-            cluster[r.id] = r.id if found is None else found
-            held.setdefault(cluster[r.id], set()).add(r.slug)
-            if isinstance(r.strict, str) and (r.strict, cluster[r.id]) not in seen:
-                seen.add((r.strict, cluster[r.id]))
-                order.setdefault(r.strict, []).append(cluster[r.id])
-        return pd.DataFrame({"id": [*cluster], "cluster_id": [*cluster.values()]})
-
-    return rows.groupBy("batch").applyInPandas(run, "id long, cluster_id long")
+        cluster, place = decided([(r.id, r.slug, r.strict if isinstance(r.strict, str) else None, r.at, {} if r.links is None else {x["to"]: x["score"] for x in r.links}) for r in batch.itertuples(index=False)]), batch["id"]
+        return pd.DataFrame({"id": place, "cluster_id": [cluster[i] for i in place]})
+
+    return alone.union(tied.groupBy("component").applyInPandas(run, "id long, cluster_id long"))
+
+
+def decided(articles: list[tuple]) -> dict[int, int]:
+    """The cluster of each article (id, source, fingerprint, micros, {other id: score at the floor or above})."""
+    cluster: dict[int, int] = {}
+    seed_at: dict[int, int] = {}
+    latest: dict[int, int] = {}
+    held: dict[int, set] = {}
+    leads: dict[int, int] = {}  # the cluster that an article is seed or latest of
+    order: dict[str, list[int]] = {}  # clusters of each fingerprint
+    seen: set[tuple] = set()
+    passed: dict[tuple, int] = {}  # how many of them hold a source already; a cluster never loses one
+    window = scalar.WINDOW_HOURS * 3_600_000_000
+    for id_, source, strict, at, links in sorted(articles, key=lambda r: (r[3], r[0])):
+        known, skip = order.get(strict, []) if strict is not None else [], passed.get((strict, source), 0)
+        while skip < len(known) and source in held[known[skip]]:
+            skip += 1
+        passed[strict, source] = skip
+        found = known[skip] if skip < len(known) else None
+        if found is None:
+            best: dict[int, float] = {}
+            for to, score in links.items():
+                k = leads.get(to)
+                if k is not None and abs(at - seed_at[k]) <= window:
+                    best[k] = max(best.get(k, 0.0), score)
+            ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
+            if ranked and ranked[0][1] >= scalar.MATCH:
+                found = next((k for k, _ in ranked if source not in held[k]), None)
+        if found is None:
+            found, seed_at[id_] = id_, at
+        elif latest[found] != found:
+            leads.pop(latest[found])
+        cluster[id_], leads[id_], latest[found] = found, found, id_
+        held.setdefault(found, set()).add(source)
+        if strict is not None and (strict, found) not in seen:
+            seen.add((strict, found))
+            order.setdefault(strict, []).append(found)
+    return cluster
 
 
 def neutral_title(titles: Column) -> Column:

@@ -45,3 +45,14 @@ def patch(table: DataFrame, patches: DataFrame, key: str) -> DataFrame:
 
 def delete_cascade(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return table.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def crud(table: DataFrame, creates: DataFrame, patches: DataFrame, deletes: DataFrame, key: str, unique: str) -> DataFrame:
+    """table after deletes, patches and creates, in this order; a row to create goes if its `unique` value is taken."""
+    left = patch(table.join(deletes.select(key), key, "left_anti"), patches, key)
+    return left.unionByName(creates.join(left.select(unique), unique, "left_anti").select(*left.columns))
+
+
+def cascade_delete(gone: DataFrame, children: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
+    """What stays of each child table (with `key`) when the rows `gone` are deleted."""
+    return {name: delete_cascade(child, gone, key) for name, child in children.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Limits of queue depth, age in seconds, staleness of ingestion and clustering.
@@ -38,11 +38,12 @@ def health(articles: DataFrame, clusters: DataFrame, queue: DataFrame, now: Colu
     return one.select("ingestion_ok", "clustering_ok", "queues_ok", F.when(good, "healthy").otherwise("degraded").alias("verdict"))
 
 
-def token_bucket(requests: DataFrame, capacity: float, refill: float) -> DataFrame:
+def token_bucket(requests: DataFrame, capacity: float, refill: float, idle: float = BUCKET_IDLE) -> DataFrame:
     """(client, seq, allowed, retry_after_ms) of requests (client, seq, at: seconds): a bucket for each client, full at first.
 
-    The state runs along each client's requests in time; a client's requests are
-    streamed in order through one task, with two numbers of state.
+    A bucket that was idle for longer than `idle` seconds is forgotten, so the
+    next request finds a full one. The state runs along each client's requests in
+    time; they are streamed in order through one task, with two numbers of state.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,7 +51,7 @@ def token_bucket(requests: DataFrame, capacity: float, refill: float) -> DataFra
         for b in batches:
             allowed, wait = [], []
             for c, at in zip(b["client"], b["at"], strict=True):
-                if c != client:
+                if c != client or at - last > idle:
                     client, tokens = c, capacity
                 else:
                     tokens = min(capacity, tokens + (at - last) * refill)
@@ -75,7 +76,41 @@ def image_attempts(state: DataFrame, results: DataFrame, now: Column) -> DataFra
     return joined.select("article_id", F.coalesce("image_url", "found").alias("image_url"), attempts.alias("attempts"), at.alias("attempted_at"))
 
 
-def settle(messages: DataFrame, failed: Column, article_id: Column) -> DataFrame:
-    """What becomes of each leased message: malformed and poisoned ones are archived, failed ones retried, the others done."""
-    outcome = F.when(article_id.isNull(), "malformed").when(failed & (F.col("read_ct") > POISON_READS), "poison").when(failed, "retry").otherwise("done")
-    return messages.withColumn("outcome", outcome)
+def lease(queue: DataFrame, now: Column, visibility: int, n: int) -> DataFrame:
+    """queue (msg_id, read_ct, vt, message) after a read: `leased` marks the first n visible messages, which are read once more and hidden for so many seconds."""
+    free = queue.filter(F.col("vt") <= now).orderBy("msg_id").limit(n).select("msg_id", F.lit(True).alias("leased"))
+    marked = queue.join(F.broadcast(free), "msg_id", "left").withColumn("leased", F.coalesce("leased", F.lit(False)))  # n rows
+    vt = F.when(F.col("leased"), F.timestamp_micros(F.unix_micros(now) + visibility * 1_000_000)).otherwise(F.col("vt"))
+    return marked.withColumn("read_ct", F.col("read_ct") + F.col("leased").cast("int")).withColumn("vt", vt)
+
+
+def settle(messages: DataFrame, failed: Column, article_id: Column, before_work: bool = False) -> DataFrame:
+    """What becomes of each leased message: malformed and poisoned ones are archived, failed ones retried, the others done.
+
+    A message is poisoned once it was read more often than allowed: if it fails
+    again, or, with before_work, without another try.
+    """
+    worn = F.col("read_ct") > POISON_READS
+    poisoned = worn if before_work else failed & worn
+    return messages.withColumn("outcome", F.when(article_id.isNull(), "malformed").when(poisoned, "poison").when(failed, "retry").otherwise("done"))
+
+
+def archive(settled: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The archive's new rows (with archived_at), and the messages that stay in the queue."""
+    return settled.filter("outcome <> 'retry'").withColumn("archived_at", now), settled.filter("outcome = 'retry'").drop("outcome")
+
+
+def pool(jobs: DataFrame, workers: int, deadline: float) -> DataFrame:
+    """(job, worker, start, ran) of jobs (job, seconds): each worker takes its jobs in turn and starts none after the deadline."""
+    own = Window.partitionBy("worker").orderBy("job").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = jobs.withColumn("worker", F.pmod("job", F.lit(workers)))
+    return dealt.withColumn("start", F.coalesce(F.sum("seconds").over(own), F.lit(0))).select("job", "worker", "start", (F.col("start") <= deadline).alias("ran"))
+
+
+def cached_reads(reads: DataFrame, ttl: int) -> DataFrame:
+    """reads (key, seq, at in seconds, invalidates) with `hit`: whether the view of the key was built before in this period of
+    freshness and no invalidation of its tag came since; an invalidating row is itself a miss."""
+    by = Window.partitionBy("key").orderBy("at", "seq")
+    period = reads.withColumn("epoch", F.sum(F.col("invalidates").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("period", F.floor(F.col("at") / ttl))
+    first = F.row_number().over(Window.partitionBy("key", "period", "epoch").orderBy("at", "seq"))
+    return period.withColumn("hit", first > 1).select("key", "seq", "hit")

@@ -272,18 +272,24 @@ def agg_cluster_stance(spark, sf):
     return counts.select("cluster_id", rows.alias("r")).select("cluster_id", "r.zone", "r.place", "r.n")
 
 
-@query(f"""WITH {P.SQL_SOURCES}, {P.SQL_RECENT}, h AS (SELECT DISTINCT source_id FROM recent WHERE cluster_id % 1000 = 7), d AS (SELECT {P.sql_zone("bias")} AS zone, count(*) AS n, count(source_id) AS participating FROM sources LEFT JOIN h ON source_id = id GROUP BY 1)
-SELECT zone, n, participating, round(n * 1.0 / sum(n) OVER (), 9) AS share FROM d""")
+@query(f"""WITH {P.SQL_SOURCES}, {P.SQL_RECENT}, z AS (SELECT {P.sql_zone("bias")} AS zone, count(*) AS n FROM sources GROUP BY 1), c AS (SELECT DISTINCT cluster_id FROM recent), h AS (SELECT cluster_id, {P.sql_zone("sources.bias")} AS zone, count(DISTINCT source_id) AS participating FROM recent JOIN sources ON sources.id = source_id GROUP BY 1, 2)
+SELECT c.cluster_id, z.zone, n, coalesce(participating, 0) AS participating, round(n / {P.N_SOURCES}.0, 9) AS share FROM c CROSS JOIN z LEFT JOIN h ON h.cluster_id = c.cluster_id AND h.zone = z.zone""")
 def agg_media_dna(spark, sf):
-    slugs = P.recent(spark, sf).filter("cluster_id % 1000 = 7").select("source_id").distinct()
-    s = P.sources(spark)
-    d = s.join(slugs, s.id == slugs.source_id, "left").groupBy(zone_of(F.col("bias")).alias("zone")).agg(F.count("*").alias("n"), F.count("source_id").alias("participating"))
-    return d.withColumn("share", R(F.col("n") / F.sum("n").over(Window.partitionBy())))  # three rows
+    """For every cluster the sources of each zone and how many of them take part."""
+    s = P.sources(spark).select(F.col("id").alias("source_id"), zone_of(F.col("bias")).alias("zone"))
+    zones = s.groupBy("zone").agg(F.count("*").alias("n"))  # three rows
+    taken = P.recent(spark, sf).select("cluster_id", "source_id").join(F.broadcast(s), "source_id").groupBy("cluster_id", "zone").agg(F.countDistinct("source_id").alias("participating"))
+    by = taken.groupBy("cluster_id").agg(F.map_from_entries(F.collect_list(F.struct("zone", "participating"))).alias("by"))  # three entries
+    each = by.select("cluster_id", "by", F.explode(F.array(*map(F.lit, ZONES))).alias("zone")).join(F.broadcast(zones), "zone")
+    return each.select("cluster_id", "zone", "n", F.coalesce(F.element_at("by", F.col("zone")), F.lit(0)).alias("participating"), R(F.col("n") / F.lit(float(P.N_SOURCES))).alias("share"))
 
 
-@query(f"""WITH {P.SQL_SOURCES}, {P.SQL_RECENT}, h AS (SELECT DISTINCT source_id FROM recent WHERE cluster_id % 1000 = 7) SELECT id, slug, source_id IS NOT NULL AS highlighted FROM sources LEFT JOIN h ON source_id = id""")
+@query(f"""WITH {P.SQL_SOURCES}, {P.SQL_RECENT}, h AS (SELECT DISTINCT source_id FROM recent WHERE cluster_id = (SELECT min(cluster_id) FROM recent)) SELECT id, slug, source_id IS NOT NULL AS highlighted FROM sources LEFT JOIN h ON source_id = id""")
 def jn_semi_highlight(spark, sf):
-    slugs = P.recent(spark, sf).filter("cluster_id % 1000 = 7").select("source_id").distinct()
+    """The sources, those of the first story marked."""
+    r = P.recent(spark, sf)
+    story = r.agg(F.min("cluster_id").alias("cluster_id"))  # one row
+    slugs = r.join(F.broadcast(story), "cluster_id", "left_semi").select("source_id").distinct()
     s = P.sources(spark)
     return s.join(slugs, s.id == slugs.source_id, "left").select("id", "slug", F.col("source_id").isNotNull().alias("highlighted"))
 

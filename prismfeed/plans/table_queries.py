@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prismfeed.functions import clean, scalar
 from prismfeed.operators import hygiene as H
+from prismfeed.operators import operations as O
 from prismfeed.plans import proxy as P
 from prismfeed.plans.registry import query
+from prismfeed.staging import staged
 
 NOW = P.SQL_AS_OF
 stamp_sql = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
@@ -266,8 +269,8 @@ def win_first_seen_intra_cycle(spark, sf):
     return H.keep_first(P.arrivals(spark, sf), ["source_id", "event_type"], ["id"]).select("source_id", "id")
 
 
-_SQL_UPSERT = """WITH b AS (SELECT event_id AS seq, 'u' || (event_id % 300) AS url, user_id % 30 AS source_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(event_id % 40 AS VARCHAR) END AS content_hash FROM events),
-t AS (SELECT 'u' || o_orderkey AS url, o_orderkey % 30 AS source_id, CAST(o_orderkey % 40 AS VARCHAR) AS content_hash FROM orders WHERE o_orderkey < 20),
+_SQL_UPSERT = """WITH b AS (SELECT event_id AS seq, 'u' || (event_id * 7 // 5) AS url, user_id % 30 AS source_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(event_id * 3 AS VARCHAR) END AS content_hash FROM events),
+t AS (SELECT 'u' || (o_orderkey * 3) AS url, o_orderkey % 30 AS source_id, CAST(o_orderkey AS VARCHAR) AS content_hash FROM orders),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS rn FROM b) WHERE rn = 1),
 g AS (SELECT seq, url, source_id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY source_id, content_hash ORDER BY seq) AS rn2 FROM f) WHERE rn2 = 1 OR content_hash IS NULL)
 SELECT seq, url FROM g WHERE url NOT IN (SELECT url FROM t) AND NOT EXISTS (SELECT 1 FROM t WHERE t.source_id = g.source_id AND t.content_hash = g.content_hash)"""
@@ -276,9 +279,9 @@ SELECT seq, url FROM g WHERE url NOT IN (SELECT url FROM t) AND NOT EXISTS (SELE
 @query(_SQL_UPSERT)
 def snk_upsert_ignore(spark, sf):
     e = P.table(spark, sf, "events")
-    b = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("u"), (F.col("event_id") % 300).cast("string")).alias("url"), (F.col("user_id") % 30).alias("source_id"), F.when(F.col("event_id") % 9 != 0, (F.col("event_id") % 40).cast("string")).alias("content_hash"))
+    b = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.floor(F.col("event_id") * 7 / 5).cast("string")).alias("url"), (F.col("user_id") % 30).alias("source_id"), F.when(F.col("event_id") % 9 != 0, (F.col("event_id") * 3).cast("string")).alias("content_hash"))
     k = F.col("o_orderkey")
-    t = P.table(spark, sf, "orders").filter("o_orderkey < 20").select(F.concat(F.lit("u"), k.cast("string")).alias("url"), (k % 30).alias("source_id"), (k % 40).cast("string").alias("content_hash"))
+    t = P.table(spark, sf, "orders").select(F.concat(F.lit("u"), (k * 3).cast("string")).alias("url"), (k % 30).alias("source_id"), k.cast("string").alias("content_hash"))
     return H.upsert_ignore(t, b).select("seq", "url")
 
 
@@ -296,13 +299,27 @@ def snk_atomic_link(spark, sf):
     return H.link(pair("l_quantity < 30"), pair("l_quantity > 25"))
 
 
-@query("SELECT event_id AS msg_id, CASE WHEN event_id % 50 = 0 THEN 'malformed' WHEN event_type = 'error' AND event_id % 6 > 3 THEN 'poison' WHEN event_type = 'error' THEN 'retry' ELSE 'done' END AS outcome FROM events", name="st_poison")
-@query("SELECT event_id AS msg_id, CASE WHEN event_id % 50 = 0 THEN 'malformed' WHEN event_type = 'error' AND event_id % 6 > 3 THEN 'poison' WHEN event_type = 'error' THEN 'retry' ELSE 'done' END AS outcome FROM events", name="snk_archive")
-def _settled(spark, sf):
-    from prismfeed.operators.operations import settle
+_SQL_OUTCOME = "CASE WHEN event_id % 50 = 0 THEN 'malformed' WHEN {worn} THEN 'poison' WHEN event_type = 'error' THEN 'retry' ELSE 'done' END"
 
-    e = P.table(spark, sf, "events").select(F.col("event_id").alias("msg_id"), (F.col("event_id") % 6).cast("int").alias("read_ct"), "event_type", F.when(F.col("event_id") % 50 != 0, F.concat(F.lit('{"article_id": "a'), F.col("event_id").cast("string"), F.lit('"}'))).otherwise('{"article_id": 5}').alias("message"))
-    return settle(e, F.col("event_type") == "error", article_id(F.col("message"))).select("msg_id", "outcome")
+
+def _leased(spark, sf):
+    message = F.when(F.col("event_id") % 50 != 0, F.concat(F.lit('{"article_id": "a'), F.col("event_id").cast("string"), F.lit('"}'))).otherwise('{"article_id": 5}')
+    return P.table(spark, sf, "events").select(F.col("event_id").alias("msg_id"), (F.col("event_id") % 6).cast("int").alias("read_ct"), "event_type", message.alias("message"))
+
+
+@query(f"SELECT event_id AS msg_id, {_SQL_OUTCOME.format(worn='event_type = ' + chr(39) + 'error' + chr(39) + ' AND event_id % 6 > 3')} AS cluster_outcome, {_SQL_OUTCOME.format(worn='event_id % 6 > 3')} AS image_outcome FROM events")
+def st_poison(spark, sf):
+    """Clustering tells poison after a failure, the image search before its work."""
+    m, failed = _leased(spark, sf), F.col("event_type") == "error"
+    after = O.settle(m, failed, article_id(F.col("message"))).withColumnRenamed("outcome", "cluster_outcome")
+    return O.settle(after, failed, article_id(F.col("message")), before_work=True).select("msg_id", "cluster_outcome", F.col("outcome").alias("image_outcome"))
+
+
+@query(f"SELECT msg_id, read_ct, message, outcome, '2024-01-31 00:00:00' AS archived_at FROM (SELECT event_id AS msg_id, event_id % 6 AS read_ct, CASE WHEN event_id % 50 <> 0 THEN '{{\"article_id\": \"a' || event_id || '\"}}' ELSE '{{\"article_id\": 5}}' END AS message, {_SQL_OUTCOME.format(worn='event_type = ' + chr(39) + 'error' + chr(39) + ' AND event_id % 6 > 3')} AS outcome FROM events) WHERE outcome <> 'retry'")
+def snk_archive(spark, sf):
+    """The archive as written, with the messages as they were."""
+    rows, _ = O.archive(O.settle(_leased(spark, sf), F.col("event_type") == "error", article_id(F.col("message"))), P.as_of())
+    return staged(rows, "archive").select("msg_id", "read_ct", "message", "outcome", P.stamp("archived_at").alias("archived_at"))
 
 
 def article_id(message):
@@ -318,30 +335,42 @@ def fn_json_article_id(spark, sf):
 
 @query("SELECT o_orderkey AS article_id, CASE WHEN o_orderkey % 3 = 0 THEN 'i' || o_orderkey END AS image_url, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 6 + 1 END AS attempts, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 6 + 1 >= 5 THEN '2024-02-07 00:00:00' ELSE '2024-01-31 00:00:00' END AS attempted_at FROM orders")
 def st_image_attempts(spark, sf):
-    from prismfeed.operators.operations import image_attempts
-
     k = F.col("o_orderkey")
     o = P.table(spark, sf, "orders")
     state = o.select(k.alias("article_id"), F.lit(None).cast("string").alias("image_url"), (k % 6).alias("attempts"), F.lit(None).cast("timestamp").alias("attempted_at"), F.lit(True).alias("tried"))
     found = o.filter(k % 3 == 0).select(k.alias("article_id"), F.concat(F.lit("i"), k.cast("string")).alias("found"))
-    out = image_attempts(state, found, P.as_of())
+    out = O.image_attempts(state, found, P.as_of())
     return out.select("article_id", "image_url", "attempts", P.stamp("attempted_at").alias("attempted_at"))
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE FALSE UNION ALL SELECT count(*) FROM orders WHERE o_orderkey < 0")
+@query("SELECT 'orders' AS name, o_orderstatus AS kind, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 2 UNION ALL SELECT 'lineitem', l_returnflag, count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F' GROUP BY 2")
 def dml_nuke(spark, sf):
-    gone = P.table(spark, sf, "orders").limit(0).select(F.col("o_orderkey").alias("id"))
-    return gone.unionByName(gone.agg(F.count("*").alias("id")))
+    """Clusters of one status are deleted, and with them the rows that link to them."""
+    o = P.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("kind"))
+    links = P.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("kind"))
+    left = H.cascade_delete(o.filter("kind = 'F'"), {"orders": o, "lineitem": links}, "k")
+    count = lambda name: left[name].groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "kind", "n")
+    return count("orders").unionByName(count("lineitem"))
 
 
-@query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 5 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier", name="dml_partial_update")
-@query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 5 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier", name="dml_source_crud")
-def _patched(spark, sf):
+@query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 5 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def dml_partial_update(spark, sf):
     s = P.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     patches = s.filter("s_suppkey % 5 = 0").select("s_suppkey", F.lit(None).cast("string").alias("s_name"), F.lit(0.0).alias("s_acctbal"))
     return H.patch(s, patches, "s_suppkey")
 
 
+@query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 5 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 7 <> 3 UNION ALL SELECT c_custkey + 1000000, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE s_name END, c_acctbal FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey % 2 = 0 OR c_custkey % 7 = 3 AND s_name IS NOT NULL")
+def dml_source_crud(spark, sf):
+    """Sources are deleted, patched and created; a name that a source still bears is not taken twice."""
+    s = P.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    patches = s.filter("s_suppkey % 5 = 0").select("s_suppkey", F.lit(None).cast("string").alias("s_name"), F.lit(0.0).alias("s_acctbal"))
+    c = P.table(spark, sf, "customer").join(s.select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("taken")), "c_custkey", "left")
+    name = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.col("taken"))
+    creates = c.select((F.col("c_custkey") + 1_000_000).alias("s_suppkey"), name.alias("s_name"), F.col("c_acctbal").alias("s_acctbal")).filter("s_name is not null")
+    return H.crud(s, creates, patches, s.filter("s_suppkey % 7 = 3"), "s_suppkey", "s_name")
+
+
 @query(f"WITH m AS (SELECT c_custkey, lower(trim({_MAIL})) AS e FROM customer) SELECT e AS email, min(c_custkey) AS first_key, count(*) > 1 AS already FROM m WHERE regexp_matches(e, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') GROUP BY 1")
 def dml_newsletter(spark, sf):
     c = P.table(spark, sf, "customer").filter(clean.valid_email(_mail())).select("c_custkey", F.lower(F.trim(_mail())).alias("email"))
@@ -362,14 +391,15 @@ def srt_image_rotation(spark, sf):
 
 @query(f"WITH {P.SQL_MEMBERS} SELECT count(*) AS pairs FROM members a JOIN members b ON a.cluster_id = b.cluster_id AND a.id < b.id WHERE abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 172800000000")
 def jn_time_band(spark, sf):
-    a = P.members(spark, sf).select("cluster_id", F.col("id").alias("x"), F.col("published_at").alias("s"))
-    b = P.members(spark, sf).select("cluster_id", F.col("id").alias("y"), F.col("published_at").alias("t"))
-    return a.join(b, "cluster_id").filter((F.col("x") < F.col("y")) & (scalar.hours_between(F.col("s"), F.col("t")) <= 48)).agg(F.count("*").alias("pairs"))
+    """Counted along each cluster's time, not by making the pairs: those with earlier times within the band, and those of one time."""
+    at = P.members(spark, sf).groupBy("cluster_id", F.unix_micros("published_at").alias("t")).agg(F.count("*").alias("e"))
+    before = Window.partitionBy("cluster_id").orderBy("t").rangeBetween(-48 * 3_600_000_000, -1)
+    pairs = F.col("e") * F.coalesce(F.sum("e").over(before), F.lit(0)) + F.expr("e * (e - 1) div 2")
+    return at.select(pairs.alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pairs"))
 
 
-@query(f"WITH {P.SQL_CLUSTERS} SELECT id, article_count FROM clusters WHERE updated_at >= (SELECT max(updated_at) FROM clusters) - INTERVAL 48 HOUR ORDER BY updated_at DESC, id DESC LIMIT 60", name="top_context_60")
-@query(f"WITH {P.SQL_CLUSTERS} SELECT id, article_count FROM clusters WHERE updated_at >= (SELECT max(updated_at) FROM clusters) - INTERVAL 48 HOUR ORDER BY updated_at DESC, id DESC LIMIT 60", name="st_window_48h")
-def _context(spark, sf):
+@query(f"WITH {P.SQL_CLUSTERS} SELECT id, article_count FROM clusters WHERE updated_at >= (SELECT max(updated_at) FROM clusters) - INTERVAL 48 HOUR ORDER BY updated_at DESC, id DESC LIMIT 60")
+def top_context_60(spark, sf):
     c = P.clusters(spark, sf)
     newest = c.agg(F.max("updated_at").alias("newest"))
     return c.join(F.broadcast(newest)).filter("updated_at >= newest - interval 48 hours").orderBy(F.desc("updated_at"), F.desc("id")).limit(60).select("id", "article_count")  # one row

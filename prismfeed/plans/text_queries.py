@@ -8,6 +8,7 @@ from prismfeed.functions import clean, scalar, text
 from prismfeed.operators import clustering as C
 from prismfeed.plans import proxy as P
 from prismfeed.plans.registry import query
+from prismfeed.staging import staged
 
 R = lambda x: F.round(x, 9)
 NOW = P.SQL_AS_OF
@@ -86,11 +87,12 @@ def fn_minhash(spark, sf):
     return s.select("id", F.array_join(F.col("s").cast("array<string>"), ",").alias("signature"))
 
 
-@query(_sql_minhash() + " SELECT x.id AS a, y.id AS b, round(count(*) FILTER (x.v = y.v) / 64.0, 9) AS jaccard FROM m x JOIN m y ON x.slot = y.slot AND x.id > y.id WHERE x.id < 0 AND y.id < 0 GROUP BY 1, 2")
+@query(_sql_minhash() + " SELECT x.id AS a, y.id AS b, round(count(*) FILTER (x.v = y.v) / 64.0, 9) AS jaccard FROM m x JOIN m y ON x.slot = y.slot AND y.id = x.id + 1 GROUP BY 1, 2")
 def fn_jaccard_sig(spark, sf):
-    s = _norms(spark, sf).filter("id < 0").select("id", text.minhash(F.col("norm")).alias("s"))  # the ten fixed stories
+    """The signature of each document against that of the next id; empty texts, whose slots hold no number, are left out."""
+    s = _norms(spark, sf).filter("norm <> ''").select("id", text.minhash(F.col("norm")).alias("s"))
     a, b = s.select(F.col("id").alias("a"), F.col("s").alias("x")), s.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    return a.join(b, F.col("a") > F.col("b")).select("a", "b", R(text.signature_jaccard(F.col("x"), F.col("y"))).alias("jaccard"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", R(text.signature_jaccard(F.col("x"), F.col("y"))).alias("jaccard"))
 
 
 _BARE = f"regexp_replace({_FOLDED.format(x='t')}, '[^a-z0-9]', '', 'g')"
@@ -309,29 +311,19 @@ def fn_tfidf_weight(spark, sf):
     return C.tfidf(_norms(spark, sf)).select("id", "term", F.round("w", 7).alias("w"), F.round("norm", 6).alias("norm"))
 
 
-SQL_PAIRS = SQL_ENT + f""", e AS (SELECT id, unnest(entities) AS e FROM ent), pairs AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM e x JOIN e y ON x.e = y.e AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2)"""
+SQL_PAIRS = SQL_ENT + f""", e AS (SELECT id, unnest(entities) AS e FROM ent), pairs AS (SELECT a, b, shared FROM (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM e x JOIN e y ON x.e = y.e AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2) JOIN norms na ON na.id = a JOIN norms nb ON nb.id = b WHERE abs(na.hours - nb.hours) <= 48)"""
 
 
 def _articles(spark, sf):
+    """Articles with their features, computed once for all steps of a query."""
     hour = 3_600_000_000
     t = P.texts(spark, sf).withColumn("published_at", F.timestamp_micros((F.unix_micros(P.as_of()) + F.col("hours") * hour).cast("long")))
-    return C.features(t)
+    return staged(C.features(t).drop("title", "description"), "articles")
 
 
-def _pairs(a):
-    return C.entity_pairs(C.banded(a), C.banded(a, both=True))
-
-
-_SQL_BAND = " JOIN norms na ON na.id = a JOIN norms nb ON nb.id = b WHERE abs(na.hours - nb.hours) <= 96"
-
-
-@query(SQL_PAIRS + " SELECT a, b, shared FROM pairs JOIN norms na ON na.id = a JOIN norms nb ON nb.id = b WHERE abs(na.hours - nb.hours) <= 48")
+@query(SQL_PAIRS + " SELECT a, b, shared FROM pairs")
 def jn_entity_candidates(spark, sf):
-    a = _articles(spark, sf).select("id", "entities", "published_at")
-    time = a.select("id", "published_at")
-    near = C.entity_pairs(C.banded(a), C.banded(a, both=True))
-    both = near.join(time.select(F.col("id").alias("a"), F.col("published_at").alias("s")), "a").join(time.select(F.col("id").alias("b"), F.col("published_at").alias("t")), "b")
-    return both.filter(scalar.hours_between(F.col("s"), F.col("t")) <= 48).select("a", "b", "shared")
+    return C.entity_pairs(_articles(spark, sf))
 
 
 @query(SQL_SHINGLES + ", f AS (SELECT id, sha1(array_to_string(list_sort(shingles), '|')) AS strict FROM sh WHERE norm <> ''), g AS (SELECT strict, min(id) AS first FROM f GROUP BY 1 HAVING count(*) > 1) SELECT id, first FROM f JOIN g USING (strict) WHERE id > first")
@@ -344,28 +336,30 @@ def jn_fp_equi(spark, sf):
 SQL_COS = SQL_PAIRS + SQL_TFIDF.removeprefix(SQL_NORM) + """, c AS (SELECT a, b, sum(x.w * y.w / (lx.norm * ly.norm)) AS cosine FROM pairs JOIN v x ON x.id = a JOIN v y ON y.id = b AND y.term = x.term JOIN l lx ON lx.id = a JOIN l ly ON ly.id = b GROUP BY 1, 2)"""
 
 
-@query(SQL_COS + ", s AS (SELECT id, (hours - ((hours % 48) + 0)) / 48 AS band FROM norms) SELECT pairs.a, pairs.b, round(coalesce(cosine, 0), 7) AS cosine FROM pairs LEFT JOIN c ON c.a = pairs.a AND c.b = pairs.b JOIN s sa ON sa.id = pairs.a JOIN s sb ON sb.id = pairs.b WHERE abs(sa.band - sb.band) <= 1")
+@query(SQL_COS + " SELECT pairs.a, pairs.b, round(coalesce(cosine, 0), 7) AS cosine FROM pairs LEFT JOIN c ON c.a = pairs.a AND c.b = pairs.b")
 def jn_pairwise_tfidf(spark, sf):
     a = _articles(spark, sf)
-    return C.cosines(C.tfidf(a.select("id", F.col("norm").alias("body")), "body"), _pairs(a)).withColumn("cosine", F.round("cosine", 7))
+    return C.cosines(C.tfidf(a), staged(C.entity_pairs(a), "pairs")).withColumn("cosine", F.round("cosine", 7))
 
 
+_SQL_MINHASHES = _sql_minhash().removeprefix(SQL_NORM)
 SQL_SCORE = (
-    SQL_COS
-    + _sql_minhash().removeprefix(SQL_NORM)
-    + """, st AS (SELECT id, CASE WHEN norm <> '' THEN sha1(array_to_string(list_sort(shingles), '|')) END AS strict FROM sh), j AS (SELECT a, b, count(*) FILTER (x.v = y.v) / 64.0 AS j FROM pairs JOIN m x ON x.id = a JOIN m y ON y.id = b AND y.slot = x.slot GROUP BY 1, 2),
+    SQL_ENT
+    + _SQL_MINHASHES
+    + ", st AS (SELECT id, CASE WHEN norm <> '' THEN sha1(array_to_string(list_sort(shingles), '|')) END AS strict FROM sh), copies AS (SELECT min(id) OVER (PARTITION BY strict) AS a, id AS b FROM st WHERE strict IS NOT NULL)"
+    + SQL_COS.removeprefix(SQL_ENT).replace("pairs AS (SELECT a, b, shared", "alike AS (SELECT a, b, shared", 1).replace(SQL_TFIDF.removeprefix(SQL_NORM), ", pairs AS (SELECT a, b, max(shared) AS shared FROM (SELECT * FROM alike UNION ALL SELECT a, b, 0 FROM copies WHERE a < b) GROUP BY 1, 2)" + SQL_TFIDF.removeprefix(SQL_NORM))
+    + """, j AS (SELECT a, b, count(*) FILTER (x.v = y.v) / 64.0 AS j FROM pairs JOIN m x ON x.id = a JOIN m y ON y.id = b AND y.slot = x.slot GROUP BY 1, 2),
 raw AS (SELECT pairs.a, pairs.b, coalesce(sa.strict = sb.strict, FALSE) AS auto, coalesce(j.j, 0) AS j, pairs.shared / greatest(3, least(len(ea.entities), len(eb.entities))) AS er, coalesce(cosine, 0) AS cosine, abs(na.hours - nb.hours) AS h,
-  CASE WHEN na.slug = 'haberler-com' OR nb.slug = 'haberler-com' THEN 0.85 ELSE 1.0 END AS pen, floor(na.hours / 48) AS ba, floor(nb.hours / 48) AS bb FROM pairs JOIN st sa ON sa.id = pairs.a JOIN st sb ON sb.id = pairs.b JOIN ent ea ON ea.id = pairs.a JOIN ent eb ON eb.id = pairs.b
+  CASE WHEN na.slug = 'haberler-com' OR nb.slug = 'haberler-com' THEN 0.85 ELSE 1.0 END AS pen FROM pairs JOIN st sa ON sa.id = pairs.a JOIN st sb ON sb.id = pairs.b JOIN ent ea ON ea.id = pairs.a JOIN ent eb ON eb.id = pairs.b
   JOIN norms na ON na.id = pairs.a JOIN norms nb ON nb.id = pairs.b LEFT JOIN j ON j.a = pairs.a AND j.b = pairs.b LEFT JOIN c ON c.a = pairs.a AND c.b = pairs.b),
-scored AS (SELECT a, b, auto, round(CASE WHEN auto THEN pen ELSE least(1, greatest(CASE WHEN j >= 0.5 THEN 0.6 + 0.4 * j ELSE 0.5 * j END, 0.4 * least(1, cosine) + 0.6 * least(1, least(1, er) * greatest(0.5, 1 - h / 6)))) * greatest(0, 1 - h / 48) * pen END, 7) AS score FROM raw WHERE abs(ba - bb) <= 1)"""
+scored AS (SELECT a, b, auto, round(CASE WHEN auto THEN pen ELSE least(1, greatest(CASE WHEN j >= 0.5 THEN 0.6 + 0.4 * j ELSE 0.5 * j END, 0.4 * least(1, cosine) + 0.6 * least(1, least(1, er) * greatest(0.5, 1 - h / 6)))) * greatest(0, 1 - h / 48) * pen END, 7) AS score FROM raw)"""
 )
 
 
 def _scored(spark, sf):
     a = _articles(spark, sf)
-    p = _pairs(a)
-    cos = C.cosines(C.tfidf(a.select("id", F.col("norm").alias("body")), "body"), p)
-    return a, C.score_pairs(p.select("a", "b"), a, a, cos)
+    p = staged(C.entity_pairs(a).select("a", "b").union(C.fingerprint_pairs(a)).distinct(), "pairs")
+    return a, C.score_pairs(p, a, a, C.cosines(C.tfidf(a), p))
 
 
 @query(SQL_SCORE + " SELECT a, b, auto, score FROM scored", name="ens_score_pairs")
@@ -383,14 +377,23 @@ def ens_best_match(spark, sf):
 @query()
 def ens_assign(spark, sf):
     a, s = _scored(spark, sf)
-    return C.assign_greedily(a.withColumn("batch", F.lit(0)), s)
+    return C.assign_greedily(a, staged(s, "scores"))
 
 
-@query()
+SQL_CANDIDATES = SQL_ENT + ", st AS (SELECT id, CASE WHEN norm <> '' THEN sha1(array_to_string(list_sort(CASE WHEN length(norm) < 4 THEN [norm] ELSE list_distinct([norm[i:i + 3] FOR i IN range(1, length(norm) - 2)]) END), '|')) END AS strict FROM norms)" + """,
+m AS (SELECT id, (id + 1000) // 5 AS cluster_id, hours FROM norms WHERE hours < 60), ctx AS (SELECT cluster_id FROM m GROUP BY 1 HAVING abs(max(hours) - 60) <= 48 ORDER BY max(hours) DESC, cluster_id LIMIT 60), cm AS (SELECT m.* FROM m JOIN ctx USING (cluster_id)),
+n AS (SELECT id FROM norms WHERE hours >= 60), fp AS (SELECT DISTINCT n.id, cluster_id FROM n JOIN st x ON x.id = n.id JOIN st y ON y.strict = x.strict JOIN cm ON cm.id = y.id), ee AS (SELECT id, unnest(entities) AS e FROM ent),
+ce AS (SELECT DISTINCT cluster_id, e FROM cm JOIN ee USING (id)), byent AS (SELECT n.id, cluster_id, count(*) AS weight FROM n JOIN ee USING (id) JOIN ce USING (e) GROUP BY 1, 2 HAVING count(*) >= 2),
+w AS (SELECT id, cluster_id, max(weight) AS weight FROM (SELECT id, cluster_id, 1073741824 AS weight FROM fp UNION ALL SELECT * FROM byent) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, cluster_id) AS place FROM w)"""
+
+
+@query(SQL_CANDIDATES + " SELECT id, cluster_id, CAST(weight AS INTEGER) AS weight, CAST(place AS INTEGER) AS place FROM r WHERE place <= 20")
 def ens_candidates(spark, sf):
+    """Articles of hour 60 on against the newest 60 clusters (of five articles each) of the 48 hours before."""
     a = _articles(spark, sf)
-    old = a.filter("hours < 6").select(F.col("id").alias("cluster_id"), "strict", "entities")
-    return C.candidates(a.filter("hours >= 6"), old).select("id", "cluster_id", "weight", "place")
+    members = a.filter("hours < 60").withColumn("cluster_id", F.floor((F.col("id") + 1000) / 5))
+    now = F.timestamp_micros(F.unix_micros(P.as_of()) + 60 * 3_600_000_000)
+    return C.candidates(a.filter("hours >= 60"), C.recent_clusters(members, now)).select("id", "cluster_id", "weight", "place")
 
 
 @query(f"WITH {P.SQL_MEMBERS}, t AS (SELECT cluster_id, 'Başlık ' || id AS t FROM members), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY length(t), t) AS rn FROM t) SELECT cluster_id, t[:80] AS title FROM r WHERE rn = 1")

@@ -20,7 +20,6 @@ OPPOSITE = {"iktidar": "muhalefet", "muhalefet": "iktidar"}
 ZONE_LABELS = {"iktidar": "iktidara yakın", "muhalefet": "muhalefet yanlısı", "bagimsiz": "bağımsız"}
 CATEGORIES = ("son_dakika", "politika", "dunya", "ekonomi", "spor", "teknoloji", "yasam", "genel")
 POLITICS = ("politika", "son_dakika")
-STANCES_TABLE_KEY = ("story_id", "source_id")
 
 _S, _TS, _I = T.StringType(), T.TimestampType(), T.IntegerType()
 

@@ -6,8 +6,6 @@ writes them. Decoding runs on Arrow batches, all else in built-in expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +57,29 @@ def landed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def changed_only(feeds: DataFrame, seen: DataFrame) -> DataFrame:
-    """Feeds whose body was not the source's last one; seen: (source_id, digest)."""
-    with_digest = feeds.withColumn("digest", F.sha2("body", 256))
-    return with_digest.join(seen.select("source_id", "digest"), ["source_id", "digest"], "left_anti")
+    """Feeds whose body was not the source's last one, for sources that answer no conditional request; seen: (source_id, digest)."""
+    return feeds.withColumn("digest", F.sha2("body", 256)).join(seen.select("source_id", "digest"), ["source_id", "digest"], "left_anti")
+
+
+def conditional_headers(sources: DataFrame, cache: DataFrame) -> DataFrame:
+    """(source_id, if_none_match, if_modified_since) of each source's next request; cache: (source_id, etag, last_modified)."""
+    return sources.join(cache, "source_id", "left").select("source_id", F.col("etag").alias("if_none_match"), F.col("last_modified").alias("if_modified_since"))
+
+
+def fetch_results(responses: DataFrame) -> DataFrame:
+    """(source_id, status, not_modified, error, content_type, body) of logged responses (status 0 and error: no answer came).
+
+    Only an answer of the 200s has a body to read; 304 tells that nothing changed.
+    """
+    good, same = F.col("status").between(200, 299), F.col("status") == 304
+    error = F.when(F.col("status") == 0, F.coalesce("error", F.lit("no answer"))).when(~good & ~same, F.concat(F.lit("Status code "), F.col("status").cast("string")))
+    return responses.select("source_id", "status", same.alias("not_modified"), error.alias("error"), "content_type", F.when(good, F.col("body")).alias("body"))
+
+
+def refreshed_cache(cache: DataFrame, responses: DataFrame) -> DataFrame:
+    """The cache (source_id, etag, last_modified) after these responses: those of the 200s that name either replace their source's row."""
+    new = responses.filter(F.col("status").between(200, 299) & F.coalesce("etag", "last_modified").isNotNull()).select("source_id", "etag", "last_modified")
+    return cache.select("source_id", "etag", "last_modified").join(new.select("source_id"), "source_id", "left_anti").unionByName(new)
 
 
 def _rss_items(xml: Column) -> Column:
@@ -105,15 +123,3 @@ def normalise(items: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
     image = clean.feed_image(*[F.col(c) for c in ("enclosure", "enclosure_type", "media", "thumbnail", "group", "image", "content")])
     category = clean.classify_category(F.col("clean_title"), F.col("description"), clean.canonical_url(F.col("url"), F.col("slug")), F.col("slug"))
     return rows.select("source_id", F.col("clean_title").alias("title"), "description", "url", image.alias("image_url"), clean.parse_date(F.col("date"), now).alias("published_at"), hash_.alias("content_hash"), category.alias("category"))
-
-
-def batches(df: DataFrame, size: int) -> Iterator[list]:
-    """Rows in lists of bounded size, for sinks that take so many at once."""
-    chunk: list = []
-    for row in df.toLocalIterator():
-        chunk.append(row)
-        if len(chunk) == size:
-            yield chunk
-            chunk = []
-    if chunk:
-        yield chunk

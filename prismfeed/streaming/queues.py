@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +11,8 @@ from prismfeed.schema import in_politics, zone_of
 
 #: Late articles are taken up for so long.
 LATENESS = "48 hours"
+# How often each worker starts.
+SCHEDULE = {"ingest": "3 minutes", "cluster": "1 minute", "image": "5 minutes", "headline": "5 minutes"}
 
 
 def fan_out(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -23,6 +26,23 @@ def arrivals_stream(spark: SparkSession, path: str, schema, files: int | None =
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
+def redelivered(stream: DataFrame, write_batch, checkpoint: str) -> int:
+    """Drains a stream whose first batch fails after it was written; how often that batch was delivered. write_batch must be idempotent by epoch."""
+    seen: list[int] = []
+
+    def once_broken(df: DataFrame, epoch: int) -> None:
+        seen.append(epoch)
+        write_batch(df, epoch)
+        if len(seen) == 1:
+            raise RuntimeError("the consumer was lost before its acknowledgement")
+
+    try:
+        drain(stream, once_broken, checkpoint).awaitTermination()
+    except StreamingQueryException:
+        drain(stream, once_broken, checkpoint).awaitTermination()
+    return seen.count(seen[0]) if seen else 0
+
+
 def drain(stream: DataFrame, write_batch, checkpoint: str) -> StreamingQuery:
     """Everything that is there now, in checkpointed batches. write_batch(df, epoch) must be idempotent by epoch."""
     return stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
