@@ -96,21 +96,19 @@ def template_rates(counts: DataFrame, levels: int = LEVELS, weight: float = WEIG
 
     The rate is that of the template's labelled pages and `weight` more pages of
     the rate to be expected: the odds of the host times those of the path's
-    template over all hosts, each against the odds of all labelled pages. So a
-    host without labels is judged by what its paths are elsewhere, and a path
-    without labels by its host.
+    template over all hosts, both smoothed towards even odds. So a host without
+    labels is judged by what its paths are elsewhere, a path without labels by its
+    host, and without either nothing is rejected.
     """
     smooth = lambda b, n, towards: (F.col(b) + weight * towards) / (F.col(n) + weight)
-    some = counts.agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).first()
-    base = F.lit(((some.b or 0) + weight / 2) / ((some.n or 0) + weight))
     labels = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
-    rates = lambda df, keys, name: df.groupBy(*keys).agg(*labels).select(*keys, smooth("blocked", "labelled", base).alias(name))
+    rates = lambda df, keys, name: df.groupBy(*keys).agg(*labels).select(*keys, smooth("blocked", "labelled", 0.5).alias(name))
     paths = templates(counts.groupBy(F.lit("").alias("host"), "shape").agg(*labels), levels).select("shape", F.col("template").alias("path"), "labelled", "blocked")
     of_path = keep(paths.select("shape", "path").join(rates(paths, ["path"], "path_rate"), "path").select("shape", "path_rate"), "url-paths")
     tree = templates(counts, levels)
     own = tree.groupBy("host", "template").agg(F.sum("labelled").alias("tn"), F.sum("blocked").alias("tb"))
     each = tree.join(own, ["host", "template"]).join(rates(counts, ["host"], "host_rate"), "host").join(of_path, "shape")
-    expected = 1 / (1 + F.exp(-(_logit(F.col("host_rate")) + _logit(F.col("path_rate")) - _logit(base))))
+    expected = 1 / (1 + F.exp(-(_logit(F.col("host_rate")) + _logit(F.col("path_rate")))))
     return each.select("host", "shape", "template", smooth("tb", "tn", expected).alias("block_rate"))
 
 
