@@ -95,7 +95,7 @@ def shingle_set(normalized: Column, n: int = SHINGLE) -> Column:
 
 def strict_fingerprint(normalized: Column) -> Column:
     """SHA-1 of the sorted shingles, null for an empty text."""
-    return F.when(normalized != "", F.sha1(F.array_join(F.array_sort(shingle_set(normalized)), "|").cast("binary")))
+    return F.when(normalized != "", F.sha1(F.array_join(F.sort_array(shingle_set(normalized)), "|").cast("binary")))
 
 
 def base_hash32(text: Column) -> Column:
@@ -183,4 +183,4 @@ def extract_entities(text: Column) -> Column:
     phrases = F.regexp_extract_all(t, F.lit(rf"(?i)(?<![A-Za-z0-9])({'|'.join(ENTITY_BRIDGE).replace(' ', _GAP)})(?![A-Za-z0-9])"), F.lit(1))
     bridge = F.create_map(*[F.lit(x) for pair in ENTITY_BRIDGE.items() for x in pair])
     bridged = F.transform(phrases, lambda w: F.element_at(bridge, F.lower(F.regexp_replace(w, r"\s+", " "))))
-    return F.array_sort(F.array_distinct(F.concat(words, years, shares, bridged)))
+    return F.sort_array(F.array_distinct(F.concat(words, years, shares, bridged)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismfeed.schema import BIAS_KEYS, BIAS_ZONE
+from prismfeed.staging import spread
 
 AS_OF = "2024-01-31 00:00:00"
 N_SOURCES = 30
@@ -95,7 +96,7 @@ STORY_HOURS = (0.0, 0.5, 2.0, 3.0, 5.0, 5.5, 7.0, 10.0, 12.0, 18.0)
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, title, description, source_slug, hours): documents cut at their first line, and the fixed stories."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     rest = F.when(F.instr("text", "\n") > 0, F.expr("substring(text, instr(text, '\n') + 1)"))
     docs = d.select(F.col("doc_id").alias("id"), F.split("text", "\n", 2)[0].alias("title"), rest.alias("description"), F.col("source").alias("slug"), (F.col("doc_id") % 97).cast("double").alias("hours"))
     rows = [(-1 - i, t, x, "haberler-com" if i == 1 else f"s{i}", h) for i, ((t, x), h) in enumerate(zip(STORIES, STORY_HOURS, strict=True))]

@@ -52,7 +52,7 @@ def fn_stem_turkish(spark, sf):
 
 @query(SQL_SHINGLES + " SELECT id, len(shingles) AS n, sha1(array_to_string(list_sort(shingles), '|')) AS digest FROM sh")
 def fn_shingles(spark, sf):
-    s = _norms(spark, sf).select("id", F.array_sort(text.shingle_set(F.col("norm"))).alias("s"))
+    s = _norms(spark, sf).select("id", F.sort_array(text.shingle_set(F.col("norm"))).alias("s"))
     return s.select("id", F.size("s").cast("long").alias("n"), F.sha1(F.array_join("s", "|").cast("binary")).alias("digest"))
 
 
