@@ -147,11 +147,11 @@ def minhash(normalized: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if not text:
             return np.full(SLOTS, EMPTY_SLOT)
         x = np.fmod(hashes(text), PRIME)
-        least = np.full(SLOTS, np.inf)
+        least = np.full(SLOTS, PRIME)
         for lo in range(0, len(x), 4096):
             y = x[lo : lo + 4096, None] * a + b
-            least = np.minimum(least, np.fmod(y, PRIME).min(axis=0))
-        return least.astype(np.int64)
+            least = np.minimum(least, (y.astype(np.int64) % PRIME).min(axis=0))  # whole numbers below 2**63: the same remainders, several times faster
+        return least
 
     for column in normalized:
         yield pd.Series([signature(t) for t in column], dtype=object)
