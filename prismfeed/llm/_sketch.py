@@ -77,6 +77,8 @@ def build(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.
 
         def handed(parts: list) -> Iterator[pa.RecordBatch]:
             at, n = _counted(parts)
+            if not len(at):
+                return
             block = at >> _BLOCK_BITS
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(at) else np.zeros(0, np.int64)
             ends = np.append(first[1:], len(at))

@@ -271,6 +271,7 @@ def link_components(docs: DataFrame, params: Params | None = None, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     planes = build(rows.filter("id is not null").select("text"), _text_keys(p), width_for(text_bytes(rows) / _BYTES_A_WORD, 1.6, p.sketch_bits), 1, (2,))
     every = keep(_nodes(rows, planes, p), "jaccard-nodes")
+    del planes
     able = every.filter("grams is not null and id is not null")
     classes = able.groupBy(F.struct("set_key", "n").alias("k")).agg(F.min("id").alias("rep"))
     members = keep(able.select("id", "set_key", "n").join(classes.select("k.set_key", "k.n", "rep"), ["set_key", "n"]).select("id", "rep").distinct(), "jaccard-members")
