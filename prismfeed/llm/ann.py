@@ -193,14 +193,15 @@ def nearest(
             x = _rows(table.column("v").combine_chunks(), width)
             qi, vi, q, v = ids[asks], ids[~asks], x[asks], x[~asks]
             out: list[list[np.ndarray]] = [[], [], []]
+            most = k + len(vi) - len(np.unique(vi))  # rows of one id must not crowd out others
             for lo in range(0, len(q) if len(v) else 0, 256):
                 score = q[lo : lo + 256] @ v.T
                 score[qi[lo : lo + 256, None] == vi[None, :]] = -np.inf
                 for row, s in enumerate(score):
-                    floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                    floor = np.partition(s, len(s) - most)[len(s) - most] if len(s) > most else -np.inf
                     near = np.flatnonzero((s >= floor - _ROUND) & (s > -np.inf))
                     exact = (v[near] * q[lo + row]).sum(axis=1)
-                    best = best_rows(exact, vi[near], k)
+                    best = best_rows(exact, vi[near], most)
                     out[0].append(np.full(len(best), qi[lo + row]))
                     out[1].append(vi[near[best]])
                     out[2].append(exact[best])
