@@ -18,7 +18,11 @@ from prismfeed.llm.ngram_join import link_components
 from prismfeed.llm.pieces import encode_texts
 from prismfeed.llm.pii import find_pii, pii_digest
 from prismfeed.llm.substring_dedup import remove_repeats
+from prismfeed.llm.toxicity import score_toxicity
+from prismfeed.llm.toxicity import train as train_toxicity
 from prismfeed.llm.url_filter import judge_urls
+from prismfeed.llm.wand import search
+from prismfeed.llm.whitening import whiten
 
 #: Parameters of the queries.
 PIECES, WORD_BPE, TOKEN_LIMIT = "piece_bpe_32k.model", "word_bpe_49k.json", 2048
@@ -82,11 +86,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    deviation, explained = F.expr("try_cast(deviation AS long)").alias("deviation"), F.try_element_at("explained", F.col("component")).alias("explained")
+    parts = white.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "whitened")).withColumn("component", F.col("place") + 1)
+    return parts.select("vec_id", "component", "n", deviation, "whitened", explained, "identity_error")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs.filter(training_fold(5, 0)), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return score_toxicity(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_sentencepiece, op3_ngram_jaccard_join, op4_token_counts, op5_language_id,
         op6_url_filter, op7_class_lm, op8_nearest_neighbours, op9_decontamination, op10_pii,
+        op11_whitening, op12_toxicity, op13_ranked_search,
     )
 }
 
@@ -111,4 +133,9 @@ z AS (SELECT item_id, w, least(10, len(w)) AS z FROM i WHERE len(w) > 0), zs AS
 dw AS (SELECT doc_id, s, z, array_to_string(w[s:s + z - 1], ' ') AS k FROM (SELECT doc_id, w, z, unnest(range(1, len(w) - z + 2)) AS s FROM d, zs WHERE len(w) >= z)), h AS (SELECT doc_id, s, z, item_id FROM dw JOIN iw USING (z, k)),
 c AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(s, s + z)) AS p FROM h) GROUP BY 1), t AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op13_ranked_search": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM_WORDS}) AS w FROM documents), s AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+t AS (SELECT doc_id, w AS term, count(*) AS tf, any_value(size) AS size FROM (SELECT doc_id, len(w) AS size, unnest(w) AS w FROM d) GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+g AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM f, s), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, {_ALNUM_WORDS})) AS term FROM benchmark),
+r AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + CAST((50 * size * n) // l AS BIGINT))))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN g USING (term), s GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 50""",
 }
