@@ -30,7 +30,7 @@ from prismfeed.llm._tables import keep, map_rows
 from prismfeed.llm._words import ALNUM, Words, runs, word_tables
 
 #: Bytes of a letter and its context; discount; folds of the calibration.
-ORDER, DISCOUNT, FOLDS = 6, 0.75, 4
+ORDER, DISCOUNT, FOLDS = 8, 0.75, 4
 #: The classifier is fitted on about so many bytes of text of each class at most, spread evenly over all labelled rows.
 TRAIN_BYTES = 16 << 20
 _BLANK = 0x20

@@ -187,15 +187,12 @@ def _secular(d: np.ndarray, z2: np.ndarray, rho: float) -> tuple[np.ndarray, np.
     return pole, off
 
 
-def _joined(d: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues and vectors of diag(d) + rho * z @ z.T."""
+def _joined(d: np.ndarray, z: np.ndarray, rho: float, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and vectors of diag(d) + rho * z @ z.T, rho >= 0, up to rounding of the whole matrix's scale."""
     n = len(d)
-    if rho < 0:
-        w, u = _joined(-d, z, -rho)
-        return -w, u
     order = np.argsort(d, kind="stable")
     d, z, turn = d[order].copy(), z[order].copy(), np.eye(n)[:, order]
-    tol = 8 * _EPS * max(np.abs(d).max(initial=0), rho * (z @ z), np.finfo(float).tiny)
+    tol = 8 * _EPS * scale
     live: list[int] = []
     for k in range(n):  # deflation: weightless entries stay, and of two equal ones a rotation takes the weight
         if rho * abs(z[k]) * np.linalg.norm(z) <= tol:
@@ -232,7 +229,7 @@ def _joined(d: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndarray, np.nd
     return w, turn @ u
 
 
-def _conquer(d: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _conquer(d: np.ndarray, e: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
     n = len(d)
     if n <= 1:
         return d.copy(), np.eye(n)
@@ -241,11 +238,11 @@ def _conquer(d: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left, right = d[:k].copy(), d[k:].copy()
     left[-1] -= abs(rho)
     right[0] -= abs(rho)
-    (wl, ul), (wr, ur) = _conquer(left, e[: k - 1]), _conquer(right, e[k:])
+    (wl, ul), (wr, ur) = _conquer(left, e[: k - 1], scale), _conquer(right, e[k:], scale)
     u = np.zeros((n, n))
     u[:k, :k], u[k:, k:] = ul, ur
     z = np.concatenate([ul[-1], np.copysign(1.0, rho) * ur[0]])
-    w, v = _joined(np.concatenate([wl, wr]), z, abs(rho))
+    w, v = _joined(np.concatenate([wl, wr]), z, abs(rho), scale)
     return w, u @ v
 
 
@@ -255,7 +252,7 @@ def eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(a) or scale == 0:
         return np.zeros(len(a)), np.eye(len(a))
     d, e, q = tridiagonal(a / scale)
-    w, u = _conquer(d, e)
+    w, u = _conquer(d, e, max(np.abs(d).max(), np.abs(e).max(initial=0)))
     order = np.argsort(-w, kind="stable")
     v = q @ u[:, order]
     return w[order] * scale, v / np.linalg.norm(v, axis=0)
