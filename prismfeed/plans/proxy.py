@@ -34,10 +34,20 @@ def stamp(c: Column | str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+#: What tells line items apart; no two of the given tables agree in all of it.
+_LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+def _line_id() -> Column:
+    """60 bits of a digest of the line item's key; numbers with digits behind the point as hundredths."""
+    parts = [F.round(F.col(c) * 100).cast("long") if c in ("l_quantity", "l_extendedprice") else F.col(c) for c in _LINE_KEY]
+    return F.conv(F.left(F.md5(F.concat_ws("/", *[x.cast("string") for x in parts])), F.lit(15)), 16, 10).cast("long")
+
+
 def _members(spark: SparkSession, sf_dir: str, published: Column) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     return line.select(
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("id"), F.col("l_orderkey").alias("cluster_id"), (F.col("l_suppkey") % N_SOURCES).alias("source_id"), bias_of(F.col("l_suppkey")).alias("bias"),
+        _line_id().alias("id"), F.col("l_orderkey").alias("cluster_id"), (F.col("l_suppkey") % N_SOURCES).alias("source_id"), bias_of(F.col("l_suppkey")).alias("bias"),
         F.when(F.col("l_returnflag") == "R", "dunya").when(F.col("l_returnflag") == "A", "son_dakika").otherwise("politika").alias("category"),
         F.when(F.col("l_quantity") >= 5, (F.col("l_partkey") % 4).cast("string")).alias("content_hash"), published.alias("published_at"),
         F.when(F.col("l_partkey") % 3 != 0, F.concat(F.lit("https://img.example/"), F.col("l_partkey").cast("string"))).alias("image_url"),
@@ -114,7 +124,8 @@ def sql_zone(bias: str) -> str:
 
 
 def _sql_members(published: str) -> str:
-    return f"""SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS id, l_orderkey AS cluster_id, l_suppkey % {N_SOURCES} AS source_id, {SQL_BIAS}[1 + l_suppkey % 10] AS bias,
+    key = ", ".join(f"CAST(round({c} * 100) AS BIGINT)" if c in ("l_quantity", "l_extendedprice") else c for c in _LINE_KEY)
+    return f"""SELECT CAST('0x' || left(md5(concat_ws('/', {key})), 15) AS BIGINT) AS id, l_orderkey AS cluster_id, l_suppkey % {N_SOURCES} AS source_id, {SQL_BIAS}[1 + l_suppkey % 10] AS bias,
       CASE l_returnflag WHEN 'R' THEN 'dunya' WHEN 'A' THEN 'son_dakika' ELSE 'politika' END AS category, CASE WHEN l_quantity >= 5 THEN CAST(l_partkey % 4 AS VARCHAR) END AS content_hash,
       {published} AS published_at, CASE WHEN l_partkey % 3 <> 0 THEN 'https://img.example/' || l_partkey END AS image_url FROM lineitem"""
 
