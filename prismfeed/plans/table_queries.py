@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from prismfeed.functions import clean, scalar
 from prismfeed.operators import hygiene as H
 from prismfeed.operators import operations as O
+from prismfeed.operators import views as V
 from prismfeed.plans import proxy as P
 from prismfeed.plans.registry import query
-from prismfeed.staging import staged
+from prismfeed.staging import scratch, staged
 
 NOW = P.SQL_AS_OF
 stamp_sql = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
@@ -299,6 +300,36 @@ def snk_atomic_link(spark, sf):
     return H.link(pair("l_quantity < 30"), pair("l_quantity > 25"))
 
 
+_SQL_VIEW = """, counted AS (SELECT cluster_id, bias, count(*) AS n, min(published_at) AS p, max(stamp) AS stamp FROM {src} GROUP BY 1, 2)
+SELECT cluster_id, CAST(sum(n) AS BIGINT) AS article_count, string_agg(bias || ':' || n, ',' ORDER BY bias) AS distribution, count(*) = 1 AS is_blindspot, CASE WHEN count(*) = 1 THEN max(bias) END AS blindspot_side,
+  strftime(min(p), '%Y-%m-%d %H:%M:%S') AS first_published, strftime(max(stamp), '%Y-%m-%d %H:%M:%S') AS updated_at FROM counted GROUP BY 1"""
+
+
+def _shown(clusters):
+    """Aggregates in plain columns."""
+    d = F.array_sort(F.map_entries("bias_distribution"))
+    text = F.array_join(F.transform(d, lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return clusters.select("cluster_id", "article_count", text.alias("distribution"), "is_blindspot", "blindspot_side", P.stamp("first_published").alias("first_published"), P.stamp("updated_at").alias("updated_at"))
+
+
+@query(f"WITH {P.SQL_RECENT}, r AS (SELECT *, {P.SQL_AS_OF} + to_minutes(CAST(greatest(id % 4, CASE WHEN id % 3 = 0 THEN 3 ELSE 0 END) AS INTEGER)) AS stamp FROM recent)" + _SQL_VIEW.format(src="r"))
+def snk_atomic_link_view(spark, sf):
+    """Links in four batches, a third of them once more in the last one, and the third batch delivered twice: aggregates of the touched clusters follow each batch."""
+    r = P.recent(spark, sf).select("cluster_id", F.col("id").alias("article_id"), "bias", "published_at")
+    view, deal = V.LinkedClusters(spark, scratch(spark, "view")).create(), F.col("article_id") % 4
+    for epoch in (0, 1, 2, 2, 3):
+        batch = r.filter((deal == epoch) | (F.col("article_id") % 3 == 0) if epoch == 3 else deal == epoch)
+        view.apply(batch, epoch, F.timestamp_micros(F.unix_micros(P.as_of()) + epoch * 60_000_000))
+    return _shown(view.clusters())
+
+
+@query(f"WITH {P.SQL_RECENT}, kept AS (SELECT *, {P.SQL_AS_OF} AS stamp FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, source_id ORDER BY published_at, id) AS rn FROM recent) WHERE rn = 1)" + _SQL_VIEW.format(src="kept"))
+def snk_dedupe_recompute(spark, sf):
+    """The repair: one article of each source in a cluster stays, then every aggregate is taken anew from what stays."""
+    _, clusters = V.repair(P.recent(spark, sf).withColumn("article_id", F.col("id")), ["published_at", "id"], P.as_of())
+    return _shown(clusters)
+
+
 _SQL_OUTCOME = "CASE WHEN event_id % 50 = 0 THEN 'malformed' WHEN {worn} THEN 'poison' WHEN event_type = 'error' THEN 'retry' ELSE 'done' END"
 
 

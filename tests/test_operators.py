@@ -1,5 +1,6 @@
 """Clustering, graph, feed and queue operators against plain versions."""
 
+import math
 import random
 
 import pytest
@@ -111,20 +112,34 @@ def test_landed_files_become_articles(spark, tmp_path):
     assert sorted(r.source_id for r in feeds.changed_only(landed, seen).collect()) == ["6", "7"]
 
 
-def test_token_bucket_against_a_plain_one(spark):
-    rng = random.Random(5)
-    rows, at = [], 0.0
-    for i in range(400):
-        at += rng.choice([0.2, 3.0, 30.0, 599.0, 601.0, 4000.0])
-        rows.append((f"c{i % 3}", i, at))
+def plain_bucket(rows, capacity, refill, idle):
     state, want = {}, {}
     for c, i, at in rows:
-        tokens, last = state.get(c, (5.0, at))
-        tokens = 5.0 if at - last > 600 else min(5.0, tokens + (at - last) / 3600)  # forgotten after ten idle minutes
-        want[i] = tokens >= 1
-        state[c] = (tokens - want[i], at)
-    got = {r.seq: r.allowed for r in operations.token_bucket(spark.createDataFrame(rows, "client string, seq long, at double"), 5, 1 / 3600).collect()}
-    assert got == want and {*want.values()} == {True, False}
+        tokens, last = state.get(c, (capacity, at))
+        tokens = capacity if at - last > idle else min(capacity, tokens + (at - last) * refill)
+        ok = tokens >= 1
+        want[i] = (ok, 0 if ok else math.ceil((1 - tokens) / refill * 1000))
+        state[c] = (tokens - ok, at)
+    return want
+
+
+def bursts(n, seed):
+    """Requests of three clients: bursts, pauses within the idle time and beyond it; times are exact in binary."""
+    rng, rows, at = random.Random(seed), [], 0.0
+    for i in range(n):
+        at += rng.choice([0.125] * 12 + [3.0, 30.0, 599.0, 601.0, 4000.0])
+        rows.append((f"c{rng.randrange(3)}", i, at))
+    return rows
+
+
+def test_token_bucket_against_a_plain_one(spark):
+    for capacity, refill in ((5, 1 / 4096), (3, 0.125)):
+        rows = bursts(400, 5)
+        want = plain_bucket(rows, capacity, refill, 600)
+        got = {r.seq: (r.allowed, r.retry_after_ms) for r in operations.token_bucket(spark.createDataFrame(rows, "client string, seq long, at double"), capacity, refill).collect()}
+        assert got == want
+        refused = [w for ok, w in want.values() if not ok]
+        assert 40 < len(refused) < 360 and len({*refused}) > 10 and min(refused) > 0
 
 
 def test_lease_hides_what_it_hands_out(spark):
