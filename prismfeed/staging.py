@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir; where that is unset, in a temporary folder if the master is this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in spark.checkpoint.dir or the context's checkpoint folder; where both are unset, in a temporary folder if the master is this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="prismfeed-")
         spark.conf.set("spark.checkpoint.dir", folder)
