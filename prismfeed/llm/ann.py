@@ -27,7 +27,7 @@ TABLES, BLOCK = 6, 4096
 FILL, BROADCAST = 256, 1 << 16
 #: The sample that fixes the number of probes: vectors, queries among them, and the recall wanted on it.
 SAMPLE, SAMPLE_QUERIES, RECALL = 16_384, 256, 0.96
-_ROUND = 1e-9
+_EPS = np.finfo(float).eps
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -138,7 +138,9 @@ def nearest(
     buckets, so each has min(k, all others) rows. Vectors that are null, zero,
     hold null or non-finite components, or are not of the commonest dimension
     take no part, nor do rows with a null id. Rows of one id keep their best
-    score; an empty table gives an empty result. Ids are integers; other columns
+    score; an empty table gives an empty result. Very large and very small
+    components are scaled by a power of two for the search; a score beyond a
+    double's range is infinite, one below it zero. Ids are integers; other columns
     are not read. The driver sees the sample and one count for each table and
     bucket that is probed.
     """
@@ -151,6 +153,10 @@ def nearest(
         return empty
     width, total = dims[0].d, dims[0].n
     good = good.filter(F.size("v") == width)
+    peak = good.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    scale = 1.0 if 2.0**-400 < peak < 2.0**400 else 2.0 ** -min(1000, max(-1000, int(np.frexp(peak)[1])))  # a power of two: no digit changes
+    if scale != 1.0:
+        good = good.withColumn("v", F.transform("v", lambda x: x * scale))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     low, high, ids = good.agg(F.min(norm), F.max(norm), F.approx_count_distinct("id")).first()
     lifted = high > 1.001 * low
@@ -193,13 +199,15 @@ def nearest(
             x = _rows(table.column("v").combine_chunks(), width)
             qi, vi, q, v = ids[asks], ids[~asks], x[asks], x[~asks]
             out: list[list[np.ndarray]] = [[], [], []]
+            longest = np.sqrt((v * v).sum(axis=1).max(initial=0))
             most = k + len(vi) - len(np.unique(vi))  # rows of one id must not crowd out others
             for lo in range(0, len(q) if len(v) else 0, 256):
                 score = q[lo : lo + 256] @ v.T
+                slack = 8 * width * _EPS * longest * np.sqrt((q[lo : lo + 256] ** 2).sum(axis=1))  # what the product may round off
                 score[qi[lo : lo + 256, None] == vi[None, :]] = -np.inf
                 for row, s in enumerate(score):
                     floor = np.partition(s, len(s) - most)[len(s) - most] if len(s) > most else -np.inf
-                    near = np.flatnonzero((s >= floor - _ROUND) & (s > -np.inf))
+                    near = np.flatnonzero((s >= floor - slack[row]) & (s > -np.inf))
                     exact = (v[near] * q[lo + row]).sum(axis=1)
                     best = best_rows(exact, vi[near], most)
                     out[0].append(np.full(len(best), qi[lo + row]))
@@ -210,6 +218,7 @@ def nearest(
 
         found = blocks.select("t", "bucket", "b.vb", "b.qb", "asks", "id", "v").groupBy("t", "bucket", "vb", "qb").applyInArrow(ranked, "query_id long, vec_id long, score double")
         single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        single = single if scale == 1.0 else single.withColumn("score", F.col("score") / scale / scale)
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return single.select("query_id", place.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 

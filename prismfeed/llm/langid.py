@@ -181,8 +181,12 @@ _TOGETHER = 256
 def train(labelled: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and their piece probabilities, from at most about TRAIN_ROWS rows of each and all their words.
 
-    Rows without text or language teach nothing, nor do texts without a letter;
-    repeated rows count each; without any row there is no language.
+    Rows are picked by a hash of id and text, so one id or one text, null or
+    often repeated, is no sample of its own; rows alike in both are read once and
+    count each. Rows without text or language teach nothing, nor do texts without
+    a letter; a very long text is read whole; without any row there is no
+    language. The table of pieces and languages grows with the different values
+    of the language column.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -191,13 +195,15 @@ def train(labelled: DataFrame, vocabulary: str, lang_col: str = "lang", text_col
     if not langs:
         return [], np.full((lattice.size, 0), 1.0)
     share = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(min(1.0, TRAIN_ROWS / n))) for k, n in sizes.items()])
-    picked = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20)).select(lang_col, text_col)
+    unit = F.xxhash64(id_col, text_col)
+    picked = rows.filter(F.pmod(unit, F.lit(1 << 30)) < share * (1 << 30)).groupBy(F.col(lang_col), unit.alias("unit")).agg(F.first(text_col).alias("text"), F.count("*").alias("n")).select(lang_col, "text", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found.update((lang, x) for x in words_of(text))
+            for lang, text, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for x in words_of(text):
+                    found[lang, x] += n
         yield pa.RecordBatch.from_pydict({"l": [k[0] for k in found], "w": [k[1] for k in found], "n": [*found.values()]}, pa.schema([("l", pa.string()), ("w", pa.string()), ("n", pa.int64())]))
 
     counted = picked.mapInArrow(run, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
@@ -219,7 +225,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str
     each; an empty table gives an empty result; other columns stay as they are.
     Columns of df that bear the names of the new ones need other names for these.
     """
-    if {lang_name, score_name} & {*df.columns}:
+    if {lang_name.casefold(), score_name.casefold()} & {c.casefold() for c in df.columns}:
         raise ValueError(f"df has a column {lang_name} or {score_name}: name the new ones otherwise")
     langs, prob = model
     held = df.sparkSession.sparkContext.broadcast(prob)
