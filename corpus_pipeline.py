@@ -24,14 +24,19 @@ def _exactly(names: list[str]) -> list[Column]:
 
 
 def _free(name: str, docs: DataFrame) -> str:
-    """A column name like `name` that docs lacks."""
-    while name in docs.columns:
+    """A column name like `name` that docs lacks, in any case of letters."""
+    taken = {c.casefold() for c in docs.columns}
+    while name.casefold() in taken:
         name += "_"
     return name
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language that stands out, go."""
+    """Documents without a letter, or of no language that stands out, go; null and empty texts have no letter.
+
+    Ties go to the first language by name; a very long text is judged whole; rows of
+    repeated or null ids are judged each; an empty table stays empty.
+    """
     path = public_tokenizers.path(PIECES)
     model = train(docs.filter(training_fold(3, 1)), path)
     lang, score = _free("lang_pred", docs), _free("score", docs)
@@ -41,18 +46,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents joined by links the one of smallest id stays; rows of one id are one document, rows of a null id stay."""
+    """Of each group of documents joined by links the one of smallest id stays.
+
+    Rows of one id are one document and stay or go together; rows of a null id stay,
+    and null and empty texts are linked with nothing; very long texts are compared
+    whole; an empty table stays empty.
+    """
     gone = link_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*_exactly(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; null and empty texts hold none, very long ones are searched whole, rows of repeated or null ids are judged each, an empty table stays empty."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; spans of personal data become their kind in brackets, and n_chars follows."""
+    """Every document stays; spans of personal data become their kind in brackets, and n_chars follows.
+
+    Null and empty texts stay as they are; overlapping spans are merged; very long
+    texts are searched whole; an empty table stays empty.
+    """
     clean = redact_pii(docs)
     if "n_chars" in clean.columns:
         clean = clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast(clean.schema["n_chars"].dataType), "n_chars"))
