@@ -1,6 +1,7 @@
 """Odd tables through every operator on documents: null and repeated ids, repeated rows, very long and empty texts, clashing column names, no rows."""
 
 import hashlib
+import math
 
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -29,7 +30,7 @@ ROWS = [
     (1, BASE, "en"), (1, BASE, "en"), (None, BASE, "en"), (None, None, None), (2, "", "en"), (3, None, "de"), (4, LONG, None), (5, " \n\t", None), (6, BASE + "tail", "en"), (7, "Der Fluss lief an der alten Mühle vorbei", "de"),
     (7, "another text of the same id", "en"), (8, "½ ² Ⅷ 12", None), (9, LONG, None), (10, "write to x@y.zz or +49 30 1234567", "en"),
 ]
-EXTRA = ["score", "lang_pred", "a.b", "spans", "n_words", "c", "key", "component", "node", "row", "h", "n", "grams", "template"]
+EXTRA = ["Score", "LANG_PRED", "DOC_ID2", "a.b", "spans", "n_words", "c", "key", "component", "node", "row", "h", "n", "grams", "template"]
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +87,9 @@ def test_languages(plain, wide):
     assert sorted(map(str, map(tuple, full.select("doc_id", "p", "s").collect()))) == lean and full.columns == [*wide.columns, "p", "s"]
     with pytest.raises(ValueError):
         identify(wide, model, PIECES)
+    one = plain.filter("doc_id = 7").select("doc_id", "text", F.lit("xx").alias("lang"))
+    many = one.union(one).union(one.withColumn("doc_id", F.lit(None).cast("long")))
+    assert train(many, PIECES)[0] == ["xx"]
     by = {(r.doc_id, r.text): r.lang_pred for r in identify(plain, model, PIECES).collect()}
     assert {by[i, t] for i, t, _ in ROWS if not t or not any(c.isalpha() for c in t)} == {"und"} and by[8, "½ ² Ⅷ 12"] == "und" and by[4, LONG] in ("de", "en")
     assert identify(plain.filter("false"), model, PIECES).count() == 0
@@ -101,6 +105,13 @@ def test_urls_and_vectors(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     more = v.select("*", *[F.lit("x").alias(n) for n in ("id", "v", "q", "t", "axis", "a.b")])
     lean = sorted(map(tuple, nearest(v, F.col("vec_id") % 20 == 0, k=2).collect()))
+    for size in (1e6, 1e200, 1e-200):  # nearly equal vectors of any length are told apart as the exact score tells them
+        near = [(i, [size * (1 + (i % 7) * 2.0**-52), size * (i % 5) * 2.0**-50]) for i in range(60)]
+        got = sorted(map(tuple, nearest(spark.createDataFrame(near, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=15).collect()))
+        of, unit = dict(near), 2.0 ** int(math.log2(size))
+        exact = lambda a, b: sum(x / unit * (y / unit) for x, y in zip(of[a], of[b], strict=True))  # noqa: B023,E731
+        want = [(q, r, i) for q in (0, 20, 40) for r, i in enumerate(sorted((i for i in of if i != q), key=lambda i: (-exact(q, i), i))[:15], 1)]  # noqa: B023
+        assert [x[:3] for x in got] == want and all(s == exact(q, i) * unit * unit for q, _, i, s in got)
     assert [x[:3] for x in lean] == [(0, 1, 20), (0, 2, 3), (20, 1, 3), (20, 2, 4)] and sorted(map(tuple, nearest(more, F.col("vec_id") % 20 == 0, k=2).collect())) == lean
 
 
