@@ -218,9 +218,9 @@ def nearest(
 
         found = blocks.select("t", "bucket", "b.vb", "b.qb", "asks", "id", "v").groupBy("t", "bucket", "vb", "qb").applyInArrow(ranked, "query_id long, vec_id long, score double")
         single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        single = single if scale == 1.0 else single.withColumn("score", F.col("score") / scale / scale)
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return single.select("query_id", place.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+        best = single.select("query_id", place.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+        return best if scale == 1.0 else best.withColumn("score", F.col("score") / scale / scale)
 
     if probes >= every:
         return search(good, 1, every)
