@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +39,14 @@ def health(articles: DataFrame, clusters: DataFrame, queue: DataFrame, now: Colu
     return one.select("ingestion_ok", "clustering_ok", "queues_ok", F.when(good, "healthy").otherwise("degraded").alias("verdict"))
 
 
+def drawn(tokens: float, last: float, at: float, capacity: float, refill: float, idle: float) -> tuple[bool, int, float]:
+    """Whether a request at this time gets a token, else the wait in ms; and the tokens left. Times are in seconds; a bucket idle for too long is full."""
+    tokens = capacity if at - last > idle else min(capacity, tokens + max(0.0, at - last) * refill)
+    if tokens >= 1:
+        return True, 0, tokens - 1
+    return False, math.ceil((1 - tokens) / refill * 1000), tokens
+
+
 def token_bucket(requests: DataFrame, capacity: float, refill: float, idle: float = BUCKET_IDLE) -> DataFrame:
     """(client, seq, allowed, retry_after_ms) of requests (client, seq, at: seconds): a bucket for each client, full at first.
 
@@ -51,15 +60,12 @@ def token_bucket(requests: DataFrame, capacity: float, refill: float, idle: floa
         for b in batches:
             allowed, wait = [], []
             for c, at in zip(b["client"], b["at"], strict=True):
-                if c != client or at - last > idle:
-                    client, tokens = c, capacity
-                else:
-                    tokens = min(capacity, tokens + (at - last) * refill)
+                if c != client:
+                    client, tokens, last = c, capacity, at
+                ok, ms, tokens = drawn(tokens, last, at, capacity, refill, idle)
                 last = at
-                ok = tokens >= 1
                 allowed.append(ok)
-                wait.append(0 if ok else int(-(-(1 - tokens) / refill * 1000 // 1)))
-                tokens -= ok
+                wait.append(ms)
             yield pd.DataFrame({"client": b["client"], "seq": b["seq"], "allowed": allowed, "retry_after_ms": wait})
 
     kind = requests.schema["client"].dataType.simpleString()

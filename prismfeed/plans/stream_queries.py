@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prismfeed.functions import clean
@@ -13,8 +12,8 @@ from prismfeed.operators.operations import cached_reads, lease, pool, token_buck
 from prismfeed.plans import proxy as P
 from prismfeed.plans.registry import query
 from prismfeed.sources import feeds
-from prismfeed.staging import scratch
-from prismfeed.streaming import queues
+from prismfeed.staging import scratch, staged
+from prismfeed.streaming import queues, stateful
 
 SQL_FEEDS = """feeds AS (SELECT page_id AS source_id, page_id % 3 AS kind, url, CASE WHEN page_id % 3 = 1 THEN 'Karışık İğne ' ELSE 'Café ' END || page_id AS title FROM pages)"""
 
@@ -122,6 +121,24 @@ def _drained(spark, sf, plan, mode: str, schema: str):
     return _written(spark, plan(_stream(spark, sf)), mode, schema)
 
 
+def replayed(spark, rows, time: str, plan, schema: str, slices: int = 3):
+    """What a stateful stream makes of rows that land in slices of time; after each, the query ends and starts again from its checkpoint."""
+    rows = staged(rows.filter(F.col(time).isNotNull()), "log")
+    first, last = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    folder, out, mark = scratch(spark, "landed"), scratch(spark, "stream"), scratch(spark, "mark")
+    place = F.least(F.lit(slices - 1), F.floor((F.unix_micros(time) - (first or 0)) * slices / max(1, (last or 0) - (first or 0))))
+
+    def write(df, epoch):
+        df.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    for k in range(slices):
+        rows.filter(place == k).write.parquet(f"{folder}/slice={k}")
+        with stateful.rocksdb(spark):
+            s = plan(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(folder))
+            s.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+
+
 _SQL_DAY = f"WITH {P.SQL_ARRIVALS} SELECT strftime(date_trunc('{{unit}}', published_at), '%Y-%m-%d %H:%M:%S') AS start, {P.sql_zone('bias')} AS zone, count(*) AS count FROM arrivals GROUP BY 1, 2"
 
 
@@ -224,9 +241,8 @@ def st_schedule(spark, sf):
 
 @query(f"WITH {P.SQL_ARRIVALS} SELECT id, count(*) OVER (PARTITION BY source_id ORDER BY published_at RANGE BETWEEN INTERVAL 48 HOUR PRECEDING AND CURRENT ROW) AS recent FROM arrivals")
 def st_window_48h(spark, sf):
-    """For each article those of its source in the 48 hours up to it."""
-    w = Window.partitionBy("source_id").orderBy(F.unix_micros("published_at")).rangeBetween(-48 * 3_600_000_000, 0)
-    return P.arrivals(spark, sf).select("id", F.count("*").over(w).alias("recent"))
+    """For each article those of its source in the 48 hours up to it, counted as it comes in."""
+    return replayed(spark, P.arrivals(spark, sf).select("id", "source_id", "published_at"), "published_at", lambda s: stateful.sliding_counts(s, "source_id"), "id long, recent long")
 
 
 @query("SELECT queue, n FROM (SELECT 'cluster_work' AS queue, count(*) AS n FROM events WHERE event_type IN ('view', 'click') UNION ALL SELECT 'image_backfill', count(*) FROM events WHERE user_id % 3 = 0)", name="st_trigger_fanout")
@@ -253,6 +269,16 @@ def st_token_bucket(spark, sf):
     return token_bucket(r, capacity=5, refill=1 / 3600)
 
 
+@query()
+def st_token_bucket_stream(spark, sf):
+    """Each event asks one of the four limits, by its type and user; buckets live on while the log comes in slices."""
+    at = F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")) / 64).cast("long"))  # a log 64 times as dense, so that there are refusals
+    names = sorted(stateful.LIMITS)
+    limit = F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64("event_type"), F.lit(len(names))) + 1).cast("int"))
+    r = P.table(spark, sf, "events").select(limit.alias("limit"), (F.col("user_id") % 8).cast("string").alias("client"), F.col("event_id").alias("seq"), at.alias("time"))
+    return replayed(spark, r, "time", lambda s: stateful.token_buckets(s, stateful.LIMITS), "limit string, client string, seq long, allowed boolean, retry_after_ms long")
+
+
 @query()
 def fn_retry_after(spark, sf):
     r = P.table(spark, sf, "events").select(F.lit("all").alias("client"), F.col("event_id").alias("seq"), (F.col("event_id") / 10).alias("at"))

@@ -8,7 +8,9 @@ from prismfeed.functions import clean, scalar, text
 from prismfeed.operators import clustering as C
 from prismfeed.plans import proxy as P
 from prismfeed.plans.registry import query
+from prismfeed.plans.stream_queries import replayed
 from prismfeed.staging import staged
+from prismfeed.streaming import stateful
 
 R = lambda x: F.round(x, 9)
 NOW = P.SQL_AS_OF
@@ -376,8 +378,12 @@ def ens_best_match(spark, sf):
 
 @query()
 def ens_assign(spark, sf):
-    a, s = _scored(spark, sf)
-    return C.assign_greedily(a, staged(s, "scores"))
+    """Politics articles as they are published, in three slices of time; a desk for each language."""
+    lang = P.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
+    rows = _articles(spark, sf).join(lang, "id", "left")
+    category = F.when(F.col("id") % 5 == 0, "spor").when(F.col("id") % 5 == 1, "son_dakika").otherwise("politika")
+    log = stateful.story_rows(rows, F.coalesce("lang", F.lit("tr")), category)
+    return replayed(spark, log, "published_at", stateful.assign_stories, "id long, cluster_id long, how string")
 
 
 SQL_CANDIDATES = SQL_ENT + ", st AS (SELECT id, CASE WHEN norm <> '' THEN sha1(array_to_string(list_sort(CASE WHEN length(norm) < 4 THEN [norm] ELSE list_distinct([norm[i:i + 3] FOR i IN range(1, length(norm) - 2)]) END), '|')) END AS strict FROM norms)" + """,
