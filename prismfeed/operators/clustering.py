@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from prismfeed.functions import scalar, text
 from prismfeed.operators.graph import components
+from prismfeed.staging import staged
 
 # Entities that a candidate shares, candidates of an article, clusters looked at, share of the match score from which fallbacks are taken.
 SHARED, CANDIDATES, CONTEXT, FLOOR = 2, 20, 60, 0.9 * scalar.MATCH
+#: Clusters beyond which an entity is hot.
+HOT = 1000
 
 
 def features(articles: DataFrame) -> DataFrame:
@@ -93,6 +96,54 @@ def candidates(articles: DataFrame, members: DataFrame, n: int = CANDIDATES) ->
     return both.withColumn("place", place).filter(F.col("place") <= n)
 
 
+def best_clusters(articles: DataFrame, members: DataFrame, n: int = CANDIDATES, least: int = SHARED, hot: int = HOT) -> DataFrame:
+    """(id, cluster_id, shared, place): for each article (id, entities) the n clusters of most entities in common, `least` at least, the smaller id among equals.
+
+    members: (cluster_id, entities). A top-k search over an inverted index of the
+    clusters, rare entities first. An entity of more than `hot` clusters is hot;
+    postings of all others are read, which finds each cluster that shares a rare
+    entity with the article, and its exact count. What is left shares hot
+    entities only, at most as many as the article has: an article whose n-th best
+    beats that bound is done. For the others clusters are told apart by their hot
+    part alone. Of each such part the n smallest ids are enough, as a cluster of
+    the same part that was found before counts more; so neither a hot entity nor
+    a hot pair of them ever lists its clusters.
+    """
+    sets = members.select("cluster_id", F.explode("entities").alias("e")).distinct()
+    df = sets.groupBy("e").agg(F.count("*").alias("df"))
+    hot_words = df.filter(F.col("df") > hot).select("e", F.lit(True).alias("hot"))  # fewer than postings / hot
+    marked = staged(sets.join(hot_words, "e", "left").select("cluster_id", "e", F.coalesce("hot", F.lit(False)).alias("hot")), "postings")
+    asked = articles.select("id", F.explode(F.array_distinct("entities")).alias("e"))
+    wanted = staged(asked.join(df, "e").select("id", "e", (F.col("df") > hot).alias("hot")), "asked")
+    by_cluster = marked.groupBy("cluster_id").agg(F.collect_set("e").alias("held"))
+    by_article = wanted.groupBy("id").agg(F.collect_set("e").alias("own"), F.sort_array(F.collect_set(F.when(F.col("hot"), F.col("e")))).alias("part"))
+    met = wanted.filter("not hot").join(marked.filter("not hot").select("cluster_id", "e"), "e").select("id", "cluster_id").distinct()
+    shared = F.size(F.array_intersect("own", "held"))
+    rare = staged(met.join(by_article, "id").join(by_cluster, "cluster_id").select("id", "cluster_id", shared.alias("shared"), F.size("part").alias("bound")).filter(F.col("shared") >= least), "rare")
+    done = rare.filter(F.col("shared") > F.col("bound")).groupBy("id").agg(F.count("*").alias("ahead")).filter(F.col("ahead") >= n).select("id")
+    left = by_article.filter(F.size("part") >= least).join(done, "id", "left_anti").select("id", "part")
+    parts = marked.filter("hot").groupBy("cluster_id").agg(F.sort_array(F.collect_set("e")).alias("part")).filter(F.size("part") >= least)
+    place = F.row_number().over(Window.partitionBy("part").orderBy("cluster_id"))
+    groups = staged(parts.withColumn("place", place).filter(F.col("place") <= n).groupBy("part").agg(F.collect_list("cluster_id").alias("ids")), "parts")  # n ids at most
+    asks = left.select(F.col("part").alias("mine")).distinct()
+    first_two = lambda c: F.explode(F.flatten(F.transform(F.col(c), lambda x, i: F.transform(F.slice(F.col(c), i + 2, F.size(c)), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("pair")
+    keys = (asks.select("mine", first_two("mine")).join(groups.select("part", first_two("part")), "pair").select("mine", "part").distinct()) if least >= 2 else asks.join(groups.select("part"), F.arrays_overlap("mine", "part"))
+    alike = keys.withColumn("shared", F.size(F.array_intersect("mine", "part"))).filter(F.col("shared") >= least).join(groups, "part")
+    ranked = alike.select("mine", "shared", F.explode("ids").alias("cluster_id"))
+    best = Window.partitionBy("mine").orderBy(F.desc("shared"), "cluster_id")
+    short = ranked.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= n)
+    common = left.join(short, left.part == short.mine).select("id", "cluster_id", "shared")
+    both = rare.select("id", "cluster_id", "shared").union(common).groupBy("id", "cluster_id").agg(F.max("shared").alias("shared"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "cluster_id"))
+    return both.withColumn("place", place).filter(F.col("place") <= n)
+
+
+def could_match(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float = scalar.MATCH) -> DataFrame:
+    """The pairs (a, b) whose score would reach the threshold if their words agreed in full: what the cosine is worth computing for."""
+    most = score_pairs(pairs, left, right, pairs.select("a", "b", F.lit(1.0).alias("cosine")))
+    return most.filter(F.col("s.score") >= threshold - 1e-9).select("a", "b")
+
+
 def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, cosine: DataFrame) -> DataFrame:
     """(a, b, hours, s: the score's components) of pairs (a, b); the features come with `features`."""
     cols = ("strict", "signature", "entities", "slug", "published_at")

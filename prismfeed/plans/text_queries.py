@@ -372,7 +372,10 @@ def _scores(spark, sf):
 
 @query(SQL_SCORE + ", r AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM scored WHERE score >= 0.48) SELECT a, b, score FROM r WHERE rn = 1")
 def ens_best_match(spark, sf):
-    s = _scored(spark, sf)[1].withColumn("s", F.struct(F.round("s.score", 7).alias("score")))
+    """Word vectors meet only for pairs that could reach the threshold with them."""
+    a = _articles(spark, sf)
+    p = staged(C.could_match(C.entity_pairs(a).select("a", "b").union(C.fingerprint_pairs(a)).distinct(), a, a), "pairs")
+    s = C.score_pairs(p, a, a, C.cosines(C.tfidf(a), p)).withColumn("s", F.struct(F.round("s.score", 7).alias("score")))
     return C.best_match(s)
 
 
@@ -402,6 +405,14 @@ def ens_candidates(spark, sf):
     return C.candidates(a.filter("hours >= 60"), C.recent_clusters(members, now)).select("id", "cluster_id", "weight", "place")
 
 
+@query(SQL_ENT + """, ee AS (SELECT id, unnest(entities) AS e FROM ent), ce AS (SELECT DISTINCT (id + 1000) // 5 AS cluster_id, e FROM ee), w AS (SELECT id, cluster_id, count(*) AS shared FROM ee JOIN ce USING (e) GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT id, cluster_id, CAST(shared AS INTEGER) AS shared, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, cluster_id) AS place FROM w) WHERE place <= 20""")
+def jn_entity_top20(spark, sf):
+    """For every article the twenty of all clusters (of five articles each) that share most entities with it."""
+    a = _articles(spark, sf)
+    return C.best_clusters(a, a.select(F.floor((F.col("id") + 1000) / 5).alias("cluster_id"), "entities"))
+
+
 @query(f"WITH {P.SQL_MEMBERS}, t AS (SELECT cluster_id, 'Başlık ' || id AS t FROM members), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY length(t), t) AS rn FROM t) SELECT cluster_id, t[:80] AS title FROM r WHERE rn = 1")
 def udf_llm_rewrite(spark, sf):
     m = P.members(spark, sf).groupBy("cluster_id").agg(F.collect_list(F.concat(F.lit("Başlık "), F.col("id").cast("string"))).alias("titles"))
