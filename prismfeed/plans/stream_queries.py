@@ -11,7 +11,7 @@ from prismfeed.operators.hygiene import delete_cascade
 from prismfeed.operators.operations import cached_reads, lease, pool, token_bucket
 from prismfeed.plans import proxy as P
 from prismfeed.plans.registry import query
-from prismfeed.sources import feeds
+from prismfeed.sources import feeds, landed
 from prismfeed.staging import scratch, staged
 from prismfeed.streaming import queues, stateful
 
@@ -88,6 +88,27 @@ def src_conditional_cache(spark, sf):
     return feeds.conditional_headers(r.select("source_id"), feeds.refreshed_cache(_cache(spark, sf), r))
 
 
+_SQL_SECOND = "CASE WHEN page_id % 4 = 0 THEN 304 WHEN page_id % 6 = 1 THEN 503 ELSE 200 END"
+
+
+@query(f"""WITH r AS (SELECT page_id AS id, {_SQL_STATUS} AS s1, {_SQL_SECOND} AS s2 FROM pages), n AS (SELECT id, 1 AS seq, s1 AS status, s1 = 304 AS same FROM r UNION ALL SELECT id, 2, s2, s2 = 304 OR (s2 = 200 AND s1 = 200 AND id % 2 = 0 AND id % 3 <> 0) FROM r)
+SELECT CAST(id AS VARCHAR) AS source_id, seq, seq - 1 AS run, status, same AS not_modified, CASE status WHEN 0 THEN 'Request timed out after 10000ms' WHEN 503 THEN 'Status code 503' END AS error, status = 200 AND NOT same AS has_body FROM n""")
+def src_feed_stream(spark, sf):
+    """Two rounds of responses as they land; the stream ends after the first and starts again: then only the second round's rows come, and bodies of those that changed."""
+    landed.register(spark)
+    first, path, out, mark = _responses(spark, sf), scratch(spark, "landed"), scratch(spark, "stream"), scratch(spark, "mark")
+    page = F.col("source_id")
+    tag = F.when(page % 2 == 0, F.concat(F.when(page % 3 == 0, '"n').otherwise('"e'), page.cast("string"), F.lit('"')))
+    second = first.withColumn("status", F.expr(_SQL_SECOND.replace("page_id", "source_id")).cast("int")).withColumn("etag", tag)
+    for run, rows in enumerate((first, second)):
+        landed.land(rows, path, run + 1)
+        s = spark.readStream.format("landed_feeds").option("path", path).load()
+        write = lambda df, epoch, run=run: df.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{out}/run={run}/batch={epoch}")
+        s.writeStream.foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{landed.RESPONSE}, run int").option("recursiveFileLookup", True).parquet(out)
+    return rows.select("source_id", "seq", "run", "status", "not_modified", "error", F.col("body").isNotNull().alias("has_body"))
+
+
 @query("SELECT n_nationkey AS id, n_name AS name FROM nation")
 def src_seed_csv(spark, sf):
     """A seed table written as CSV with a header and read with its declared schema."""

@@ -11,6 +11,7 @@ from prismfeed.operators import operations as O
 from prismfeed.operators import views as V
 from prismfeed.plans import proxy as P
 from prismfeed.plans.registry import query
+from prismfeed.sources import landed
 from prismfeed.staging import scratch, staged
 
 NOW = P.SQL_AS_OF
@@ -346,13 +347,28 @@ def st_poison(spark, sf):
     return O.settle(after, failed, article_id(F.col("message")), before_work=True).select("msg_id", "cluster_outcome", F.col("outcome").alias("image_outcome"))
 
 
-@query(f"SELECT msg_id, read_ct, message, outcome, '2024-01-31 00:00:00' AS archived_at FROM (SELECT event_id AS msg_id, event_id % 6 AS read_ct, CASE WHEN event_id % 50 <> 0 THEN '{{\"article_id\": \"a' || event_id || '\"}}' ELSE '{{\"article_id\": 5}}' END AS message, {_SQL_OUTCOME.format(worn='event_type = ' + chr(39) + 'error' + chr(39) + ' AND event_id % 6 > 3')} AS outcome FROM events) WHERE outcome <> 'retry'")
+_SQL_ARCHIVED = f"SELECT msg_id, read_ct, message, outcome, '2024-01-31 00:00:00' AS archived_at FROM (SELECT event_id AS msg_id, event_id % 6 AS read_ct, CASE WHEN event_id % 50 <> 0 THEN '{{\"article_id\": \"a' || event_id || '\"}}' ELSE '{{\"article_id\": 5}}' END AS message, {_SQL_OUTCOME.format(worn='event_type = ' + chr(39) + 'error' + chr(39) + ' AND event_id % 6 > 3')} AS outcome FROM events) WHERE outcome <> 'retry'"
+
+
+@query(_SQL_ARCHIVED)
 def snk_archive(spark, sf):
     """The archive as written, with the messages as they were."""
     rows, _ = O.archive(O.settle(_leased(spark, sf), F.col("event_type") == "error", article_id(F.col("message"))), P.as_of())
     return staged(rows, "archive").select("msg_id", "read_ct", "message", "outcome", P.stamp("archived_at").alias("archived_at"))
 
 
+@query(_SQL_ARCHIVED)
+def snk_archive_whole(spark, sf):
+    """The same rows through a sink of our own: they are there when all tasks have written, not before."""
+    landed.register(spark)
+    rows, _ = O.archive(O.settle(_leased(spark, sf), F.col("event_type") == "error", article_id(F.col("message"))), P.as_of())
+    path = scratch(spark, "archive")
+    rows = rows.select("msg_id", "read_ct", "message", "outcome", "archived_at")
+    rows.write.format("whole_archive").option("path", path).mode("append").save()
+    kept = spark.read.format("whole_archive").schema(rows.schema).option("path", path).load()
+    return kept.select("msg_id", "read_ct", "message", "outcome", P.stamp("archived_at").alias("archived_at"))
+
+
 def article_id(message):
     """The article id of a message, null unless it is a string."""
     return F.when(F.get_json_object(message, "$.article_id").isNotNull() & message.rlike('"article_id"\\s*:\\s*"'), F.get_json_object(message, "$.article_id"))
