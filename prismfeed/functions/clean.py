@@ -61,11 +61,9 @@ def decode_named_entities(x: Column) -> Column:
     return x
 
 
-def strip_tags(x: Column, depth: int = 4) -> Column:
-    """Tags removed again and again, so that nested ones do not survive; `depth` is the nesting that is undone."""
-    for _ in range(depth):
-        x = F.regexp_replace(x, "<[^>]*>", "")
-    return x
+def strip_tags(x: Column) -> Column:
+    """The text without tags; once is enough, as no "<" that is left has a ">" behind it."""
+    return F.regexp_replace(x, "<[^>]*>", "")
 
 
 def clean_description(raw: Column) -> Column:

@@ -49,14 +49,17 @@ ENTITY_BRIDGE = {
     "turkey": "turkiye", "istanbul": "istanbul", "ankara": "ankara", "erdogan": "erdogan", "parliament": "meclis", "minister": "bakan", "president": "cumhurbaskan", "election": "secim",
     "economy": "ekonomi", "central bank": "tcmb", "opposition": "muhalefet",
 }
-ENTITY_BREAKS = r"[\s.,;:!?()\[\]{}\"'`’‘“”«»\-–—/\\|…]+"
+#: Blanks of a pattern's character class, those beyond ASCII among them.
+BLANKS = "\\s\\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_BREAKS = BLANKS + r".,;:!?()\[\]{}\"'`’‘“”«»\-–—/\\|…"
+ENTITY_BREAKS = f"[{_BREAKS}]+"
 
 
 #: Shingle hashes that a task remembers.
 _KNOWN = 1 << 19
-_NO_ENTITY_LETTER = r"[^a-z0-9\s.,;:!?()\[\]{}\"'`’‘“”«»\-–—/\\|…]"
+_NO_ENTITY_LETTER = f"[^a-z0-9{_BREAKS}]"
 _LISTED = tuple(w for w in dict.fromkeys(ENTITY_WORDS) if len(w) >= 3 and w not in ENTITY_STOP_WORDS)
-_GAP = r"\s+"
+_GAP = f"[{BLANKS}]+"
 
 
 def fold(text: Column) -> Column:
@@ -177,10 +180,10 @@ def extract_entities(text: Column) -> Column:
     words = F.filter(parted, lambda w: w.isin(*_LISTED))
     edge, stop = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
     years = F.regexp_extract_all(t, F.lit(f"{edge}(19[5-9][0-9]|20[0-9][0-9]){stop}"), F.lit(1))
-    percent = F.regexp_extract_all(t, F.lit(f"{edge}([0-9]{{1,3}})\\s*%"), F.lit(1))
-    worded = F.regexp_extract_all(t, F.lit(f"(?i)(?:y[üÜ]zde|yuzde)\\s*([0-9]{{1,3}}){stop}"), F.lit(1))
+    percent = F.regexp_extract_all(t, F.lit(f"{edge}([0-9]{{1,3}})[{BLANKS}]*%"), F.lit(1))
+    worded = F.regexp_extract_all(t, F.lit(f"(?i)(?:y[üÜ]zde|yuzde)[{BLANKS}]*([0-9]{{1,3}}){stop}"), F.lit(1))
     shares = F.transform(F.concat(percent, worded), lambda n: F.concat(F.lit("pct"), n))
     phrases = F.regexp_extract_all(t, F.lit(rf"(?i)(?<![A-Za-z0-9])({'|'.join(ENTITY_BRIDGE).replace(' ', _GAP)})(?![A-Za-z0-9])"), F.lit(1))
     bridge = F.create_map(*[F.lit(x) for pair in ENTITY_BRIDGE.items() for x in pair])
-    bridged = F.transform(phrases, lambda w: F.element_at(bridge, F.lower(F.regexp_replace(w, r"\s+", " "))))
+    bridged = F.transform(phrases, lambda w: F.element_at(bridge, F.lower(F.regexp_replace(w, _GAP, " "))))
     return F.sort_array(F.array_distinct(F.concat(words, years, shares, bridged)))

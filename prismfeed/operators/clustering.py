@@ -238,6 +238,12 @@ def neutral_title(titles: Column) -> Column:
     return F.left(F.element_at(ordered, 1)["t"], F.lit(80))
 
 
+def shortest_titles(titles: DataFrame, most: int = 80) -> DataFrame:
+    """(cluster_id, title) from rows (cluster_id, title): what neutral_title takes, without gathering a cluster's titles."""
+    short = F.min_by("title", F.struct(F.length("title"), "title"))
+    return titles.filter("title is not null").groupBy("cluster_id").agg(F.left(short, F.lit(most)).alias("title"))
+
+
 def neutral_titles(clusters: DataFrame, rewrite=None) -> DataFrame:
     """(cluster_id, title) from rows (cluster_id, titles); `rewrite` is an iterator function on pandas series, e.g. a service client."""
     if rewrite is None:

@@ -162,3 +162,12 @@ def rss_item(cluster_id: Column, title: Column, count: Column, summary: Column,
         F.lit("<item><title>"), escape(F.coalesce(title, F.lit("Başlıksız"))), F.lit("</title><link>"), link, F.lit('</link><guid isPermaLink="true">'), link,
         F.lit("</guid><pubDate>"), stamp, F.lit("</pubDate><description>"), escape(text), F.lit("</description></item>"),
     )
+
+
+def rss_document(items: DataFrame, order: list, title: str, about: str, base: str, now: Column) -> DataFrame:
+    """One row `document`: an RSS document of the items (item, ...) in this order, those of a feed's page."""
+    placed = items.select("item", F.row_number().over(Window.orderBy(*order)).alias("n"))  # at most SHOWN rows
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]), "")
+    head = f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>{title}</title><link>{base}/</link><atom:link href="{base}/rss.xml" rel="self" type="application/rss+xml"/><description>{about}</description><language>tr-TR</language><lastBuildDate>'
+    stamp = F.date_format(now, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    return placed.agg(F.concat(F.lit(head), stamp, F.lit("</lastBuildDate>"), body, F.lit("</channel></rss>")).alias("document"))

@@ -84,17 +84,33 @@ def lim_pagination(spark, sf):
     return S.ranked(feed(spark, sf)).select("cluster_id", F.row_number().over(w).alias("place")).filter(F.col("place").between(16, 30))
 
 
-@query(
+_SQL_ITEMS = (
     SQL_FEED
     + """SELECT cluster_id, '<item><title>' || replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</title><link>http://localhost:3000/cluster/' || cluster_id
  || '</link><guid isPermaLink="true">http://localhost:3000/cluster/' || cluster_id || '</guid><pubDate>' || strftime(first_published, '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate><description>'
  || replace(replace(replace(article_count || ' kaynaktan haberler. ' || summary_tr[:240], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</description></item>' AS item FROM ranked"""
 )
+
+
+@query(_SQL_ITEMS)
 def snk_rss_xml(spark, sf):
     cols = [F.col(c) for c in ("cluster_id", "title", "article_count", "summary_tr", "first_published")]
     return S.ranked(feed(spark, sf)).select("cluster_id", S.rss_item(*cols, "http://localhost:3000", clean.escape_xml).alias("item"))
 
 
+_RSS_HEAD = """<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>Haber Analizi</title><link>http://localhost:3000/</link><atom:link href="http://localhost:3000/rss.xml" rel="self" type="application/rss+xml"/><description>Aynı haber, farklı kaynaklar.</description><language>tr-TR</language><lastBuildDate>Wed, 31 Jan 2024 00:00:00 GMT</lastBuildDate>"""
+
+
+@query(_SQL_ITEMS.replace(" AS item FROM ranked", " AS item, row_number() OVER (ORDER BY round(score, 9) DESC, updated_at DESC, cluster_id DESC) AS place FROM ranked").replace("SELECT cluster_id, '<item>", ", items AS (SELECT cluster_id, '<item>", 1) + f") SELECT '{_RSS_HEAD}' || string_agg(item, '' ORDER BY place) || '</channel></rss>' AS document FROM items")
+def snk_rss_document(spark, sf):
+    """The whole document with its channel."""
+    ranked = S.ranked(feed(spark, sf))
+    cols = [F.col(c) for c in ("cluster_id", "title", "article_count", "summary_tr", "first_published")]
+    items = ranked.select(S.rss_item(*cols, "http://localhost:3000", clean.escape_xml).alias("item"), R("score").alias("score"), "updated_at", "cluster_id")
+    return S.rss_document(items, [F.desc("score"), F.desc("updated_at"), F.desc("cluster_id")], "Haber Analizi", "Aynı haber, farklı kaynaklar.", "http://localhost:3000", P.as_of())
+
+
+
 @query(
     f"""WITH {P.SQL_CLUSTERS}, top AS (SELECT * FROM clusters WHERE article_count >= 2 ORDER BY updated_at DESC, id DESC LIMIT 1000),
 hero AS (SELECT cluster_id, image_url, row_number() OVER (PARTITION BY cluster_id ORDER BY published_at DESC, recent.id DESC) AS rn FROM recent JOIN top ON top.id = cluster_id WHERE image_url IS NOT NULL)

@@ -42,6 +42,17 @@ def src_xml_parse(spark, sf):
     return feeds.parse_items(feeds.decode_bodies(_feeds(spark, sf))).select("source_id", "title", "link")
 
 
+@query("SELECT page_id AS source_id, 'Haber ' || page_id || ' & ' || n AS title, url || '#' || n AS link, '2024-04-18T09:00:00Z' AS date FROM pages, (VALUES (1), (2)) t(n)")
+def src_rdf_items(spark, sf):
+    """RSS 1.0: items beside the channel, each page a document of two."""
+    page, url = F.col("page_id").cast("string"), clean.escape_xml(F.col("url"))
+    item = lambda n: F.concat(F.lit("<item><title>Haber "), page, F.lit(f" &amp; {n}</title><link>"), url, F.lit(f"#{n}</link><dc:date>2024-04-18T09:00:00Z</dc:date></item>"))
+    head = '<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns="http://purl.org/rss/1.0/"><channel><title>Kanal</title></channel>'
+    body = F.encode(F.concat(F.lit(head), item(1), item(2), F.lit("</rdf:RDF>")), "UTF-8")
+    docs = P.table(spark, sf, "pages").select(F.col("page_id").alias("source_id"), F.lit("application/rdf+xml").alias("content_type"), body.alias("body"))
+    return feeds.parse_items(feeds.decode_bodies(docs)).select("source_id", "title", "link", "date")
+
+
 @query(f"WITH {SQL_FEEDS} SELECT source_id, title, url AS link, 'TCMB dolar' AS summary, '2024-04-18T09:00:00Z' AS date FROM feeds WHERE kind = 1")
 def src_atom_entry_map(spark, sf):
     atom = _feeds(spark, sf).filter("source_id % 3 = 1")
@@ -254,7 +265,10 @@ def st_schedule(spark, sf):
         q = _stream(spark, sf).select("id").writeStream.foreachBatch(lambda df, epoch, out=out: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")).option("checkpointLocation", scratch(spark, "mark")).trigger(processingTime=every).start()
         while q.isActive and q.lastProgress is None:  # the first batch starts at once, the next after the period
             time.sleep(0.2)
+        failed = q.exception()
         q.stop()
+        if failed is not None:
+            raise failed
         rows = spark.read.schema("id long").option("recursiveFileLookup", True).parquet(out)
         counts.append(rows.agg(F.lit(worker).alias("worker"), F.lit(every).alias("every"), F.count("*").alias("n")))
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])

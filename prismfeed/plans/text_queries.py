@@ -98,7 +98,7 @@ def fn_jaccard_sig(spark, sf):
 
 
 _BARE = f"regexp_replace({_FOLDED.format(x='t')}, '[^a-z0-9]', '', 'g')"
-_SPLIT = "regexp_split_to_array(body, '[\\s.,;:!?()\\[\\]{}\"''`’‘“”«»\\-–—/\\\\|…]+')"
+_SPLIT = f"regexp_split_to_array(body, '[{text.BLANKS}.,;:!?()\\[\\]{{}}\"''`’‘“”«»\\-–—/\\\\|…]+')"
 
 
 @query(SQL_NORM + f", w AS (SELECT DISTINCT unnest({_SPLIT}) AS t FROM norms) SELECT t AS raw, CASE WHEN length({_BARE}) >= 3 AND {_BARE} NOT IN ({_q(text.ENTITY_STOP_WORDS)}) THEN {_BARE} END AS token FROM w")
@@ -111,8 +111,8 @@ def _sql_entities() -> str:
     bare = f"list_transform({_SPLIT}, lambda t: {_BARE})"
     words = f"list_filter({bare}, lambda t: length(t) >= 3 AND t NOT IN ({_q(text.ENTITY_STOP_WORDS)}) AND t IN ({_q(dict.fromkeys(text.ENTITY_WORDS))}))"
     years = r"regexp_extract_all(body, '\b(19[5-9][0-9]|20[0-9][0-9])\b', 1)"
-    shares = r"list_transform(regexp_extract_all(body, '\b([0-9]{1,3})\s*%', 1) || regexp_extract_all(body, '(?i)(?:y[üÜ]zde|yuzde)\s*([0-9]{1,3})\b', 1), lambda n: 'pct' || n)"
-    bridged = ", ".join(f"CASE WHEN regexp_matches(body, '(?i)(^|[^A-Za-z0-9]){en.replace(' ', chr(92) + 's+')}([^A-Za-z0-9]|$)') THEN '{tr}' END" for en, tr in text.ENTITY_BRIDGE.items())
+    shares = rf"list_transform(regexp_extract_all(body, '\b([0-9]{{1,3}})[{text.BLANKS}]*%', 1) || regexp_extract_all(body, '(?i)(?:y[üÜ]zde|yuzde)[{text.BLANKS}]*([0-9]{{1,3}})\b', 1), lambda n: 'pct' || n)"
+    bridged = ", ".join(f"CASE WHEN regexp_matches(body, '(?i)(^|[^A-Za-z0-9]){en.replace(' ', '[' + text.BLANKS + ']+')}([^A-Za-z0-9]|$)') THEN '{tr}' END" for en, tr in text.ENTITY_BRIDGE.items())
     return SQL_NORM + f", ent AS (SELECT id, list_sort(list_distinct({words} || {years} || {shares} || list_filter([{bridged}], lambda v: v IS NOT NULL))) AS entities FROM norms)"
 
 
@@ -415,5 +415,4 @@ def jn_entity_top20(spark, sf):
 
 @query(f"WITH {P.SQL_MEMBERS}, t AS (SELECT cluster_id, 'Başlık ' || id AS t FROM members), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY length(t), t) AS rn FROM t) SELECT cluster_id, t[:80] AS title FROM r WHERE rn = 1")
 def udf_llm_rewrite(spark, sf):
-    m = P.members(spark, sf).groupBy("cluster_id").agg(F.collect_list(F.concat(F.lit("Başlık "), F.col("id").cast("string"))).alias("titles"))
-    return C.neutral_titles(m)
+    return C.shortest_titles(P.members(spark, sf).select("cluster_id", F.concat(F.lit("Başlık "), F.col("id").cast("string")).alias("title")))

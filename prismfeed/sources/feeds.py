@@ -19,8 +19,9 @@ CHARSETS = {
     "iso-8859-1": "windows-1252", "iso8859-1": "windows-1252", "latin1": "windows-1252", "windows-1252": "windows-1252", "cp1252": "windows-1252",
 }
 PROLOG_BYTES = 256
-ITEM = "title string, link string, description string, `content:encoded` string, pubDate string, enclosure array<struct<_url:string,_type:string>>, `media:content` array<struct<_url:string>>, `media:thumbnail` array<struct<_url:string>>, `media:group` struct<`media:content`:array<struct<_url:string>>>, image string"
-RSS = f"channel struct<item: array<struct<{ITEM.replace(' string', ':string').replace(' array', ':array').replace(' struct', ':struct')}>>>"
+ITEM = "title string, link string, description string, `content:encoded` string, pubDate string, `dc:date` string, enclosure array<struct<_url:string,_type:string>>, `media:content` array<struct<_url:string>>, `media:thumbnail` array<struct<_url:string>>, `media:group` struct<`media:content`:array<struct<_url:string>>>, image string"
+_ITEMS = f"array<struct<{ITEM.replace(' string', ':string').replace(' array', ':array').replace(' struct', ':struct')}>>"
+RSS = f"channel struct<item: {_ITEMS}>"
 ATOM = "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,summary:string,content:string,published:string,updated:string>>"
 
 
@@ -87,17 +88,22 @@ def _rss_items(xml: Column) -> Column:
     return x["channel"]["item"]
 
 
+def _rdf_items(xml: Column, tag: str) -> Column:
+    return F.from_xml(xml, F.lit(f"struct<item:{_ITEMS}>"), {"rowTag": tag, "attributePrefix": "_", "valueTag": "_v"})["item"]
+
+
 def parse_items(feeds: DataFrame) -> DataFrame:
-    """(source_id, title, link, content, summary, date, enclosure, media, thumbnail, group, image): RSS items, else Atom entries."""
+    """(source_id, title, link, content, summary, date, enclosure, media, thumbnail, group, image): RSS items, else Atom entries, else items of RDF (RSS 1.0)."""
     rss = _rss_items(F.col("xml"))
     atom = F.from_xml(F.col("xml"), F.lit(f"struct<{ATOM.replace('entry array', 'entry:array')}>"), {"rowTag": "feed", "attributePrefix": "_", "valueTag": "_v"})["entry"]
-    base = feeds.select("source_id", rss.alias("rss"), atom.alias("atom"))
+    rdf = F.coalesce(*[F.when(F.regexp_like("xml", F.lit(f"<{tag}[\\s>]")), _rdf_items(F.col("xml"), tag)) for tag in ("rdf:RDF", "RDF")])
+    base = feeds.select("source_id", F.coalesce(rss, F.when(atom.isNull(), rdf)).alias("rss"), atom.alias("atom"))
     items = base.filter("rss is not null").select("source_id", F.explode("rss").alias("i"))
     images = F.filter(F.col("i.enclosure"), lambda e: e["_type"].startswith("image/"))
     enclosure = F.coalesce(F.get(images, F.lit(0)), F.get(F.col("i.enclosure"), F.lit(0)))
     first = lambda c: F.get(F.col(c), F.lit(0))["_url"]
     from_rss = items.select(
-        "source_id", F.col("i.title").alias("title"), F.col("i.link").alias("link"), F.coalesce(F.col("i.`content:encoded`"), F.col("i.description")).alias("content"), F.col("i.description").alias("summary"), F.col("i.pubDate").alias("date"),
+        "source_id", F.col("i.title").alias("title"), F.col("i.link").alias("link"), F.coalesce(F.col("i.`content:encoded`"), F.col("i.description")).alias("content"), F.col("i.description").alias("summary"), F.coalesce("i.pubDate", "i.`dc:date`").alias("date"),
         enclosure["_url"].alias("enclosure"), enclosure["_type"].alias("enclosure_type"), first("i.`media:content`").alias("media"), first("i.`media:thumbnail`").alias("thumbnail"), first("i.`media:group`.`media:content`").alias("group"), F.col("i.image").alias("image"),
     )
     entries = base.filter("rss is null and atom is not null").select("source_id", F.explode("atom").alias("i"))
