@@ -247,6 +247,47 @@ def st_at_least_once(spark, sf):
     return rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.lit(times).alias("deliveries"))
 
 
+@query(f"""WITH {P.SQL_ARRIVALS}, z AS (SELECT date_trunc('day', published_at) AS start, event_type, {P.sql_zone('bias')} AS zone FROM arrivals), x AS (SELECT max(published_at) AS newest FROM arrivals)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS count, CAST(count(DISTINCT zone) AS INTEGER) AS zones, count(DISTINCT zone) = 1 AS is_blindspot FROM z, x WHERE start + INTERVAL 48 HOUR <= newest GROUP BY start, event_type""")
+def st_closed_days(spark, sf):
+    """Days of each story, once they are over for 24 hours; a seventh of the articles lands up to twenty hours late."""
+    late = F.when(F.col("id") % 7 == 0, F.expr("make_interval(0, 0, 0, 0, 1 + pmod(id, 20))")).otherwise(F.expr("make_interval(0)"))
+    log = P.arrivals(spark, sf).select("id", "published_at", "bias", "event_type").withColumn("landed_at", F.col("published_at") + late)
+    out = replayed(spark, log, "landed_at", lambda s: queues.closed_days(s, "event_type"), "start timestamp, event_type string, count long, zones int, is_blindspot boolean")
+    return out.withColumn("start", P.stamp("start"))
+
+
+_SQL_FRESH = """WITH b AS (SELECT event_id AS id, 'u' || event_id AS url, user_id % 30 AS source_id, CASE WHEN event_id % 9 <> 0 THEN CAST(event_id * 3 AS VARCHAR) END AS content_hash FROM events),
+t AS (SELECT 'u' || (o_orderkey * 5) AS url, o_orderkey % 30 AS source_id, CAST(o_orderkey AS VARCHAR) AS content_hash FROM orders)
+SELECT id FROM b WHERE url NOT IN (SELECT url FROM t) AND NOT EXISTS (SELECT 1 FROM t WHERE t.source_id = b.source_id AND t.content_hash = b.content_hash)"""
+
+
+@query(_SQL_FRESH)
+def st_dedupe_keys(spark, sf):
+    """Arrivals, and in a second file each once more with its url, and with its source and hash, of hours later; against the known articles in orders."""
+    e = P.table(spark, sf, "events")
+    hash_ = F.when(F.col("event_id") % 9 != 0, (F.col("event_id") * 3).cast("string"))
+    one = e.select(F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), (F.col("user_id") % 30).alias("source_id"), hash_.alias("content_hash"), F.col("ts").cast("timestamp").alias("published_at"))
+    same_url = one.withColumn("content_hash", F.lit("other")).withColumn("published_at", F.expr("published_at + interval 3 hours")).withColumn("id", -F.col("id") - 1)
+    same_hash = one.filter("content_hash is not null").withColumn("url", F.concat("url", F.lit("/again"))).withColumn("published_at", F.expr("published_at + interval 5 hours")).withColumn("id", -F.col("id") - 1)
+    k = F.col("o_orderkey")
+    table = P.table(spark, sf, "orders").select(F.concat(F.lit("u"), (k * 5).cast("string")).alias("url"), (k % 30).alias("source_id"), k.cast("string").alias("content_hash"))
+    log = one.withColumn("landed_at", P.as_of()).unionByName(same_url.unionByName(same_hash).withColumn("landed_at", F.timestamp_micros(F.unix_micros(P.as_of()) + 60_000_000)))
+    return replayed(spark, log, "landed_at", lambda s: queues.fresh_articles(s, table).select("id"), "id long", slices=2)
+
+
+@query(f"WITH {P.SQL_ARRIVALS} SELECT count(*) AS n, count(DISTINCT id) AS ids FROM arrivals")
+def st_budget_drain(spark, sf):
+    """Drains of a minute each until one finds the queue empty; a batch that was given up at the end of a drain comes again and is there once."""
+    e = P.arrivals(spark, sf).select("id", "published_at")
+    folder, out, mark = scratch(spark, "queue"), scratch(spark, "stream"), scratch(spark, "mark")
+    e.repartition(8).write.parquet(folder)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    while queues.drain_within(stream, lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/batch={epoch}"), mark, seconds=60, full=1):
+        pass
+    return spark.read.schema("id long").option("recursiveFileLookup", True).parquet(out).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
 @query(f"WITH {P.SQL_ARRIVALS} SELECT id % 4 AS epoch, count(*) AS n FROM arrivals GROUP BY 1")
 def st_budget(spark, sf):
     """Four files with a budget of one file a batch: each batch takes its share until all is drained."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections import Counter
+
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from prismfeed.schema import in_politics, zone_of
+from prismfeed.schema import ZONES, in_politics, zone_of
 
 #: Late articles are taken up for so long.
 LATENESS = "48 hours"
@@ -48,6 +51,81 @@ def drain(stream: DataFrame, write_batch, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class _Budget(StreamingQueryListener):
+    """Tells which runs should end, as their time is nearly up or a batch brought less than a full one; and their batches."""
+
+    def __init__(self, last: float, full: int):
+        super().__init__()
+        self.last, self.full, self.over, self.batches = last, full, set(), Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run, rows = str(event.progress.runId), event.progress.numInputRows
+        self.batches[run] += rows > 0
+        if rows < self.full or time.monotonic() > self.last:
+            self.over.add(run)
+
+    def onQueryIdle(self, event) -> None:
+        self.over.add(str(event.runId))
+
+    def onQueryTerminated(self, event) -> None:
+        self.over.add(str(event.runId))
+
+
+def drain_within(stream: DataFrame, write_batch, checkpoint: str, seconds: float, full: int, reserve: float = 5.0) -> int:
+    """Batches until a budget is spent; how many there were. What is left stays for the next drain from the same checkpoint.
+
+    Ends once fewer than `reserve` seconds are left, or after a batch of fewer than
+    `full` rows, which tells that the queue is empty. A batch that is under way
+    then is given up and comes again; write_batch(df, epoch) must be idempotent by
+    epoch.
+    """
+    spark = stream.sparkSession
+    deadline = time.monotonic() + seconds
+    budget = _Budget(deadline - reserve, full)
+    spark.streams.addListener(budget)
+    try:
+        q = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).start()
+        run = str(q.runId)
+        while run not in budget.over and time.monotonic() < deadline and q.isActive:
+            time.sleep(0.1)
+        failed = q.exception()
+        q.stop()
+        if failed is not None:
+            raise failed
+    finally:
+        spark.streams.removeListener(budget)
+    return budget.batches[run]
+
+
+def closed_days(stream: DataFrame, key: str, lateness: str = "24 hours", time: str = "published_at") -> DataFrame:
+    """(start, key, count, zones, is_blindspot) of each day, once, when the lateness has passed after its end.
+
+    In append mode a row never changes after it was written. A story of a day is
+    a blindspot if one zone alone wrote of it.
+    """
+    zoned = stream.withWatermark(time, lateness).withColumn("zone", zone_of(F.col("bias")))
+    present = [F.max((F.col("zone") == z).cast("int")) for z in ZONES]
+    zones = sum((F.coalesce(p, F.lit(0)) for p in present), F.lit(0))
+    counted = zoned.groupBy(F.window(time, "1 day"), key).agg(F.count("*").alias("count"), zones.cast("int").alias("zones"))
+    return counted.select(F.col("window.start").alias("start"), key, "count", "zones", (F.col("zones") == 1).alias("is_blindspot"))
+
+
+def fresh_articles(stream: DataFrame, table: DataFrame, time: str = "published_at") -> DataFrame:
+    """The articles (url, source_id, content_hash, ...) of a stream that neither it nor the table has had.
+
+    First by url, then by source and hash (a missing hash is like no other), each
+    within the lateness; then by both against the table. A repeat of an url is gone
+    before its hash counts.
+    """
+    own = F.coalesce(F.col("content_hash"), F.concat(F.lit("url:"), F.col("url")))
+    once = stream.withWatermark(time, LATENESS).dropDuplicatesWithinWatermark(["url"]).withColumn("_hash", own).dropDuplicatesWithinWatermark(["source_id", "_hash"]).drop("_hash")
+    left = once.join(table.select("url").distinct(), "url", "left_anti")
+    return left.join(table.filter("content_hash is not null").select("source_id", "content_hash").distinct(), ["source_id", "content_hash"], "left_anti")
+
+
 def fan_out_batch(out: str):
     """A batch writer to two queues; a batch that is written again replaces itself."""
 
