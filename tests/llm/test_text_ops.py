@@ -7,10 +7,11 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from prismfeed.llm.bpe_count import token_counts
-from prismfeed.llm.decontaminate import benchmark_hits, hit_digest
+from prismfeed.llm.decontaminate import benchmark_hits, drop_contaminated, hit_digest
 from prismfeed.llm.pieces import encode_texts
 from prismfeed.llm.pii import find_pii, find_spans, luhn, pii_digest, redact_pii
 
@@ -80,7 +81,7 @@ def brute_hits(text, items, n=10):
     return len(words), len(hit), len(names), sha(",".join(sorted(names))), bool(hit)
 
 
-@pytest.mark.parametrize("slice_bytes", [32 << 20, 9000])
+@pytest.mark.parametrize("slice_bytes", [32 << 20, 9000, 150])
 def test_decontamination_against_brute_force(spark, slice_bytes):
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
     rows = [(r["doc_id"], r["text"]) for r in documents()][::5]
@@ -93,7 +94,7 @@ def test_decontamination_against_brute_force(spark, slice_bytes):
     assert got == sorted((i, *brute_hits(t, known)) for i, t in rows)
 
 
-@pytest.mark.parametrize("slice_bytes", [32 << 20, 400])
+@pytest.mark.parametrize("slice_bytes", [32 << 20, 400, 20])
 def test_decontamination_keeps_rows_of_null_and_repeated_ids(spark, slice_bytes):
     items = [(i, " ".join(f"i{i}w{k}" for k in range(30))) for i in range(12)]
     both = " ".join(items[0][1].split()[:15] + items[1][1].split()[:12])
@@ -103,6 +104,17 @@ def test_decontamination_keeps_rows_of_null_and_repeated_ids(spark, slice_bytes)
     assert sorted(map(str, got)) == sorted(str((i, *brute_hits(t, items))) for i, t in rows)
 
 
+@pytest.mark.parametrize("slice_bytes", [32 << 20, 400, 20])
+def test_contaminated_rows_go(spark, slice_bytes):
+    items = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(30))) for i in range(12)] + [(90, "two words"), (91, None)], "item_id long, text string")
+    long = " ".join(f"i7w{k}" for k in range(3, 13))
+    rows = [(1, long, "a"), (1, "clean", "b"), (None, "also Two, WORDS here", "c"), (None, None, "d"), (2, "", "e"), (3, " ".join(f"i7w{k}" for k in range(3, 12)), "f"), (3, "clean " * 5000, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `row` string").withColumn("a.b", F.lit(1))
+    got = drop_contaminated(docs, items, slice_bytes=slice_bytes)
+    assert got.columns == docs.columns and sorted(r["row"] for r in got.collect()) == ["b", "d", "e", "f", "g"]
+    assert drop_contaminated(docs.filter("false"), items, slice_bytes=slice_bytes).count() == 0
+
+
 def brute_pii(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
