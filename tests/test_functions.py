@@ -131,3 +131,23 @@ def test_greedy_assignment_joins_equal_fingerprints_without_links(spark):
     a = spark.createDataFrame(rows, "id long, batch int, slug string, strict string, m int").withColumn("published_at", F.timestamp_seconds("m"))
     none = spark.createDataFrame([], "a long, b long, score double").select("a", "b", F.struct("score").alias("s"))
     assert sorted(map(tuple, clustering.assign_greedily(a, none).collect())) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7), (8, 1)]
+
+
+def test_features_of_strings_against_plain_ones(spark):
+    import hashlib
+
+    texts = ["", "a", "abc", "abcd", "aaaa aaaa", "İstanbul'da 2024 ŞIK K yüzde 47 x2024 2024x 12024 1949 %5 20 %", "TURKEY centRal   bank turkeys ile 7 x the", "ç\U0001d518\U0001f600ğ 42", None, "a|b " * 900]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("n", text.normalize_turkish(F.col("t")))
+    columns = {r.i: r for r in df.select("i", "n", text.shingle_digest(F.col("n")).alias("d"), text.strict_fingerprint(F.col("n")).alias("f"), text.minhash(F.col("n")).alias("m"), text.extract_entities(F.col("t")).alias("e"), F.sort_array(text.shingle_set(F.col("n"))).alias("s")).collect()}
+    a, b = text.minhash_coefficients()
+    for i, t in enumerate(texts):
+        r = columns[i]
+        words = [w for w in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in (t or "").translate(str.maketrans(text.FOLD_FROM, text.FOLD_TO)).lower()).split() if w not in text.STOP_WORDS and (len(w) > 1 or w.isdigit())]
+        assert r.n == " ".join(words)
+        digest = hashlib.sha1("|".join(r.s).encode()).hexdigest()
+        assert (r.d.n, r.d.digest, r.f) == (len(r.s), digest, digest if r.n else None)
+        slots = [min(int((x * (text._hash32(s) % text.PRIME) + y) % text.PRIME) for s in r.s) if r.s else text.EMPTY_SLOT for x, y in zip(a, b, strict=True)]
+        assert r.m == slots
+    assert columns[5].e == ["2024", "istanbul", "pct20", "pct47"] and columns[6].e == ["tcmb", "turkey", "turkiye"] and columns[8].e == []
+    odd = "çağ😀𝔘ı çağ😀"
+    assert text._sorted_shingles(odd) == ((n := sorted({odd[i : i + 4] for i in range(len(odd) - 3)})) and len(n), "|".join(n).encode()) and text._sorted_shingles("çğ") == (1, "çğ".encode())
