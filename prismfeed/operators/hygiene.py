@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts that what is read of one split of a file is grouped in.
+PARTS_A_SPLIT = 16
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list, unless: Column | None = None) -> DataFrame:
     """The first row of each key by the order; rows where `unless` holds are all kept and not sorted."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -30,10 +34,12 @@ def upsert_update(table: DataFrame, batch: DataFrame, key: str, version: str) ->
 
 def link(bridge: DataFrame, new: DataFrame) -> DataFrame:
     """(cluster_id, article_id) with new links added once, each marked whether it was inserted."""
-    old = bridge.select("cluster_id", "article_id").distinct().withColumn("known", F.lit(1))
-    fresh = new.select("cluster_id", "article_id").distinct().withColumn("known", F.lit(0))
-    both = old.union(fresh).groupBy("cluster_id", "article_id").agg(F.max("known").alias("known"))
-    return both.select("cluster_id", "article_id", (F.col("known") == 0).alias("inserted"))
+    old, fresh = (x.select("cluster_id", "article_id", F.lit(k).alias("known")) for x, k in ((bridge, True), (new, False)))
+    both = old.union(fresh)
+    # rows go to parts in proportion to the splits that are read, so what a task groups does not grow with the tables
+    parts = max(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), PARTS_A_SPLIT * both.rdd.getNumPartitions())
+    marked = both.repartition(parts, "cluster_id", "article_id").groupBy("cluster_id", "article_id").agg(F.bool_or("known").alias("known"))
+    return marked.select("cluster_id", "article_id", (~F.col("known")).alias("inserted"))
 
 
 def patch(table: DataFrame, patches: DataFrame, key: str) -> DataFrame:

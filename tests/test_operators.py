@@ -161,3 +161,12 @@ def test_table_maintenance(spark):
     assert sorted(map(tuple, out.collect())) == [(1, "a", 7), (2, "b", 2), (10, "c", 0), (11, "d", 0)]
     left = hygiene.cascade_delete(t.filter("id = 1"), {"t": t, "links": spark.createDataFrame([(1, 5), (2, 6), (1, 7)], "id int, k int")}, "id")
     assert left["t"].count() == 2 and [tuple(r) for r in left["links"].collect()] == [(2, 6)]
+
+
+def test_links_are_grouped_in_parts_by_the_splits_read(spark):
+    from prismfeed.operators import hygiene
+
+    pairs = lambda rows: spark.createDataFrame(rows, "cluster_id long, article_id long").repartition(3)
+    out = hygiene.link(pairs([(1, 1), (1, 1), (2, 1)]), pairs([(1, 1), (2, 2), (2, 2), (3, None)]))
+    assert out.rdd.getNumPartitions() >= 6 * hygiene.PARTS_A_SPLIT
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 1, False), (2, 1, False), (2, 2, True), (3, None, True)], key=str)
