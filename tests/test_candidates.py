@@ -23,3 +23,26 @@ def test_best_clusters_against_brute_force(spark, hot):
         want |= {(i, k, -c, r) for r, (c, k) in enumerate(counts, 1)}
     got = C.best_clusters(spark.createDataFrame(articles, "id long, entities array<string>"), spark.createDataFrame(members, "cluster_id long, entities array<string>"), n=7, hot=hot)
     assert {(r.id, r.cluster_id, r.shared, r.place) for r in got.collect()} == want
+
+
+def test_candidates_are_counted_not_paired(spark):
+    rng = random.Random(4)
+    draw = lambda: sorted(rng.sample([f"e{i}" for i in range(12)], rng.randrange(7)))
+    members = [(k, draw(), rng.choice(["f1", "f2", None])) for k in range(30) for _ in range(2)] + [(77, None, "f1")]
+    articles = [(i, draw(), rng.choice(["f1", "f3", None])) for i in range(60)] + [(100, [], "f2"), (101, None, None)]
+    want = set()
+    for i, own, f in articles:
+        weight = {}
+        for k in {k for k, _, _ in members}:
+            held = {e for c, es, _ in members if c == k for e in es or []}
+            shared = len({*(own or [])} & held)
+            if f is not None and any(c == k and g == f for c, _, g in members):
+                weight[k] = 1 << 30
+            elif shared >= 2:
+                weight[k] = shared
+        want |= {(i, k, w, r) for r, (k, w) in enumerate(sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:5], 1)}
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, entities array<string>, strict string")
+    got = C.candidates(frame(articles, "id"), frame(members, "cluster_id"), n=5)
+    assert {(r.id, r.cluster_id, r.weight, r.place) for r in got.collect()} == want
+    counted = C.candidates(frame(articles, "id"), frame(members, "cluster_id"), n=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert counted.count("Join") == 1  # fingerprints meet in a join, entities in none
