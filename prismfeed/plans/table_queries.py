@@ -316,7 +316,7 @@ def _shown(clusters):
 @query(f"WITH {P.SQL_RECENT}, r AS (SELECT *, {P.SQL_AS_OF} + to_minutes(CAST(greatest(id % 4, CASE WHEN id % 3 = 0 THEN 3 ELSE 0 END) AS INTEGER)) AS stamp FROM recent)" + _SQL_VIEW.format(src="r"))
 def snk_atomic_link_view(spark, sf):
     """Links in four batches, a third of them once more in the last one, and the third batch delivered twice: aggregates of the touched clusters follow each batch."""
-    r = P.recent(spark, sf).select("cluster_id", F.col("id").alias("article_id"), "bias", "published_at")
+    r = staged(P.recent(spark, sf).select("cluster_id", F.col("id").alias("article_id"), "bias", "published_at"), "links")  # ids are digests: made once, not for every batch
     view, deal = V.LinkedClusters(spark, scratch(spark, "view")).create(), F.col("article_id") % 4
     for epoch in (0, 1, 2, 2, 3):
         batch = r.filter((deal == epoch) | (F.col("article_id") % 3 == 0) if epoch == 3 else deal == epoch)
