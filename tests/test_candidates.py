@@ -46,3 +46,17 @@ def test_candidates_are_counted_not_paired(spark):
     assert {(r.id, r.cluster_id, r.weight, r.place) for r in got.collect()} == want
     counted = C.candidates(frame(articles, "id"), frame(members, "cluster_id"), n=5)._jdf.queryExecution().optimizedPlan().toString()
     assert counted.count("Join") == 1  # fingerprints meet in a join, entities in none
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_articles_meet_by_two_entities(spark, least):
+    from datetime import datetime, timedelta
+
+    rng = random.Random(least)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=rng.randrange(130)), sorted(rng.sample("abcdefghij", rng.randrange(6)))) for i in range(80)] + [(90, datetime(2024, 1, 2), None)]
+    want = {(i, j, n) for i, t, x in rows for j, u, y in rows if i < j and abs(t - u) <= timedelta(hours=48) and (n := len({*(x or [])} & {*(y or [])})) >= least}
+    got = C.entity_pairs(spark.createDataFrame(rows, "id long, published_at timestamp, entities array<string>"), least)
+    assert {tuple(r) for r in got.collect()} == want
+    if least > 1:  # one hot entity that all hold makes no rows that are dropped afterwards
+        hot = spark.createDataFrame([(i, datetime(2024, 1, 1), ["hot", f"e{i}"]) for i in range(300)], "id long, published_at timestamp, entities array<string>")
+        assert C.entity_pairs(hot, least).isEmpty()
