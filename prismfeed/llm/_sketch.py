@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismfeed.llm._tables import keep
+
 _BLOCK_BITS = 16
 _BLOCK = 1 << _BLOCK_BITS
 #: Cells that a task gathers before it merges them.
@@ -128,7 +130,8 @@ def build(df: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.
 
     parts = df.mapInArrow(run, "block long, cells binary, counts binary")
     blocks = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block long, planes array<binary>")
-    return Planes(width, depth, levels, blocks.toLocalIterator())  # depth * width / 8 bytes a level
+    # depth * width / 8 bytes a level. Read from the few splits of a table: straight from the shuffle, each of its partitions would be a job of the driver's
+    return Planes(width, depth, levels, keep(blocks, "sketch").toLocalIterator())
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:

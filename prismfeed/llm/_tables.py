@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from prismfeed.staging import scratch
+from prismfeed.staging import freed, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,7 @@ def keep(df: DataFrame, label: str, free: bool = True) -> DataFrame:
     df.write.parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     if free:
-        df.sparkSession.sparkContext._jvm.System.gc()
+        freed(df.sparkSession)
     return kept
 
 

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,12 +108,14 @@ class Lattice:
         prob = np.full((self.size, n_lang), 1.0 / self.size)
         if not len(words):
             return prob
-        parts = [(self.arcs(words[at : at + FIT_WORDS]), counts[at : at + FIT_WORDS]) for at in range(0, len(words), FIT_WORDS)]
+        # kept in few bytes an arc: words of a part and letters of a word fit in 16 bits, pieces in 32
+        packed = lambda arcs: [x.astype(t) for x, t in zip(arcs, (np.int16, np.int16, np.int16, np.int32, np.int16), strict=True)]
+        parts = [(packed(self.arcs(words[at : at + FIT_WORDS])), counts[at : at + FIT_WORDS]) for at in range(0, len(words), FIT_WORDS)]
         for _ in range(rounds):
             prob[0] = _UNKNOWN
             expected = np.zeros((self.size, n_lang))
-            for arcs, n in parts:
-                w, b, e, p, lengths = arcs
+            for held, n in parts:
+                arcs = w, b, e, p, lengths = tuple(x.astype(np.int64) for x in held)
                 by_arc = prob[p]
                 alpha = self.forward(arcs, by_arc)
                 back = lengths[w]
@@ -207,12 +210,12 @@ def train(labelled: DataFrame, vocabulary: str, lang_col: str = "lang", text_col
         yield pa.RecordBatch.from_pydict({"l": [k[0] for k in found], "w": [k[1] for k in found], "n": [*found.values()]}, pa.schema([("l", pa.string()), ("w", pa.string()), ("n", pa.int64())]))
 
     counted = picked.mapInArrow(run, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
-    found = counted.collect()  # words of the sample: bounded by rows, not by the corpus
-    words = sorted({r.w for r in found})
-    spot, column = {x: i for i, x in enumerate(words)}, {x: i for i, x in enumerate(langs)}
+    found = counted.toArrow()  # words of the sample: bounded by rows, not by the corpus; no object of the driver's for each
+    words = pc.unique(found.column("w")).sort()
     counts = np.zeros((len(words), len(langs)))
-    for r in found:
-        counts[spot[r.w], column[r.l]] = r.n
+    counts[pc.index_in(found.column("w"), words).to_numpy(), pc.index_in(found.column("l"), pa.array(langs, pa.string())).to_numpy()] = found.column("n").to_numpy()
+    words = words.to_pylist()
+    del found
     return langs, lattice.fit(words, counts)
 
 

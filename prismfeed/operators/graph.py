@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismfeed.staging import staged
+from prismfeed.staging import freed, staged
 
 
 def downward(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,9 @@ def hooked(known: DataFrame) -> DataFrame:
     # small star: smaller neighbours, and the node itself, point to the smallest of them
     small_min = large.groupBy(F.struct("a").alias("k")).agg(F.min("b").alias("m")).select("k.a", "m")
     small = large.join(small_min, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_min.select("a", F.col("m").alias("b"))).distinct()
-    return staged(small, "edges")
+    out = staged(small, "edges")
+    freed(out.sparkSession)
+    return out
 
 
 def settled(known: DataFrame) -> bool:
