@@ -60,3 +60,14 @@ def test_articles_meet_by_two_entities(spark, least):
     if least > 1:  # one hot entity that all hold makes no rows that are dropped afterwards
         hot = spark.createDataFrame([(i, datetime(2024, 1, 1), ["hot", f"e{i}"]) for i in range(300)], "id long, published_at timestamp, entities array<string>")
         assert C.entity_pairs(hot, least).isEmpty()
+
+
+def test_top_clusters_of_articles_read_entities_alone(spark, monkeypatch):
+    from prismfeed.plans.catalog import QUERIES
+
+    def unasked(*_):
+        raise AssertionError("fingerprints and signatures are not asked for")
+
+    monkeypatch.setattr(C, "features", unasked)
+    got = QUERIES["jn_entity_top20"](spark, "/root/testdata/sf0.001").collect()
+    assert got and all(r.shared >= C.SHARED for r in got)
