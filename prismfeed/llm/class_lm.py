@@ -2,40 +2,44 @@
 
 Exchange clustering assigns words to classes so that the mutual information of
 adjacent classes grows. The SEED most frequent words are exchanged until they
-settle; the others are inserted, the most frequent first, each into the class of
+settle; all others are inserted, the most frequent first, each into the class of
 the greatest gain, in rounds of GROWTH times as many words. The words of a round
 are decided on executors from their counts with classes; words without a class
 yet count as one open class. The end of a text has a class of its own. A text's
 probability is the product of class transitions and word emissions.
 
 All counts cover all training texts. Only tables of bounded size reach the
-driver or are broadcast: the HEAD_WORDS most frequent words, the bigrams of the
-SEED most frequent, the transitions of classes. What is known of all other
-words stays in a distributed table, which meets the rare tokens of the texts in
-a join. Words are told apart by 64-bit hashes: among a
+driver or are broadcast: the HELD_WORDS most frequent words, the bigrams of the
+SEED most frequent, the transitions of classes. All other words are inserted by
+the same rounds, but their neighbours and classes stay in distributed tables,
+which meet the rare tokens of the texts in joins: how many words are broadcast
+changes no class. Words are told apart by 64-bit hashes: among a
 thousand million different words one pair is expected to collide with 3 in 100.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from prismfeed.llm._tables import keep
 from prismfeed.llm._words import Words, word_tables
 
-HEAD_WORDS, SEED, CLASSES, SWEEPS = 1 << 20, 1024, 64, 4
+HELD_WORDS, SEED, CLASSES, SWEEPS = 1 << 20, 1024, 64, 4
 #: How many times as many words have a class after each round of insertions.
 GROWTH = 4
 #: Weight of the class distribution in each transition distribution.
 PULL = 5.0
 #: Distinct words that a task gathers before it hands them on.
 _GATHER = 1 << 20
+#: Words that are decided in one group.
+_DECIDED = 4096
 #: The hash that stands for the end of a text.
 END = np.uint64(0)
 
@@ -95,15 +99,28 @@ def _arrays(df: DataFrame) -> np.ndarray:
     return _unpacked(df.mapInArrow(run, "b binary"))
 
 
-def _least_count(sizes: list[Row], most: int) -> int:
-    """The least count c such that at most `most` words have c or more. sizes: (c, words), a row for each count."""
-    seen, least = 0, 1 << 62
+def _from(counts: DataFrame, sizes: list[Row], rank: int) -> Column:
+    """Whether a word of counts comes at this rank, from 0, or later: words are in order of falling counts, equal ones of hashes.
+
+    sizes: (c, n), a row for each count. The hash at the cut is found by a histogram and the words of one of its bins.
+    """
+    seen = 0
     for r in sorted(sizes, key=lambda r: -r.c):
+        if seen + r.n > rank:
+            break
         seen += r.n
-        if seen > most:
+    less, place = F.col("c") < r.c, rank - seen
+    order = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))  # signed, in the order of the unsigned hashes
+    if not place:
+        return less | (F.col("c") == r.c)
+    equal, cut = counts.filter(F.col("c") == r.c).select(order.alias("u")).withColumn("bin", F.shiftright("u", 52)), 0
+    for x in sorted(equal.groupBy("bin").agg(F.count("*").alias("n")).collect()):
+        if x.n > place:
+            some, _ = _arrays(equal.filter(F.col("bin") == x.bin).select("u", "bin"))
+            cut = int(np.sort(some)[place])
             break
-        least = r.c
-    return least
+        place -= x.n
+    return less | ((F.col("c") == r.c) & (order >= F.lit(cut)))
 
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
@@ -153,34 +170,37 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
 
 @dataclass
 class ClassModel:
-    """What scoring needs of the training texts; `counts` is the distributed table of all words."""
+    """What scoring needs of the training texts; `words` is the distributed table of the words outside head."""
 
     total: int
     distinct: int
     head: np.ndarray  # hashes of the frequent words, sorted
     head_count: np.ndarray
     head_class: np.ndarray
-    rest_class: int  # of all words outside head, unseen ones as well
-    least: int
+    rest_class: int  # of words without a class, unseen ones as well
     log_step: np.ndarray  # (classes, classes) log10 of transitions
     log_emit: np.ndarray  # log10 emission of each head word
-    rest_size: int  # counts of words outside head, and one for each of them and for unseen words
+    class_size: np.ndarray  # counts of the words of each class
+    rest_size: int  # counts of words without a class, and one for each of them and for unseen words
     end_class: int
-    counts: DataFrame
+    words: DataFrame  # (h, c, k, e): hash, count, class, log10 emission
 
 
 def _ranked(df: DataFrame, text_col: str, place: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """Rows (r): the int32 ranks of all tokens of some whole texts, each text ended by END; len(place) for words outside place."""
+    """Rows (r, t): the int32 ranks of all tokens of some whole texts, each text ended by END; len(place) for words outside place, whose hashes are t."""
     held = df.sparkSession.sparkContext.broadcast((place, rank.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, rank = held.value
         for b in batches:
             for w in word_tables(b.column(0), lower=True):
-                r = named(tokens(w)[0], place, rank, len(place)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary())], names=["r"])
+                h = tokens(w)[0]
+                r = named(h, place, rank, len(place)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (r, h[r == len(place)])], names=["r", "t"])
 
-    return keep(df.select(text_col).mapInArrow(run, "r binary"), "lm-ranks")
+    out = keep(df.select(text_col).mapInArrow(run, "r binary, t binary"), "lm-ranks")
+    held.unpersist()
+    return out
 
 
 def _bigrams(ranked: DataFrame, names: np.ndarray, n: int, end: int) -> np.ndarray:
@@ -287,13 +307,85 @@ def _inserted(ranked: DataFrame, names: np.ndarray, lo: int, hi: int, classes: i
         return pa.table({"b": pa.array([np.stack([w, of]).tobytes()], pa.binary())})  # packed here: another pass would double the Python workers
 
     # words go to groups by rank modulo their number, so that frequent words don't gather in one; one shuffle serves the sums and the groups
-    group = F.pmod(F.floor(F.col("p") / span), F.lit(max(64, (hi - lo) // 4096)))
+    group = F.pmod(F.floor(F.col("p") / span), F.lit(max(64, (hi - lo) // _DECIDED)))
     counted = ranked.mapInArrow(count, "p long, n long").withColumn("g", group).repartition("g")
     summed = counted.groupBy("g", "p").agg(F.sum("n").alias("n"))
     words, of = _unpacked(summed.groupBy("g").applyInArrow(decide, "b binary"))  # hi - lo rows
     return words + lo, of
 
 
+def _neighbours(ranked: DataFrame, names: np.ndarray, classes: int) -> DataFrame:
+    """Rows (h, p, o), one for each neighbour of each word outside the head, by columns as in `_inserted`.
+
+    names: class of each rank, as there. o is null where p is the whole column; with another
+    word o from outside the head, p is 0 before and k after, and o's name is to be added.
+    """
+    held, k = ranked.sparkSession.sparkContext.broadcast(names.astype(np.int16)), classes + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = held.value
+        for b in batches:
+            for r, t in zip(*b.columns, strict=True):
+                now, h = np.frombuffer(r.as_py(), np.int32), np.frombuffer(t.as_py(), np.int64)
+                name, at = names[now].astype(np.int32), np.flatnonzero(now == len(names) - 1)  # never the last token, which is END
+                follows = np.zeros(len(at) + 1, bool)  # whether the word before is from outside, too
+                follows[1:-1] = np.diff(at) == 1
+                same = follows.copy()
+                same[1:-1] &= h[1:] == h[:-1]
+                left, right = ~follows[:-1], ~follows[1:]
+                pair = np.flatnonzero(follows & ~same)
+                word = np.concatenate([h[left], h[right], h[same[:-1]], h[pair], h[pair - 1]])
+                column = np.concatenate([np.where(at > 0, name[at - 1], classes)[left], k + name[at[right] + 1], np.full(same.sum(), 2 * k), np.zeros(len(pair)), np.full(len(pair), k)]).astype(np.int32)
+                other = np.concatenate([np.zeros(len(word) - 2 * len(pair), np.int64), h[pair - 1], h[pair]])
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(column), pa.array(other, mask=np.arange(len(word)) < len(word) - 2 * len(pair))], names=["h", "p", "o"])
+
+    return ranked.mapInArrow(run, "h long, p int, o long")
+
+
+def _insert_rest(ranked: DataFrame, names: np.ndarray, later: list[Column], rounds: list[int], classes: int) -> tuple[DataFrame, np.ndarray]:
+    """Counts and classes (h, c, k) of the words outside the head, and the class bigrams of all tokens.
+
+    The words of round i, rounds[i] in number, are inserted once those of the rounds before
+    have their classes, words beyond the last round stay open. later[i]: whether a word (h, c)
+    comes after round i. names: class of each rank.
+    """
+    sc, k = ranked.sparkSession.sparkContext, classes + 2
+    span, open_ = 2 * k + 1, classes + 1
+    within = _bigrams(ranked.select("r"), np.append(names[:-1], -1), k, classes)
+    count = F.count_if(F.when(F.col("o").isNull(), (F.col("p") < k) | (F.col("p") == 2 * k)).otherwise(F.col("p") == 0))  # each token has one neighbour before
+    edges = _neighbours(ranked, names, classes).withColumn("c", count.over(Window.partitionBy("h")))  # left out of the plan where one round takes all
+    edges = keep(edges.select("h", "p", "o", sum((x.cast("int") for x in later), F.lit(0)).alias("round")), "lm-neighbours")
+    placed = edges.filter(F.lit(False)).select("h", F.lit(0).cast("long").alias("c"), F.lit(0).alias("k"))
+
+    def seen() -> DataFrame:
+        """Neighbours by whole columns; first: each bigram of two words outside the head comes once with it."""
+        known = placed.select(F.col("h").alias("o"), "k")  # nulls would meet in one task of the join
+        outside = edges.filter("o IS NOT NULL").join(known, "o", "left")
+        outside = outside.select("h", "round", (F.col("p") + F.coalesce("k", F.lit(open_))).alias("p"), (F.col("p") == 0).alias("first"))
+        return edges.filter("o IS NULL").select("h", "round", "p", F.lit(True).alias("first")).union(outside)
+
+    def bigrams() -> np.ndarray:
+        cells = seen().filter("first").join(placed, "h", "left").groupBy(F.coalesce("k", F.lit(open_)).alias("k"), "p").agg(F.count("*").alias("n")).collect()
+        out = within.copy()
+        for r in cells:  # at most k * span rows
+            out[(r.p, r.k) if r.p < k else (r.k, r.p - k) if r.p < 2 * k else (r.k, r.k)] += r.n
+        return out
+
+    def decider(table: Broadcast) -> Callable[[pa.Table], pa.Table]:
+        def decide(t: pa.Table) -> pa.Table:
+            w, at = np.unique(t.column("h").to_numpy(), return_inverse=True)
+            full = np.bincount(at * span + t.column("p").to_numpy(), minlength=len(w) * span).reshape(-1, span).astype(np.float64)
+            of = best_classes(table.value, full[:, :k], full[:, k : 2 * k], full[:, 2 * k], classes)
+            return pa.table({"h": w, "c": (full[:, :k].sum(axis=1) + full[:, 2 * k]).astype(np.int64), "k": pa.array(of, pa.int32())})
+
+        return decide
+
+    for i, size in enumerate(rounds):
+        fresh = seen().filter(F.col("round") == i).select(F.pmod("h", F.lit(max(64, size // _DECIDED))).alias("g"), "h", "p")
+        placed = placed.union(keep(fresh.groupBy("g").applyInArrow(decider(sc.broadcast(bigrams())), "h long, c long, k int"), "lm-classes"))
+    return placed, bigrams()
+
+
 def named(h: np.ndarray, place: np.ndarray, names: np.ndarray, other: int) -> np.ndarray:
     if not len(place):
         return np.full(len(h), other, np.int64)
@@ -302,50 +394,69 @@ def named(h: np.ndarray, place: np.ndarray, names: np.ndarray, other: int) -> np
     return np.where(place[at] == h, names[at], other)
 
 
-def fit(training: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS, clustered: int = SEED, classes: int = CLASSES, sweeps: int = SWEEPS) -> ClassModel:
-    """Count, cluster and smooth; `clustered` words are exchanged in sweeps, all others of the head inserted. Reads the training
-    texts twice and then keeps the ranks of their tokens; nothing unbounded leaves the executors."""
+def fit(
+    training: DataFrame, text_col: str = "text", head_words: int | None = None, clustered: int = SEED, classes: int = CLASSES, sweeps: int = SWEEPS, held_words: int = HELD_WORDS
+) -> ClassModel:
+    """Count, cluster and smooth; `clustered` words are exchanged in sweeps, all others inserted. Reads the training texts twice and
+    then keeps the ranks of their tokens; nothing unbounded leaves the executors. Every word has a class unless head_words says how
+    many of the most frequent ones shall have one; held_words bounds what is broadcast and changes no class."""
     counts = keep(word_counts(training, text_col), "lm-counts")
     sizes = counts.groupBy("c").agg(F.count("*").alias("n")).collect()  # distinct counts: about the root of the corpus size
     total, distinct = sum(r.c * r.n for r in sizes), sum(r.n for r in sizes)
-    least = _least_count(sizes, head_words)
-    head, c = _arrays(counts.filter(F.col("c") >= least).select("h", "c"))
+    limit = distinct if head_words is None else min(head_words, distinct)
+    seed = size = min(clustered, limit)
+    while size < min(limit, held_words) and (size * GROWTH <= held_words or limit <= held_words):
+        size = min(limit, size * GROWTH)  # the head ends where a round ends
+    cuts = [size]
+    while cuts[-1] < limit:
+        cuts.append(min(limit, cuts[-1] * GROWTH))
+    beyond = [_from(counts, sizes, x) if x < distinct else F.lit(False) for x in cuts]
+    outside = beyond[0] & (F.col("h") != int(END))
+    head, c = _arrays(counts.filter(~outside).select("h", "c"))
     head = head.view(np.uint64)
     order = np.argsort(head)
     head, c = head[order], c[order]
-    size = len(head)
-    rank = np.empty(size, np.int64)
-    rank[np.lexsort((head, -c))] = np.arange(size)
+    held = len(head)  # size, and one if the end of a text is rarer
+    rank = np.empty(held, np.int64)
+    rank[np.lexsort((head, -c))] = np.arange(held)
     end = named(np.array([END]), head, rank, -1)[0]
-    rest, end_class = classes, classes + 1
-    klass = np.full(size + 1, rest)  # by rank, words outside the head last
-    if size:
-        ranked, seed = _ranked(training, text_col, head, rank), min(clustered, size)
-        names = np.append(np.arange(size), -1)
+    at = np.full(held + 1, classes + 1)  # by rank, words outside the head last
+    bigrams, words = np.zeros((classes + 2, classes + 2), np.int64), counts.filter(F.lit(False)).select("h", "c", F.lit(0).alias("k"))
+    if held:
+        ranked = _ranked(training, text_col, head, rank)
+        names = np.append(np.arange(held), -1)
         names[seed:] = -1
-        at = np.full(size + 1, classes + 1)
-        at[:seed] = exchange(_bigrams(ranked, names, seed, int(end) if end < seed else -1), classes, sweeps)
-        if end >= 0:
-            at[end] = classes
+        at[:seed] = exchange(_bigrams(ranked.select("r"), names, seed, int(end) if end < seed else -1), classes, sweeps)
+        at[end] = classes
         lo = seed
         while lo < size:
             hi = min(size, lo * GROWTH)
-            words, of = _inserted(ranked, at, lo, hi, classes)
-            at[words] = of
+            some, of = _inserted(ranked.select("r"), at, lo, hi, classes)
+            at[some] = of
             lo = hi
-        klass[:size] = at[:size]
-    if end >= 0:
-        klass[end] = end_class
-    used = np.unique(np.concatenate([klass, [rest, end_class]]))
-    klass, rest, end_class = (np.searchsorted(used, x) for x in (klass, rest, end_class))
-    n = len(used)
-    steps = _bigrams(ranked, klass, n, int(end_class)) if size else np.zeros((n, n), np.int64)
-    klass = klass[rank]
+        if held < distinct:
+            placed, bigrams = _insert_rest(ranked, at, beyond[1:], np.diff(cuts).tolist(), classes)
+            words = placed.union(counts.filter(outside & beyond[-1]).select("h", "c", F.lit(None).cast("int")))
+        else:
+            bigrams = _bigrams(ranked.select("r"), at, classes + 2, classes)
+    more = words.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()  # a row for each class
+    free = sum(r.c + r.n for r in more if r.k is None)
+    used = np.unique([*at[at < classes], *(r.k for r in more if r.k is not None)]).astype(np.int64)
+    kept = np.concatenate([used, [classes + 1, classes]])
+    n = len(kept)
+    rest, end_class, place = n - 2, n - 1, np.zeros(classes + 2, np.int64)
+    place[kept] = np.arange(n)
+    klass, steps = place[at[:held]][rank], bigrams[np.ix_(kept, kept)]
     unigram = (steps.sum(axis=0) + 1.0) / (steps.sum() + n)
     log_step = np.log10((steps + PULL * unigram) / (steps.sum(axis=1, keepdims=True) + PULL))
     of_class = np.bincount(klass, c, n)
-    rest_size = int(total - c.sum() + (distinct - len(head)) + 1)
-    return ClassModel(total, distinct, head, c, klass, int(rest), least, log_step, np.log10(c / np.maximum(of_class[klass], 1)), rest_size, int(end_class), counts)
+    for r in more:
+        of_class[rest if r.k is None else place[r.k]] += r.c
+    rest_size = int(free + 1)
+    known = training.sparkSession.createDataFrame(pa.table({"k": used, "j": place[used], "size": of_class[place[used]].astype(np.float64)}))
+    emit = F.log10(F.when(F.col("k").isNull(), (F.col("c") + 1.0) / rest_size).otherwise(F.col("c") / F.col("size")))
+    words = words.join(F.broadcast(known), "k", "left").select("h", "c", F.coalesce("j", F.lit(rest)).alias("k"), emit.alias("e"))
+    return ClassModel(total, distinct, head, c, klass, rest, log_step, np.log10(c / np.maximum(of_class[klass], 1)), of_class, rest_size, end_class, words)
 
 
 def score_texts(df: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,14 +465,22 @@ def score_texts(df: DataFrame, model: ClassModel, id_col: str = "doc_id", text_c
     base_score is the add-one unigram and score the class model's log10
     probability of the text. A null or empty text has the end token only; with
     nothing to learn from, every token is unseen. Rows are told apart by a number
-    of their own, so repeated and null ids are kept. The rare tokens of a text are
-    summed per row before and after they meet the counts. A very long text is
-    scored whole; an empty table gives an empty result. Other columns are not read.
+    of their own, so repeated and null ids are kept. The tokens outside the head,
+    with the classes beside them, and the bigrams of two such tokens are summed per
+    row before and after they meet the table of words. A very long text is scored
+    whole; an empty table gives an empty result. Other columns are not read.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    held = spark.sparkContext.broadcast((model.head, model.head_count, model.head_class.astype(np.int16), model.log_step, np.bincount(model.head_class, model.head_count, len(model.log_step))))
+    held = spark.sparkContext.broadcast((model.head, model.head_count, model.head_class.astype(np.int16), model.log_step, model.class_size))
     floor, rest, end_class = model.total + model.distinct + 1, model.rest_class, model.end_class
+    other = -1 if len(model.head) < model.distinct else rest  # the class of tokens outside the head, where it is known
+
+    def lists(text: np.ndarray, n: int, **columns: np.ndarray) -> pa.Array:
+        """For each of the texts 0..n-1, its different values of the columns and how often they come."""
+        key, count = np.unique(np.stack([text, *columns.values()]), axis=1, return_counts=True) if len(text) else (np.zeros((1 + len(columns), 0), np.int64), text)
+        values = pa.StructArray.from_arrays([pa.array(x) for x in (*key[1:], count)], names=[*columns, "n"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(key[0], np.arange(n + 1)).astype(np.int32)), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, count, klass, step, of_class = held.value
@@ -371,32 +490,47 @@ def score_texts(df: DataFrame, model: ClassModel, id_col: str = "doc_id", text_c
                 h, begin = tokens(w)
                 at = named(h, head, spots, -1)
                 known = at >= 0
-                c = np.full(len(h), rest, np.int64)
+                c = np.full(len(h), other, np.int64)
                 c[known] = klass[at[known]]
-                before = np.empty_like(c)
-                before[1:] = c[:-1]
-                before[begin[:-1]] = end_class
-                base, score = np.zeros(len(h)), step[before, c]
+                before, after = np.empty_like(c), np.empty_like(c)
+                before[1:], after[:-1] = c[:-1], c[1:]
+                before[begin[:-1]], after[begin[1:] - 1] = end_class, -1
+                base, score = np.zeros(len(h)), np.zeros(len(h))
+                met = (before >= 0) & (c >= 0)
+                score[met] = step[before[met], c[met]]
                 held_count = count[at[known]]
                 base[known] = np.log10((held_count + 1.0) / floor)
                 score[known] += np.log10(held_count / of_class[c[known]])
                 sums = [np.add.reduceat(x, begin[:-1]) for x in (known.astype(np.int64), base, score)]
-                text = np.repeat(np.arange(w.hi - w.lo), np.diff(begin))
-                key, n = np.unique(np.stack([text[~known], h[~known].view(np.int64)]), axis=1, return_counts=True) if not known.all() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-                rare = pa.StructArray.from_arrays([pa.array(key[1]), pa.array(n)], names=["h", "n"])
-                edges = np.searchsorted(key[0], np.arange(w.hi - w.lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(w.lo, w.hi - w.lo), pa.array(np.diff(begin)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(edges), rare)], names=["id", "n_tokens", "n_known", "base", "score", "rare"]
-                )
-
-    shape = f"id {kind}, n_tokens long, n_known long, base double, score double, rare array<struct<h:long,n:long>>"
+                n, s = w.hi - w.lo, h.view(np.int64)
+                text = np.repeat(np.arange(n), np.diff(begin))
+                beside = (~known) & (c < 0)
+                rare = lists(text[~known], n, h=s[~known], x=np.where(beside, before, -1)[~known], y=np.where(beside, after, -1)[~known])
+                two = np.flatnonzero(beside & (before < 0))
+                pairs = lists(text[two], n, a=s[two - 1], b=s[two])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.lo, n), pa.array(np.diff(begin)), *map(pa.array, sums), rare, pairs], names=["id", "n_tokens", "n_known", "base", "score", "rare", "pairs"])
+
+    shape = f"id {kind}, n_tokens long, n_known long, base double, score double, rare array<struct<h:long,x:long,y:long,n:long>>, pairs array<struct<a:long,b:long,n:long>>"
     rows = keep(df.select(id_col, text_col).mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.n")
-    counts = model.counts.filter(F.col("c") < model.least)
-    count: Column = F.coalesce("c", F.lit(0))
-    met = rare.join(counts, "h", "left").select("row", (F.col("n") * (count > 0).cast("long")).alias("k"), (F.col("n") * F.log10((count + 1.0) / floor)).alias("b"), (F.col("n") * F.log10((count + 1.0) / model.rest_size)).alias("s"))
+    size = len(model.log_step)
+    steps = F.broadcast(spark.createDataFrame(pa.table({"i": np.repeat(np.arange(size), size), "j": np.tile(np.arange(size), size), "step": model.log_step.ravel()})))
+    count, unseen = F.coalesce("c", F.lit(0)), F.lit(-float(np.log10(model.rest_size)))
+
+    def stepped(df: DataFrame, i: str, j: str, name: str) -> DataFrame:
+        return df.join(steps.select(F.col("i").alias(i), F.col("j").alias(j), F.col("step").alias(name)), [i, j], "left")
+
+    met = rows.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(model.words, "h", "left").withColumn("k", F.coalesce("k", F.lit(rest)))
+    met = stepped(stepped(met, "x", "k", "into"), "k", "y", "out")
+    zero = F.lit(0.0)
+    score = F.coalesce("e", unseen) + F.coalesce("into", zero) + F.coalesce("out", zero)
+    met = met.select("row", (F.col("n") * (count > 0).cast("long")).alias("k"), (F.col("n") * F.log10((count + 1.0) / floor)).alias("b"), (F.col("n") * score).alias("s"))
+    if other < 0:
+        both = rows.select("row", F.explode("pairs").alias("r")).select("row", "r.*")
+        for side, name in (("a", "i"), ("b", "j")):
+            both = both.join(model.words.select(F.col("h").alias(side), F.col("k").alias(name)), side, "left").withColumn(name, F.coalesce(name, F.lit(rest)))
+        met = met.union(both.join(steps, ["i", "j"]).select("row", F.lit(0).cast("long"), zero, F.col("n") * F.col("step")))
     more = met.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
     plus = lambda x, y: F.col(x) + F.coalesce(F.col(y), F.lit(0))
-    return rows.drop("rare").join(more, "row", "left").select(
+    return rows.drop("rare", "pairs").join(more, "row", "left").select(
         F.col("id").alias(id_col), "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("score", "s").alias("score")
     )

@@ -233,6 +233,33 @@ def test_rare_words_are_clustered(spark):
     assert all(len(x) == 1 for x in of.values()) and len({*map(tuple, of.values())}) == 3
 
 
+def test_classes_do_not_depend_on_how_many_words_are_broadcast(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{int(rng.zipf(1.3)) % 5000}"
+    rows = [(i, " ".join(x for _ in range(int(rng.integers(0, 30))) for x in [word()] * int(rng.integers(1, 3)))) for i in range(700)]
+    rows += [(700, None), (701, "new1 new1 w1 new2 w4999 new1"), (702, "w4998 w4998")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learn = df.filter("doc_id < 600")
+    counts = Counter(x for i, t in rows if i < 600 for x in [*WORD.findall(t), None])
+    whole = fit(learn, clustered=16, classes=5)
+    want = {r.doc_id: r for r in score_texts(df, whole).collect()}
+    every = dict(zip(whole.head.view(np.int64).tolist(), whole.head_class.tolist(), strict=True))
+    assert len(every) == len(counts) > 500
+    for held in (300, 20):  # the first leaves one round and a part, the second all of them
+        model = fit(learn, clustered=16, classes=5, held_words=held)
+        assert len(model.head) == {300: 256, 20: 16}[held]
+        far = {r.h: r for r in model.words.collect()}
+        assert {**dict(zip(model.head.view(np.int64).tolist(), model.head_class.tolist(), strict=True)), **{h: r.k for h, r in far.items()}} == every
+        assert np.array_equal(model.log_step, whole.log_step) and model.rest_size == whole.rest_size == 1
+        mass = np.bincount(model.head_class, 10**model.log_emit, len(model.log_step)) + np.bincount([r.k for r in far.values()], [10**r.e for r in far.values()], len(model.log_step))
+        assert np.allclose(mass[np.unique(whole.head_class)], 1)
+        got = {r.doc_id: r for r in score_texts(df, model).collect()}
+        assert len(got) == len(rows)
+        for i, r in got.items():
+            assert (r.n_tokens, r.n_known) == (want[i].n_tokens, want[i].n_known)
+            assert math.isclose(r.base_score, want[i].base_score, rel_tol=1e-9) and math.isclose(r.score, want[i].score, rel_tol=1e-9)
+
+
 def test_language_id_held_out(spark):
     lang = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
     got = Q.op5_language_id(spark, SF).collect()
