@@ -56,29 +56,36 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(keys, return_inverse=True)
-    return u, np.bincount(inverse, counts, len(u)).astype(np.int64)
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of all parts, sorted, and the sums of their counts; empties the list, so that no part is held beside its copy."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    del order
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first)
 
 
 def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (h, c) for every distinct token of all texts; counts are merged in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        parts, size = [none], 0
         for b in batches:
             for w in word_tables(b.column(0), lower=True):
-                pending.append(np.unique(tokens(w)[0], return_counts=True))
-                size += len(pending[-1][0])
+                parts.append(np.unique(tokens(w)[0], return_counts=True))
+                size += len(parts[-1][0])
                 if size > _GATHER:
-                    keys, counts = _summed(np.concatenate([keys, *(p[0] for p in pending)]), np.concatenate([counts, *(p[1] for p in pending)]))
-                    pending, size = [], 0
+                    keys, counts = _summed(parts)
+                    size = 0
                     if len(keys) > _GATHER:
                         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "c"])
-                        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, counts = _summed(np.concatenate([keys, *(p[0] for p in pending)]), np.concatenate([counts, *(p[1] for p in pending)]))
+                        keys, counts = none
+                    parts = [(keys, counts)]
+                    del keys, counts
+        keys, counts = _summed(parts)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "c"])
 
     return df.select(text_col).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -267,13 +274,8 @@ def _inserted(ranked: DataFrame, names: np.ndarray, lo: int, hi: int, classes: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = held.value
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            return _summed(np.concatenate([keys, *(p[0] for p in pending)]), np.concatenate([counts, *(p[1] for p in pending)]))
-
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts, size = [none], 0
         for b in batches:
             for r in b.column(0):
                 now = np.frombuffer(r.as_py(), np.int32).astype(np.int64)
@@ -287,15 +289,17 @@ def _inserted(ranked: DataFrame, names: np.ndarray, lo: int, hi: int, classes: i
                 left = at[~same[at]]
                 right = after[~same[after + 1]]
                 key = np.concatenate([(now[left] - lo) * span + before[~same[at]], (now[right] - lo) * span + k + name[right + 1], (now[at[same[at]]] - lo) * span + 2 * k])
-                pending.append(np.unique(key, return_counts=True))
-                size += len(pending[-1][0])
+                parts.append(np.unique(key, return_counts=True))
+                size += len(parts[-1][0])
                 if size > _GATHER:
-                    keys, counts = merged()
-                    pending, size = [], 0
+                    keys, counts = _summed(parts)
+                    size = 0
                     if len(keys) > _GATHER:
                         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["p", "n"])
-                        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, counts = merged()
+                        keys, counts = none
+                    parts = [(keys, counts)]
+                    del keys, counts
+        keys, counts = _summed(parts)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["p", "n"])
 
     def decide(t: pa.Table) -> pa.Table:
@@ -311,6 +315,8 @@ def _inserted(ranked: DataFrame, names: np.ndarray, lo: int, hi: int, classes: i
     counted = ranked.mapInArrow(count, "p long, n long").withColumn("g", group).repartition("g")
     summed = counted.groupBy("g", "p").agg(F.sum("n").alias("n"))
     words, of = _unpacked(summed.groupBy("g").applyInArrow(decide, "b binary"))  # hi - lo rows
+    held.unpersist()
+    table.unpersist()
     return words + lo, of
 
 
