@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from prismfeed.llm._tables import keep
 from prismfeed.llm._words import Words, word_tables
 
-HELD_WORDS, SEED, CLASSES, SWEEPS = 1 << 20, 1024, 64, 4
+HELD_WORDS, SEED, CLASSES, SWEEPS = 1 << 18, 1024, 64, 4
 #: How many times as many words have a class after each round of insertions.
 GROWTH = 4
 #: Weight of the class distribution in each transition distribution.
@@ -321,10 +321,10 @@ def _inserted(ranked: DataFrame, names: np.ndarray, lo: int, hi: int, classes: i
 
 
 def _neighbours(ranked: DataFrame, names: np.ndarray, classes: int) -> DataFrame:
-    """Rows (h, p, o), one for each neighbour of each word outside the head, by columns as in `_inserted`.
+    """Rows (h, x, y, a, b), one for each token of a word h outside the head: the columns, as in `_inserted`, of the tokens before and after it.
 
-    names: class of each rank, as there. o is null where p is the whole column; with another
-    word o from outside the head, p is 0 before and k after, and o's name is to be added.
+    names: class of each rank, as there. A word after itself is told by x alone, y is -1 before it.
+    a, b: the words before and after, where they are other ones from outside the head, which are open in x and y.
     """
     held, k = ranked.sparkSession.sparkContext.broadcast(names.astype(np.int16)), classes + 2
 
@@ -338,14 +338,31 @@ def _neighbours(ranked: DataFrame, names: np.ndarray, classes: int) -> DataFrame
                 follows[1:-1] = np.diff(at) == 1
                 same = follows.copy()
                 same[1:-1] &= h[1:] == h[:-1]
-                left, right = ~follows[:-1], ~follows[1:]
-                pair = np.flatnonzero(follows & ~same)
-                word = np.concatenate([h[left], h[right], h[same[:-1]], h[pair], h[pair - 1]])
-                column = np.concatenate([np.where(at > 0, name[at - 1], classes)[left], k + name[at[right] + 1], np.full(same.sum(), 2 * k), np.zeros(len(pair)), np.full(len(pair), k)]).astype(np.int32)
-                other = np.concatenate([np.zeros(len(word) - 2 * len(pair), np.int64), h[pair - 1], h[pair]])
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(column), pa.array(other, mask=np.arange(len(word)) < len(word) - 2 * len(pair))], names=["h", "p", "o"])
+                x = np.where(same[:-1], 2 * k, np.where(at > 0, name[at - 1], classes)).astype(np.int32)
+                y = np.where(same[1:], -1, k + name[at + 1]).astype(np.int32)
+                other = follows & ~same
+                outside = pa.array(np.roll(h, 1), mask=~other[:-1]), pa.array(np.roll(h, -1), mask=~other[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(y), *outside], names=["h", "x", "y", "a", "b"])
 
-    return ranked.mapInArrow(run, "h long, p int, o long")
+    return ranked.mapInArrow(run, "h long, x int, y int, a long, b long")
+
+
+def _cells(packed: DataFrame, n: int) -> np.ndarray:
+    """The sums of the cells 0..n-1, whose pairs of places and counts are packed in the rows of a column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, np.int64)
+        for b in batches:
+            for r in b.column(0):
+                place, count = np.frombuffer(r.as_py(), np.int64).reshape(2, -1)
+                total[place] += count
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["p", "c"])
+
+    out = np.zeros(n, np.int64)
+    place, count = _arrays(packed.mapInArrow(run, "p long, c long").groupBy("p").agg(F.sum("c").alias("c")))  # at most n rows
+    out[place] = count
+    return out
 
 
 def _insert_rest(ranked: DataFrame, names: np.ndarray, later: list[Column], rounds: list[int], classes: int) -> tuple[DataFrame, np.ndarray]:
@@ -357,39 +374,54 @@ def _insert_rest(ranked: DataFrame, names: np.ndarray, later: list[Column], roun
     """
     sc, k = ranked.sparkSession.sparkContext, classes + 2
     span, open_ = 2 * k + 1, classes + 1
-    within = _bigrams(ranked.select("r"), np.append(names[:-1], -1), k, classes)
-    count = F.count_if(F.when(F.col("o").isNull(), (F.col("p") < k) | (F.col("p") == 2 * k)).otherwise(F.col("p") == 0))  # each token has one neighbour before
-    edges = _neighbours(ranked, names, classes).withColumn("c", count.over(Window.partitionBy("h")))  # left out of the plan where one round takes all
-    edges = keep(edges.select("h", "p", "o", sum((x.cast("int") for x in later), F.lit(0)).alias("round")), "lm-neighbours")
-    placed = edges.filter(F.lit(False)).select("h", F.lit(0).cast("long").alias("c"), F.lit(0).alias("k"))
-
-    def seen() -> DataFrame:
-        """Neighbours by whole columns; first: each bigram of two words outside the head comes once with it."""
-        known = placed.select(F.col("h").alias("o"), "k")  # nulls would meet in one task of the join
-        outside = edges.filter("o IS NOT NULL").join(known, "o", "left")
-        outside = outside.select("h", "round", (F.col("p") + F.coalesce("k", F.lit(open_))).alias("p"), (F.col("p") == 0).alias("first"))
-        return edges.filter("o IS NULL").select("h", "round", "p", F.lit(True).alias("first")).union(outside)
+    start = _bigrams(ranked.select("r"), names, k, classes)  # with all words outside the head open
+    near = _neighbours(ranked, names, classes).withColumn("c", F.count("*").over(Window.partitionBy("h")))  # left out of the plan where one round takes all
+    near = keep(near.select("h", "x", "y", "a", "b", sum((x.cast("int") for x in later), F.lit(0)).alias("round")), "lm-neighbours")
+    pairs = near.filter("a IS NOT NULL").select("a", "h")
+    placed = near.filter(F.lit(False)).select("h", F.lit(0).cast("long").alias("c"), F.lit(0).alias("k"), F.lit(b"").alias("b"))
+
+    def class_of(word: str, name: str) -> DataFrame:
+        return placed.select(F.col("h").alias(word), F.col("k").alias(name))
 
     def bigrams() -> np.ndarray:
-        cells = seen().filter("first").join(placed, "h", "left").groupBy(F.coalesce("k", F.lit(open_)).alias("k"), "p").agg(F.count("*").alias("n")).collect()
-        out = within.copy()
-        for r in cells:  # at most k * span rows
-            out[(r.p, r.k) if r.p < k else (r.k, r.p - k) if r.p < 2 * k else (r.k, r.k)] += r.n
+        """The class bigrams: what placed words have beside the head is summed by class where they are placed, pairs from outside meet their classes."""
+        out = start.copy()
+        for at, n in enumerate(_cells(placed.filter("b IS NOT NULL").select("b"), classes * span)):
+            i, p = divmod(at, span)
+            new, old = ((p, i), (p, open_)) if p < k else ((i, p - k), (open_, p - k)) if p < 2 * k else ((i, i), (open_, open_))
+            out[new] += n
+            out[old] -= n
+        both = pairs.join(class_of("a", "i"), "a", "left").join(class_of("h", "j"), "h", "left")
+        for r in both.groupBy(*(F.coalesce(x, F.lit(open_)).alias(x) for x in "ij")).agg(F.count("*").alias("n")).collect():  # at most k * k rows
+            out[r.i, r.j] += r.n
+            out[open_, open_] -= r.n
         return out
 
     def decider(table: Broadcast) -> Callable[[pa.Table], pa.Table]:
         def decide(t: pa.Table) -> pa.Table:
+            x, y, alone, ends = (t.column(c).to_numpy() for c in ("x", "y", "alone", "ends"))
             w, at = np.unique(t.column("h").to_numpy(), return_inverse=True)
-            full = np.bincount(at * span + t.column("p").to_numpy(), minlength=len(w) * span).reshape(-1, span).astype(np.float64)
+            column = lambda row, left, right: np.concatenate([(row * span + x)[left], (row * span + y)[right]])
+            full = np.bincount(column(at, slice(None), y >= 0), minlength=len(w) * span).reshape(-1, span).astype(np.float64)
             of = best_classes(table.value, full[:, :k], full[:, k : 2 * k], full[:, 2 * k], classes)
-            return pa.table({"h": w, "c": (full[:, :k].sum(axis=1) + full[:, 2 * k]).astype(np.int64), "k": pa.array(of, pa.int32())})
+            cells = np.stack(np.unique(column(of[at], alone, ends & (y >= 0)), return_counts=True))
+            packed = pa.array([cells.tobytes(), *[None] * (len(w) - 1)], pa.binary())
+            return pa.table({"h": w, "c": np.bincount(at), "k": pa.array(of, pa.int32()), "b": packed})
 
         return decide
 
     for i, size in enumerate(rounds):
-        fresh = seen().filter(F.col("round") == i).select(F.pmod("h", F.lit(max(64, size // _DECIDED))).alias("g"), "h", "p")
-        placed = placed.union(keep(fresh.groupBy("g").applyInArrow(decider(sc.broadcast(bigrams())), "h long, c long, k int"), "lm-classes"))
-    return placed, bigrams()
+        table = sc.broadcast(bigrams() if i else start)
+        fresh, beside = near.filter(F.col("round") == i), F.expr("a IS NOT NULL OR b IS NOT NULL")
+        seen = fresh.withColumn("i", F.lit(None).cast("int")).withColumn("j", F.col("i"))
+        if i:  # words of this round have no class yet: their own hash stands for a neighbour in the head, as nulls would meet in one task
+            met = fresh.filter(beside).withColumn("l", F.coalesce("a", "h")).withColumn("r", F.coalesce("b", "h"))
+            met = met.join(class_of("l", "i"), "l", "left").join(class_of("r", "j"), "r", "left")
+            seen = seen.filter(~beside).union(met.select(seen.columns))
+        group = F.pmod("h", F.lit(max(64, size // _DECIDED))).alias("g")
+        seen = seen.select(group, "h", F.coalesce("i", "x").alias("x"), F.coalesce(F.col("j") + k, "y").alias("y"), F.col("a").isNull().alias("alone"), F.col("b").isNull().alias("ends"))
+        placed = placed.union(keep(seen.groupBy("g").applyInArrow(decider(table), "h long, c long, k int, b binary"), "lm-classes"))
+    return placed.select("h", "c", "k"), bigrams()
 
 
 def named(h: np.ndarray, place: np.ndarray, names: np.ndarray, other: int) -> np.ndarray:

@@ -260,6 +260,32 @@ def test_classes_do_not_depend_on_how_many_words_are_broadcast(spark):
             assert math.isclose(r.base_score, want[i].base_score, rel_tol=1e-9) and math.isclose(r.score, want[i].score, rel_tol=1e-9)
 
 
+def test_neighbours_of_rare_words_grow_with_the_input(spark):
+    import prismfeed.llm.class_lm as lm
+
+    assert lm.HELD_WORDS <= 1 << 18  # with more, few of the words of small inputs were outside the head and most of those of large ones
+    texts = ["a b r1 r1 r1 b", "r1 r2 a r3", "a", None, "r2", "b r3 r2 r2 r1"]
+    names, place = np.array([0, 1, 2, 3]), {"a": 0, "b": 1, None: 2}  # classes of a, b, the end (classes = 2), all other words open
+    rare = {"r1": 11, "r2": 12, "r3": 13}
+    k, end, open_ = 4, 2, 3
+    want = Counter()
+    for t in texts:
+        row = [*(t or "").split(), None]
+        for i, w in enumerate(row):
+            if w in rare:
+                before, after = row[i - 1] if i else None, row[i + 1]
+                x = 2 * k if i and before == w else open_ if before in rare else place[before] if i else end
+                y = -1 if after == w else k + (open_ if after in rare else place[after])
+                want[rare[w], x, y, rare.get(before) if before != w else None, rare.get(after) if after != w else None] += 1
+    ranks = []
+    for t in texts:
+        row = [*(t or "").split(), None]
+        ranks.append((np.array([place.get(w, 3) for w in row], np.int32).tobytes(), np.array([rare[w] for w in row if w in rare], np.int64).tobytes()))
+    for copies in (1, 5):
+        got = Counter(map(tuple, lm._neighbours(spark.createDataFrame(ranks * copies, "r binary, t binary").repartition(3), names, 2).collect()))
+        assert got == {x: copies * n for x, n in want.items()}  # a row for each token
+
+
 def test_language_id_held_out(spark):
     lang = {r["doc_id"]: r["lang"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
     got = Q.op5_language_id(spark, SF).collect()
